@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.plans.run import Check, run_checks
-from workload import sensors
+from workload import expectations, sensors
 from workload.tables import load
 
-_MODULES = (sensors,)
+_MODULES = (sensors, expectations)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
