@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +38,8 @@ def is_available(spark: SparkSession, kind: str, location: str, **options: str)
     """Whether a target can be read: it resolves, and a first row can be fetched."""
     try:
         read_table(spark, kind, location, **options).limit(1).collect()
-    except Exception as error:  # noqa: BLE001 - any failure to read means unavailable
-        if isinstance(error, (AnalysisException, OSError)) or "java" in type(error).__module__ or "py" in type(error).__module__:
-            return False
-        raise
+    except (PySparkException, Py4JJavaError):
+        return False
     return True
 
 
