@@ -191,6 +191,12 @@ def _variable_length_patterns(df: DataFrame, columns: list[Row]) -> list[DataFra
     return [df.agg(*aggregates).select(F.inline(F.array(*rows)))]
 
 
+FOUND_SCHEMA = (
+    "column_name string, format string, format_coverage double, codelist string, codelist_coverage double, "
+    "enum_values array<string>, regex string"
+)
+
+
 def infer(df: DataFrame, table: str, *, pii: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
     """The profile of a table with everything that can be inferred about each column.
 
@@ -228,18 +234,15 @@ def infer(df: DataFrame, table: str, *, pii: tuple[str, ...] = (), exact: bool =
         .withColumn("date_max", F.when(is_date, F.left("max_value", F.lit(10))))
     )
     found = [
-        (_texts(df, text_shaped, code_lists(spark)), "format string, format_coverage double, codelist string, codelist_coverage double"),
-        (_enums(df, enums), "enum_values array<string>"),
-        (
-            _fixed_length_patterns(df, same_length) + _variable_length_patterns(df, other_length),
-            "regex string",
-        ),
+        spark.createDataFrame([], FOUND_SCHEMA),
+        *_texts(df, text_shaped, code_lists(spark)),
+        *_enums(df, enums),
+        *_fixed_length_patterns(df, same_length),
+        *_variable_length_patterns(df, other_length),
     ]
-    for frames, schema in found:
-        side = (
-            reduce(DataFrame.unionByName, frames)
-            if frames
-            else spark.createDataFrame([], f"column_name string, {schema}")
-        )
-        result = result.join(side, "column_name", "left")
-    return result
+    # Every frame has a few rows per column; together they are one small shuffle.
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+    per_column = together.groupBy("column_name").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in together.columns if c != "column_name"]
+    )
+    return result.join(per_column, "column_name", "left")

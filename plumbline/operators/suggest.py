@@ -7,7 +7,7 @@ thousands of tables is one join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import fixed
@@ -174,13 +174,10 @@ def _table_candidates() -> list[Column]:
     ]
 
 
-def _of_check(attribute: str) -> Column:
-    pairs = []
-    for name, check in CHECKS.items():
-        value = getattr(check, attribute)
-        if value is not None:
-            pairs += [F.lit(name), F.lit(value)]
-    return F.create_map(*pairs)[F.col("check_type")]
+def _check_types(spark: SparkSession) -> DataFrame:
+    """Rule and dimension per check type: one row per type, whatever the data."""
+    rows = [(name, c.rule, c.dimension) for name, c in CHECKS.items()]
+    return spark.createDataFrame(rows, "check_type string, rule string, dimension string")
 
 
 def suggest(fields: DataFrame, tables: DataFrame, promises: DataFrame) -> DataFrame:
@@ -209,8 +206,7 @@ def suggest(fields: DataFrame, tables: DataFrame, promises: DataFrame) -> DataFr
         per_field.unionByName(per_table)
         .filter(F.col("c").isNotNull())
         .select("table_name", "bounds", "c.*")
-        .withColumn("rule", _of_check("rule"))
-        .withColumn("dimension", _of_check("dimension"))
+        .join(F.broadcast(_check_types(fields.sparkSession)), "check_type")
     )
     wanted = candidates.join(promised(promises), ["table_name", "dimension"])
     both_kept = promised(promises).filter(F.col("dimension") == "uniqueness").select("table_name")
