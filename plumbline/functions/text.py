@@ -45,6 +45,12 @@ def escape_pattern(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\^$.*+?()\[\]{}|\-&~#\s])", r"\\$1")
 
 
+def is_code(column: str, codes: list[str]) -> Column:
+    """True when a column's upper-cased text is in a code list; one expression, however long the list."""
+    quoted = ", ".join("'" + c.replace("'", "\\'") + "'" for c in codes)
+    return F.expr(f"upper(CAST(`{column}` AS STRING)) IN ({quoted})")
+
+
 def country_codes(spark: SparkSession) -> list[str]:
     """ISO 3166-1 alpha-2 codes, as the Java runtime lists them."""
     return sorted(spark._jvm.java.util.Locale.getISOCountries())

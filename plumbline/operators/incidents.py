@@ -17,17 +17,41 @@ def _lookup(mapping: dict[str, str], key: Column, default: str) -> Column:
     return value
 
 
-def fold(results: DataFrame) -> DataFrame:
+def fold(results: DataFrame, open_before: DataFrame | None = None) -> DataFrame:
     """Fold a results history into incidents.
 
+    `open_before` are incidents (as returned here) still open from an earlier part
+    of the history; each counts as one failure that stands for all of its failures.
+
     A failure opens an incident or extends the open one; a pass resolves it. The
     failures between two passes share the number of passes before them, so that
     number names the incident. It is counted day by day: passes per check and day,
     a running total over the days, and a running count inside each day. A check
     that runs every second is spread over its days.
     """
-    day = F.to_date("executed_at")
-    rows = results.select("check_id", "executed_at", "passed", "severity", "message").withColumn("day", day)
+    rows = results.select(
+        "check_id",
+        F.col("executed_at").cast("timestamp").alias("executed_at"),
+        "passed",
+        "severity",
+        "message",
+        F.lit(1).cast("bigint").alias("weight"),
+        F.col("executed_at").cast("timestamp").alias("since"),
+    )
+    if open_before is not None:
+        by_incident = {v: k for k, v in fixed.INCIDENT_SEVERITY.items()}
+        rows = rows.unionByName(
+            open_before.select(
+                "check_id",
+                F.col("last_failure_at").alias("executed_at"),
+                F.lit(False).alias("passed"),
+                _lookup(by_incident, F.col("severity"), "error").alias("severity"),
+                F.col("description").alias("message"),
+                F.col("failure_count").alias("weight"),
+                F.col("first_failure_at").alias("since"),
+            )
+        )
+    rows = rows.withColumn("day", F.to_date("executed_at"))
     per_day = rows.groupBy("check_id", "day").agg(F.count_if("passed").alias("passes"))
     days = Window.partitionBy("check_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     earlier = per_day.select("check_id", "day", F.coalesce(F.sum("passes").over(days), F.lit(0)).alias("earlier"))
@@ -43,19 +67,18 @@ def fold(results: DataFrame) -> DataFrame:
         .withColumn("incident", F.col("earlier") + F.col("today") - F.col("passed").cast("int"))
     )
     failed = ~F.col("passed")
-    failure_at = F.when(failed, F.col("executed_at"))
     spoken = F.struct("executed_at", "severity", "message")
     folded = numbered.groupBy("check_id", "incident").agg(
-        F.count_if(failed).alias("failure_count"),
-        F.min(failure_at).alias("first_failure_at"),
-        F.max(failure_at).alias("last_failure_at"),
+        F.coalesce(F.sum(F.when(failed, F.col("weight"))), F.lit(0)).alias("failure_count"),
+        F.min(F.when(failed, F.col("since"))).alias("first_failure_at"),
+        F.max(F.when(failed, F.col("executed_at"))).alias("last_failure_at"),
         F.min(F.when(failed, spoken)).alias("first"),
         F.max(F.when(failed, spoken)).alias("last"),
         F.min(F.when(F.col("passed"), F.col("executed_at"))).alias("resolved_at"),
     )
     return folded.filter("failure_count > 0").select(
         "check_id",
-        F.concat_ws("/", "check_id", F.col("incident").cast("string")).alias("incident_id"),
+        F.concat_ws("/", "check_id", F.date_format("first_failure_at", "yyyy-MM-dd HH:mm:ss")).alias("incident_id"),
         F.when(F.col("resolved_at").isNull(), "open").otherwise("resolved").alias("status"),
         _lookup(fixed.INCIDENT_SEVERITY, F.col("first.severity"), "medium").alias("severity"),
         F.concat(F.lit("Check failed: "), F.col("check_id")).alias("title"),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed
-from plumbline.functions.text import code_lists, escape_pattern
+from plumbline.functions.text import code_lists, escape_pattern, is_code
 from plumbline.operators.profile import profile
 
 COVERAGE = 0.95
@@ -48,7 +48,7 @@ def _texts(df: DataFrame, columns: list[Row], lists: dict[str, list[str]]) -> li
             for j, codes in enumerate(lists.values()):
                 right_length = F.length(text) == len(codes[0])
                 aggregates.append(F.count_if(right_length).alias(f"e{i}_{j}"))
-                aggregates.append(F.count_if(right_length & F.upper(text).isin(*codes)).alias(f"h{i}_{j}"))
+                aggregates.append(F.count_if(right_length & is_code(c.column_name, codes)).alias(f"h{i}_{j}"))
             formats = [(name, F.col(f"f{i}_{j}"), F.col(f"n{i}")) for j, name in enumerate(fixed.INFERRED_FORMATS)]
             codelists = [(name, F.col(f"h{i}_{j}"), F.col(f"e{i}_{j}")) for j, name in enumerate(lists)]
             rows.append(

@@ -37,6 +37,7 @@ from plumbline.functions.shares import (
 )
 from plumbline.functions.text import (
     has_outer_whitespace,
+    is_code,
     is_placeholder,
     matches,
     misses_format,
@@ -331,7 +332,7 @@ _add("expected_texts_top_n_count", "top_values", defaults={**_VALUES, "top_n": 1
 
 
 def _in_codes(t: Target, p: Params) -> Column:
-    return F.upper(t.text).isin(*p["expected_values"])
+    return is_code(t.name, p["expected_values"])
 
 
 _scan("valid_country_code_percent", lambda t, p: share(_in_codes(t, p), 100))

@@ -292,7 +292,7 @@ def quality_score_per_check_type(spark, sf_dir):
 
 INCIDENTS_SQL = RESULTS_SQL + """,
 n AS (SELECT *, sum(CASE WHEN passed THEN 1 ELSE 0 END) OVER (PARTITION BY check_id ORDER BY executed_at) - CASE WHEN passed THEN 1 ELSE 0 END AS i FROM results),
-incidents AS (SELECT check_id, check_id || '/' || CAST(i AS BIGINT) AS incident_id,
+incidents AS (SELECT check_id, check_id || '/' || strftime(min(executed_at) FILTER (WHERE NOT passed), '%Y-%m-%d %H:%M:%S') AS incident_id,
   CASE WHEN count(*) FILTER (WHERE passed) = 0 THEN 'open' ELSE 'resolved' END AS status,
   CASE min_by(severity, executed_at) FILTER (WHERE NOT passed) WHEN 'warning' THEN 'low' WHEN 'fatal' THEN 'high' ELSE 'medium' END AS severity,
   max_by(message, executed_at) FILTER (WHERE NOT passed) AS description,

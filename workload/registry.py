@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.plans.run import Check, run_checks
-from workload import checks, expectations, history, profiles, sensors
+from workload import checks, expectations, history, profiles, sensors, streams
 from workload.tables import load
 
-_MODULES = (sensors, expectations, checks, history, profiles)
+_MODULES = (sensors, expectations, checks, history, profiles, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
