@@ -15,6 +15,8 @@ def session(master: str | None = None, app: str = "plumbline", **settings: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Plans here have thousands of expressions; recording a call site for each is slow.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **settings}.items():
         builder = builder.config(key, value)
