@@ -20,6 +20,29 @@ def matches(text: Column, *patterns: str) -> Column:
     return reduce(lambda a, b: a | b, (text.rlike(p) for p in patterns))
 
 
+# To find a pattern anywhere in a text, a leading or trailing part that may match a
+# single character (or nothing) need not match more. These find the same texts as
+# the full patterns without trying every start of every run of letters or digits.
+_OCTET = r"(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+FINDERS = {
+    fixed.EMAIL: r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2}",
+    fixed.US_PHONE: r"[0-9]{3}\)?[-.]?[0-9]{3}[-.]?[0-9]{4}",
+    fixed.US_ZIPCODE: r"[0-9]{5}",
+    fixed.IP4: rf"[0-9]\.{_OCTET}\.{_OCTET}\.[0-9]",
+    fixed.IP6_FULL: r"[0-9a-fA-F]:([0-9a-fA-F]{1,4}:){6}[0-9a-fA-F]",
+}
+
+
+def contains_pattern(text: Column, pattern: str) -> Column:
+    """True when the pattern occurs in the text; texts without its fixed character are not searched."""
+    found = text.rlike(FINDERS.get(pattern, pattern))
+    if pattern == fixed.EMAIL:
+        return text.contains("@") & found
+    if pattern == fixed.IP6_FULL:
+        return text.contains(":") & found
+    return found
+
+
 def misses_format(text: Column, pattern: str) -> Column:
     """True for a non-empty text that does not have the format."""
     return (text != "") & ~text.rlike(whole(pattern))

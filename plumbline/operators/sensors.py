@@ -36,6 +36,7 @@ from plumbline.functions.shares import (
     share_of_present,
 )
 from plumbline.functions.text import (
+    contains_pattern,
     has_outer_whitespace,
     is_code,
     is_placeholder,
@@ -273,7 +274,7 @@ def _format_sensors(kind: str, pattern: str) -> None:
 
 
 def _leak_sensor(kind: str, pattern: str) -> None:
-    _scan(f"contains_{kind}_percent", lambda t, p: share(t.text.rlike(pattern), 0))
+    _scan(f"contains_{kind}_percent", lambda t, p: share(contains_pattern(t.text, pattern), 0))
 
 
 for _kind, _pattern in (
