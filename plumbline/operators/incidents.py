@@ -25,9 +25,9 @@ def fold(results: DataFrame, open_before: DataFrame | None = None) -> DataFrame:
 
     A failure opens an incident or extends the open one; a pass resolves it. The
     failures between two passes share the number of passes before them, so that
-    number names the incident. It is counted day by day: passes per check and day,
-    a running total over the days, and a running count inside each day. A check
-    that runs every second is spread over its days.
+    number names the incident. It is counted hour by hour: passes per check and hour,
+    a running total over the hours, and a running count inside each hour. A check
+    that runs all the time is spread over its hours.
     """
     rows = results.select(
         "check_id",
@@ -51,20 +51,20 @@ def fold(results: DataFrame, open_before: DataFrame | None = None) -> DataFrame:
                 F.col("first_failure_at").alias("since"),
             )
         )
-    rows = rows.withColumn("day", F.to_date("executed_at"))
-    per_day = rows.groupBy("check_id", "day").agg(F.count_if("passed").alias("passes"))
-    days = Window.partitionBy("check_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = per_day.select("check_id", "day", F.coalesce(F.sum("passes").over(days), F.lit(0)).alias("earlier"))
+    rows = rows.withColumn("hour", F.date_trunc("hour", "executed_at"))
+    per_hour = rows.groupBy("check_id", "hour").agg(F.count_if("passed").alias("passes"))
+    hours = Window.partitionBy("check_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = per_hour.select("check_id", "hour", F.coalesce(F.sum("passes").over(hours), F.lit(0)).alias("earlier"))
     within = (
-        Window.partitionBy("check_id", "day")
+        Window.partitionBy("check_id", "hour")
         .orderBy("executed_at", "passed", "severity", "message")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     numbered = (
-        rows.withColumn("today", F.sum(F.col("passed").cast("int")).over(within))
-        .join(earlier, ["check_id", "day"])
+        rows.withColumn("so_far", F.sum(F.col("passed").cast("int")).over(within))
+        .join(earlier, ["check_id", "hour"])
         # A pass closes the incident before it, so it carries that incident's number.
-        .withColumn("incident", F.col("earlier") + F.col("today") - F.col("passed").cast("int"))
+        .withColumn("incident", F.col("earlier") + F.col("so_far") - F.col("passed").cast("int"))
     )
     failed = ~F.col("passed")
     spoken = F.struct("executed_at", "severity", "message")
@@ -90,24 +90,24 @@ def fold(results: DataFrame, open_before: DataFrame | None = None) -> DataFrame:
     )
 
 
-def previous_by_day(df: DataFrame, key: str, time: str, value: str, name: str) -> DataFrame:
-    """Add the key's previous value in time order, working day by day.
+def previous_by_hour(df: DataFrame, key: str, time: str, value: str, name: str) -> DataFrame:
+    """Add the key's previous value in time order, working hour by hour.
 
-    Inside a day it is the row before; the first row of a day takes the last value
-    of the key's previous day.
+    Inside an hour it is the row before; the first row of an hour takes the last
+    value of the key's previous hour.
     """
-    dated = df.withColumn("_day", F.to_date(time))
-    within = Window.partitionBy(key, "_day").orderBy(time, value)
-    closing = dated.groupBy(key, "_day").agg(F.max(F.struct(time, value)).alias("closing"))
+    placed = df.withColumn("_hour", F.date_trunc("hour", time))
+    within = Window.partitionBy(key, "_hour").orderBy(time, value)
+    closing = placed.groupBy(key, "_hour").agg(F.max(F.struct(time, value)).alias("closing"))
     across = closing.select(
-        key, "_day", F.lag(F.col("closing")[value]).over(Window.partitionBy(key).orderBy("_day")).alias("_before")
+        key, "_hour", F.lag(F.col("closing")[value]).over(Window.partitionBy(key).orderBy("_hour")).alias("_before")
     )
     return (
-        dated.withColumn("_nth", F.row_number().over(within))
+        placed.withColumn("_nth", F.row_number().over(within))
         .withColumn("_inside", F.lag(value).over(within))
-        .join(across, [key, "_day"])
+        .join(across, [key, "_hour"])
         .withColumn(name, F.when(F.col("_nth") == 1, F.col("_before")).otherwise(F.col("_inside")))
-        .drop("_day", "_nth", "_inside", "_before")
+        .drop("_hour", "_nth", "_inside", "_before")
     )
 
 
@@ -116,7 +116,7 @@ def illegal_moves(changes: DataFrame) -> DataFrame:
 
     `changes` has incident_id, changed_at, status.
     """
-    moved = previous_by_day(changes, "incident_id", "changed_at", "status", "from_status")
+    moved = previous_by_hour(changes, "incident_id", "changed_at", "status", "from_status")
     allowed = F.col("from_status").isNull() & (F.col("status") == "open")
     for before, after in fixed.INCIDENT_MOVES:
         allowed = allowed | ((F.col("from_status") == before) & (F.col("status") == after))

@@ -75,7 +75,11 @@ def _enums(df: DataFrame, columns: list[Row]) -> list[DataFrame]:
     """The values of columns known to have at most twenty of them."""
     sets = [F.array_sort(F.collect_set(F.col(f"`{c.column_name}`").cast("string"))).alias(f"s{i}") for i, c in enumerate(columns)]
     rows = [
-        F.struct(F.lit(c.column_name).alias("column_name"), F.col(f"s{i}").alias("enum_values"))
+        F.struct(
+            F.lit(c.column_name).alias("column_name"),
+            # An estimated distinct count may have let a column with more values through.
+            F.when(F.size(f"s{i}") <= MAX_ENUM, F.col(f"s{i}")).alias("enum_values"),
+        )
         for i, c in enumerate(columns)
     ]
     return [df.agg(*sets).select(F.inline(F.array(*rows)))] if columns else []

@@ -52,8 +52,9 @@ def exact_percentiles(
 
     `values` has the key columns, `series` and a double `v`; NULLs are left out.
     `fractions` names the percentiles of each series. `few_groups` says that the
-    number of groups is fixed by the caller rather than by the data, so that the
-    handful of rank rows may be broadcast. Returns keys, series, fraction, value.
+    caller knows the number of groups to be small: then the rank rows, two per group
+    and percentile, are broadcast; otherwise they are joined by shuffle. Returns
+    keys, series, fraction, value.
     """
     values = values.filter(F.col("v").isNotNull()).withColumn("k", _log_bucket(F.col("v")))
     group = [*keys, "series"]
