@@ -289,7 +289,7 @@ def _percentile(df: DataFrame, group: list[Expect]) -> list[DataFrame]:
             for c in wanted
         ]
     )
-    found = exact_percentiles(df.select(F.inline(series)), [], wanted, few_groups=True)
+    found = exact_percentiles(df.select(F.inline(series)), [], wanted)
     frames = []
     aggregates, verdicts = [], []
     for i, e in enumerate(group):

@@ -25,7 +25,6 @@ from plumbline.operators.percentiles import exact_percentiles
 from plumbline.operators.sensors import SENSORS, Sensor, Target
 
 _BUNDLE = 48
-_FEW_GROUPS = 10_000
 
 
 @dataclass(frozen=True)
@@ -186,9 +185,7 @@ def _percentile(df: DataFrame, probes: list[Probe], by: list[str], exact: bool)
         *[F.struct(F.lit(c).alias("series"), _target(df, c).number.cast("double").alias("v")) for c in wanted]
     )
     values = df.select(*by, F.inline(series))
-    # A look at the partition columns alone tells whether the rank rows may be broadcast.
-    few = not by or df.select(*by).distinct().limit(_FEW_GROUPS + 1).count() <= _FEW_GROUPS
-    found = exact_percentiles(values, by, wanted, few_groups=few)
+    found = exact_percentiles(values, by, wanted)
     # Groups without a single value still get a NULL reading.
     groups = df.select(*by).distinct() if by else df.agg(F.count(F.lit(1)).alias("rows")).select()
     frames = []

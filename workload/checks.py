@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators import rules
 from plumbline.operators.checks import CHECKS, CheckType
 from plumbline.operators.measure import Probe, measure
 from plumbline.operators.rules import SEVERITIES
 from plumbline.operators.sensors import SENSORS
 from plumbline.plans.run import Check, run_checks
+from plumbline.sources.results import append_results, read_results, shared_folder
 from workload.sensor_cases import CASES, DAY, DAY_AS_OF, pct
 from workload.sensors import daily_readings
 from workload.tables import load, relation
@@ -188,7 +190,7 @@ _ANOMALY_SQL = {
     "data_freshness": f"floor(epoch(TIMESTAMP '{_ANOMALY_AT}')) - floor(epoch(max(o_orderdate)))",
     "nulls_percent": pct("o_custkey IS NULL", 0),
     "distinct_count": "count(DISTINCT o_custkey)",
-    "distinct_percent": "100.0 * count(DISTINCT o_custkey) / count(o_custkey)",
+    "distinct_percent": "CASE WHEN count(o_custkey) = 0 THEN 0.0 ELSE 100.0 * count(DISTINCT o_custkey) / count(o_custkey) END",
     "sum": "sum(o_totalprice)",
     "mean": "avg(o_totalprice)",
     "median": "quantile_cont(o_totalprice, 0.5)",
@@ -198,14 +200,19 @@ _ANOMALY_SQL = {
 
 
 def _anomaly_sql() -> str:
-    parts = []
+    parts, now = [], []
     for metric, expression in _ANOMALY_SQL.items():
         parts.append(
             f"SELECT '{metric}_anomaly' AS check_type, CAST(o_orderdate AS DATE) AS day, CAST({expression} AS DOUBLE) AS v "
             "FROM orders GROUP BY 2"
         )
+        now.append(
+            f"SELECT '{metric}_anomaly' AS check_type, CAST({expression} AS DOUBLE) AS v FROM orders "
+            f"WHERE CAST(o_orderdate AS DATE) = DATE '{DAY}'"
+        )
     return f"""
 WITH readings AS ({' UNION ALL '.join(parts)}),
+now AS ({' UNION ALL '.join(now)}),
 past AS (
   SELECT check_type, list_sort(list(v)) AS r FROM readings
   WHERE day BETWEEN DATE '1998-05-05' AND DATE '{DAY}' AND v IS NOT NULL GROUP BY 1),
@@ -214,7 +221,7 @@ fence AS (
 graded AS (
   SELECT c.check_type, c.v,
     coalesce(n, 0) < 7 OR coalesce(c.v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1), false) AS passed
-  FROM readings c LEFT JOIN fence f ON c.check_type = f.check_type WHERE c.day = DATE '{DAY}')
+  FROM now c LEFT JOIN fence f ON c.check_type = f.check_type)
 SELECT check_type, CAST(NULL AS VARCHAR) AS dimension, round(v, 6) AS actual_value, passed,
   CASE WHEN passed THEN 'passed' ELSE 'error' END AS severity FROM graded"""
 
@@ -362,6 +369,83 @@ UNION ALL SELECT 'future', '<= 0.0%', '0.00% of dates passed validation (target:
 UNION ALL SELECT 'available', 'True/1', 'Table is available' FROM o"""
 
 
+_LIMITS = {
+    "min_value": -1.0, "max_value": 60.0, "min_percent": 10.0, "max_percent": 50.0, "max_change_percent": 20.0,
+    "min_count": 5.0, "max_count": 70.0, "expected_value": 12.0, "forbidden_value": 7.0,
+}
+
+
+def _every_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings made from the customers, graded by each of the 15 rules in turn."""
+    names = F.array(*map(F.lit, rules.RULE_THRESHOLDS))
+    limits = F.struct(*[F.lit(v).alias(k) for k, v in _LIMITS.items()]).cast(rules.THRESHOLD_TYPE)
+    unset = F.lit(None).cast(rules.THRESHOLD_TYPE)
+    key = F.col("c_custkey")
+    readings = load(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.element_at(names, (key % len(rules.RULE_THRESHOLDS) + 1).cast("int")).alias("rule"),
+        F.when(key % 11 != 0, F.floor(F.col("c_acctbal") / 100).cast("double")).alias("actual_value"),
+        F.lit("custom_sql").alias("category"),
+        F.lit("any").alias("sensor"),
+        unset.alias("fatal"),
+        F.when(key % 2 == 0, limits).alias("error"),
+        limits.alias("warning"),
+        (key % 10).cast("int").alias("history_count"),
+        F.lit(0.0).alias("fence_low"),
+        F.lit(55.5).alias("fence_high"),
+    )
+    return rules.grade(readings).select("c_custkey", "rule", "passed", "severity", "expected")
+
+
+def _every_rule_sql() -> str:
+    arms, said = [], []
+    text = {k: str(v) for k, v in _LIMITS.items()}
+    count = {k: str(int(v)) for k, v in _LIMITS.items()}
+    wording = {
+        "min_value": f">= {text['min_value']}", "max_value": f"<= {text['max_value']}",
+        "min_max_value": f"[{text['min_value']}, {text['max_value']}]",
+        "min_percent": f">= {text['min_percent']}%", "max_percent": f"<= {text['max_percent']}%",
+        "min_max_percent": f"[{text['min_percent']}%, {text['max_percent']}%]",
+        "min_count": f">= {count['min_count']}", "max_count": f"<= {count['max_count']}",
+        "min_max_count": f"[{count['min_count']}, {count['max_count']}]",
+        "equal_to": text["expected_value"], "not_equal_to": f"!= {text['forbidden_value']}",
+        "is_true": "True/1", "is_false": "False/0",
+    }
+    for rule in rules.RULE_THRESHOLDS:
+        if rule == "anomaly_percentile":
+            arms.append("WHEN rule = 'anomaly_percentile' THEN h < 7 OR coalesce(v BETWEEN 0 AND 55.5, false)")
+            said.append("WHEN rule = 'anomaly_percentile' THEN CASE WHEN h < 7 OR v IS NULL THEN 'within IQR bounds' ELSE '[0.00, 55.50]' END")
+        else:
+            arms.append(f"WHEN rule = '{rule}' THEN {rule_sql(rule, _LIMITS)}")
+            if rule == "max_change_percent":
+                said.append("WHEN rule = 'max_change_percent' THEN CASE WHEN v IS NULL THEN '<= 20.0% change' ELSE '<= ±20.0%' END")
+            else:
+                said.append(f"WHEN rule = '{rule}' THEN '{wording[rule]}'")
+    names = ", ".join(f"'{r}'" for r in rules.RULE_THRESHOLDS)
+    return f"""
+WITH r AS (SELECT c_custkey, [{names}][c_custkey % {len(rules.RULE_THRESHOLDS)} + 1] AS rule, c_custkey % 10 AS h,
+  CASE WHEN c_custkey % 11 <> 0 THEN floor(c_acctbal / 100) END AS v FROM customer),
+g AS (SELECT *, CASE {' '.join(arms)} END AS passed, CASE {' '.join(said)} END AS expected FROM r)
+SELECT c_custkey, rule, passed, CASE WHEN passed THEN 'passed' WHEN c_custkey % 2 = 0 THEN 'error' ELSE 'warning' END AS severity, expected FROM g"""
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs appended to a results table and read back from the second day on."""
+    folder = shared_folder(spark, "results")
+    checks = [Check("negative", "negative_values", "customer", "c_acctbal"), Check("rows", "row_count", "customer")]
+    tables = {"customer": load(spark, sf_dir, "customer")}
+    for moment in ("2024-01-30 23:00:00", "2024-01-31 23:00:00"):
+        append_results(run_checks(spark, checks, tables, executed_at=moment), folder)
+    kept = read_results(spark, folder, since="2024-01-31")
+    return kept.select("check_id", F.col("run_date").cast("string").alias("run_date"), "actual_value", "passed", "rows_scanned")
+
+
+_STORED_SQL = """
+SELECT 'negative' AS check_id, '2024-01-31' AS run_date, count(*) FILTER (WHERE c_acctbal < 0)::DOUBLE AS actual_value,
+  count(*) FILTER (WHERE c_acctbal < 0) = 0 AS passed, count(*) AS rows_scanned FROM customer
+UNION ALL SELECT 'rows', '2024-01-31', count(*)::DOUBLE, count(*) >= 1, count(*) FROM customer"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f"checks_on_{table}": _suite(table, kinds) for table, kinds in _suites().items()}
     found["checks_against_earlier_days"] = _earlier
@@ -370,6 +454,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found["checks_per_day_and_type_with_cascade"] = _cascade
     found["checks_with_failures_isolated"] = _isolated
     found["check_messages"] = _messages
+    found["readings_graded_by_every_rule"] = _every_rule
+    found["results_stored_and_read_back"] = _stored
     return found
 
 
@@ -386,4 +472,6 @@ def oracle_sql() -> dict[str, str]:
     found["checks_per_day_and_type_with_cascade"] = _CASCADE_SQL
     found["checks_with_failures_isolated"] = _ISOLATED_SQL
     found["check_messages"] = _MESSAGES_SQL
+    found["readings_graded_by_every_rule"] = _every_rule_sql()
+    found["results_stored_and_read_back"] = _STORED_SQL
     return found
