@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed
-
-_SMALL = 10_000
-
+from plumbline.functions.joins import lookup_join
 
 def _lookup(mapping: dict[str, str], key: Column, default: str) -> Column:
     value = F.lit(default)
@@ -165,8 +163,6 @@ def alerts(incidents: DataFrame, channels: DataFrame) -> DataFrame:
         .filter(F.col("min_severity").isNull() | (rank(F.col("heard")) >= rank(F.col("min_severity"))))
         .select("channel_id", "event", "heard")
     )
-    if subscriptions.limit(_SMALL + 1).count() <= _SMALL:
-        subscriptions = F.broadcast(subscriptions)
     payload = F.to_json(
         F.struct(
             "event",
@@ -175,8 +171,5 @@ def alerts(incidents: DataFrame, channels: DataFrame) -> DataFrame:
             ).alias("incident"),
         )
     )
-    return (
-        incidents.withColumn("heard", heard)
-        .join(subscriptions, ["event", "heard"])
-        .select("channel_id", "incident_id", "event", payload.alias("payload"))
-    )
+    routed = lookup_join(incidents.withColumn("heard", heard), subscriptions, ["event", "heard"])
+    return routed.select("channel_id", "incident_id", "event", payload.alias("payload"))

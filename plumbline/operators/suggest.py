@@ -277,12 +277,17 @@ def reconcile(owned: DataFrame, desired: DataFrame) -> DataFrame:
         .agg(F.max("thresholds").alias("new_thresholds"))
         .withColumn("wanted", F.lit(True))
     )
-    both = mine.join(wanted, _KEY, "full_outer")
     drifted = F.col("new_thresholds").isNotNull() & ~F.col("thresholds").eqNullSafe(F.col("new_thresholds"))
     action = (
-        F.when(F.col("check_id").isNull(), "create")
-        .when(F.col("wanted").isNull() | ~F.col("is_first"), "delete")
+        F.when(F.col("wanted").isNull() | ~F.col("is_first"), "delete")
         .when(drifted | ~F.col("is_active"), "update")
         .otherwise("keep")
     )
-    return both.select(*_KEY, "check_id", action.alias("action"), F.coalesce("new_thresholds", "thresholds").alias("thresholds"))
+    # Two one-sided joins instead of a full one: a key with very many copies can be split.
+    known = mine.join(wanted, _KEY, "left").select(
+        *_KEY, "check_id", action.alias("action"), F.coalesce("new_thresholds", "thresholds").alias("thresholds")
+    )
+    new = wanted.join(first, _KEY, "left_anti").select(
+        *_KEY, F.lit(None).cast("string").alias("check_id"), F.lit("create").alias("action"), F.col("new_thresholds").alias("thresholds")
+    )
+    return known.unionByName(new)

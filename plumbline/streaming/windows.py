@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.joins import lookup_join
 from plumbline.operators.measure import Probe
 from plumbline.operators.measure import _scan_column as scan_column
 from plumbline.operators.sensors import Target
 
 
-_BROADCAST_KEYS = 1_000_000
-_SALTS = 16
-
-
 def timed(stream: DataFrame, time: str, delay: str) -> DataFrame:
     """The stream with its event time as a zoned timestamp and a watermark `delay` behind it."""
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
@@ -76,13 +73,7 @@ def orphan_windows(
     """Per window: rows with a key, and how many of those keys the reference table lacks."""
     known = reference.select(F.col(reference_column).alias(column)).dropna().distinct().withColumn("known", F.lit(True))
     rows = timed(stream, time, delay)
-    if known.limit(_BROADCAST_KEYS + 1).count() <= _BROADCAST_KEYS:
-        looked_up = rows.join(F.broadcast(known), column, "left")
-    else:
-        # A frequent key is spread over salts; the reference holds every key once per salt.
-        salted = known.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(_SALTS)])))
-        salt = F.pmod(F.xxhash64(*stream.columns), F.lit(_SALTS)).cast("int")
-        looked_up = rows.withColumn("salt", salt).join(salted, [column, "salt"], "left")
+    looked_up = lookup_join(rows, known, [column], "left")
     missing = F.col(column).isNotNull() & F.col("known").isNull()
     return (
         looked_up.groupBy(F.window(time, width))

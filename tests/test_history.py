@@ -118,3 +118,15 @@ def test_scores(spark, counts, points, light):
     score = scoring.score(F.col("p"), F.col("w"), F.col("e"), F.col("f"))
     row = df.select(score.alias("s"), scoring.traffic_light(score).alias("l")).first()
     assert (row.s, row.l) == (points, light)
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_lookup_join_broadcast_and_salted(spark, limit):
+    from plumbline.functions.joins import lookup_join
+
+    rows = spark.createDataFrame([("hot" if i % 3 else f"k{i % 5}", i) for i in range(300)], "k string, i int")
+    lookup = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "k string, v int")
+    got = lookup_join(rows, lookup, ["k"], "left", broadcast_up_to=limit)
+    assert got.columns == ["k", "i", "v"]
+    expected = rows.join(lookup, "k", "left").select("k", "i", "v")
+    assert got.exceptAll(expected).count() == 0 and expected.exceptAll(got).count() == 0

@@ -172,7 +172,7 @@ SELECT check_id, {_ts('executed_at')}, actual_value, earlier_value,
 WITH {RESULTS_SQL}, h AS (SELECT check_id, list_sort(list(actual_value)) AS r FROM results
   WHERE executed_at < TIMESTAMP '{AS_OF}' GROUP BY 1),
 q AS (SELECT check_id, len(r) AS history_count, r[len(r) // 4 + 1] AS q1, r[(3 * len(r)) // 4 + 1] AS q3 FROM h)
-SELECT check_id, history_count, q1, q3, round(q1 - 1.5 * (q3 - q1), 6) AS fence_low, round(q3 + 1.5 * (q3 - q1), 6) AS fence_high FROM q""")
+SELECT check_id, history_count::INT AS history_count, q1, q3, round(q1 - 1.5 * (q3 - q1), 6) AS fence_low, round(q3 + 1.5 * (q3 - q1), 6) AS fence_high FROM q""")
 def anomaly_fences(spark, sf_dir):
     fences = history.anomaly_fence(results(spark, sf_dir), ["check_id"], AS_OF)
     return fences.withColumn("fence_low", F.round("fence_low", 6)).withColumn("fence_high", F.round("fence_high", 6))

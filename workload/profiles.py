@@ -142,7 +142,7 @@ def _ranges_sql() -> str:
                 f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
                 f"CASE WHEN {enum} THEN array_to_string(list_sort(list(DISTINCT {c}::VARCHAR)), ',') ELSE '' END AS enum_values, "
                 f"{enum} AS is_enum, "
-                + (f"floor(min(length({c})) * 0.95)::INT AS length_min, greatest(floor(max(length({c})) * 1.05 + 0.5)::INT, max(length({c}))) AS length_max, "
+                + (f"floor(min(length({c})) * 0.95)::INT AS length_min, greatest(floor(max(length({c})) * 1.05 + 0.5)::INT, max(length({c})))::INT AS length_max, "
                    if text else "NULL::INT AS length_min, NULL::INT AS length_max, ")
                 + (f"CASE WHEN {wide} THEN min({c})::DOUBLE END AS numeric_min, CASE WHEN {wide} THEN max({c})::DOUBLE END AS numeric_max, "
                    if number else "NULL::DOUBLE AS numeric_min, NULL::DOUBLE AS numeric_max, ")
@@ -395,7 +395,7 @@ SELECT c_custkey, rule, percent, round(h, 6) AS hours,
   CASE rule WHEN 'min_percent' THEN percent WHEN 'min_max_percent' THEN CASE WHEN percent IS NOT NULL THEN greatest(0.0, percent - slack) END END AS error_min_percent,
   CASE rule WHEN 'max_percent' THEN slack WHEN 'min_max_percent' THEN CASE WHEN percent IS NOT NULL THEN 100.0 END END AS error_max_percent,
   CASE WHEN rule = 'max_change_percent' THEN slack END AS error_max_change_percent,
-  CASE WHEN rule = 'max_count' AND percent >= 99 THEN 0.0 END AS error_max_count,
+  CASE WHEN rule = 'max_count' AND percent >= 99 THEN 0.0::DOUBLE END AS error_max_count,
   CASE WHEN rule = 'max_value' AND sec IS NOT NULL THEN greatest(sec * 1.5, sec + 3600) END AS error_max_value
 FROM s"""
 
