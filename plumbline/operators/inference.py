@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed
-from plumbline.functions.text import code_lists, escape_pattern, is_code
+from plumbline.functions.text import code_lists, escape_pattern
 from plumbline.operators.profile import profile
 
 COVERAGE = 0.95
@@ -25,47 +25,43 @@ MIN_DISTINCT_FOR_RANGE = 5
 _PADDING = 0.05
 
 
-def _best(hits: list[tuple[str, Column, Column]]) -> Column:
-    """Struct(name, coverage) of the first candidate with the highest coverage of at least 95 %."""
-    candidates = [
-        F.when(whole > 0, F.struct((hit / whole).alias("coverage"), F.lit(-i).alias("order"), F.lit(name).alias("name")))
-        for i, (name, hit, whole) in enumerate(hits)
-    ]
-    best = F.array_max(F.array(*candidates))
-    return F.when(best["coverage"] >= COVERAGE, best)
+def _best(candidates: list[tuple[str, str, str]]) -> str:
+    """The first candidate (name, hits, of) with the highest coverage, as a struct; SQL text."""
+    structs = ", ".join(
+        f"if({whole} > 0, named_struct('coverage', {hits} / {whole}, 'order', -{i}, 'name', '{name}'), NULL)"
+        for i, (name, hits, whole) in enumerate(candidates)
+    )
+    return f"array_max(array({structs}))"
 
 
 def _texts(df: DataFrame, columns: list[Row], lists: dict[str, list[str]]) -> list[DataFrame]:
-    """Format, code list and enum of text-shaped columns, one pass for eight columns."""
+    """Format and code list of text-shaped columns, one pass for eight columns."""
     frames = []
     for start in range(0, len(columns), 8):
         aggregates, rows = [], []
         for i, c in enumerate(columns[start : start + 8]):
-            text = F.col(f"`{c.column_name}`").cast("string")
-            aggregates.append(F.count(text).alias(f"n{i}"))
+            text = f"CAST(`{c.column_name}` AS STRING)"
+            aggregates.append(f"count({text}) AS n{i}")
             for j, pattern in enumerate(fixed.INFERRED_FORMATS.values()):
-                aggregates.append(F.count_if(text.rlike(pattern)).alias(f"f{i}_{j}"))
+                aggregates.append(f"count_if({text} RLIKE r'{pattern}') AS f{i}_{j}")
             for j, codes in enumerate(lists.values()):
-                right_length = F.length(text) == len(codes[0])
-                aggregates.append(F.count_if(right_length).alias(f"e{i}_{j}"))
-                aggregates.append(F.count_if(right_length & is_code(c.column_name, codes)).alias(f"h{i}_{j}"))
-            formats = [(name, F.col(f"f{i}_{j}"), F.col(f"n{i}")) for j, name in enumerate(fixed.INFERRED_FORMATS)]
-            codelists = [(name, F.col(f"h{i}_{j}"), F.col(f"e{i}_{j}")) for j, name in enumerate(lists)]
+                quoted = ", ".join(f"'{code}'" for code in codes)
+                long_enough = f"length({text}) = {len(codes[0])}"
+                aggregates.append(f"count_if({long_enough}) AS e{i}_{j}")
+                aggregates.append(f"count_if({long_enough} AND upper({text}) IN ({quoted})) AS h{i}_{j}")
+            formats = [(name, f"f{i}_{j}", f"n{i}") for j, name in enumerate(fixed.INFERRED_FORMATS)]
+            codelists = [(name, f"h{i}_{j}", f"e{i}_{j}") for j, name in enumerate(lists)]
             rows.append(
-                F.struct(
-                    F.lit(c.column_name).alias("column_name"),
-                    _best(formats).alias("format"),
-                    _best(codelists).alias("codelist"),
-                )
+                f"named_struct('column_name', '{c.column_name}', 'f', {_best(formats)}, 'l', {_best(codelists)})"
             )
-        wide = df.agg(*aggregates).select(F.inline(F.array(*rows)))
+        best = df.agg(*map(F.expr, aggregates)).selectExpr(f"inline(array({', '.join(rows)}))")
         frames.append(
-            wide.select(
+            best.selectExpr(
                 "column_name",
-                F.col("format.name").alias("format"),
-                F.col("format.coverage").alias("format_coverage"),
-                F.col("codelist.name").alias("codelist"),
-                F.col("codelist.coverage").alias("codelist_coverage"),
+                f"if(f.coverage >= {COVERAGE}, f.name, NULL) AS format",
+                f"if(f.coverage >= {COVERAGE}, f.coverage, NULL) AS format_coverage",
+                f"if(l.coverage >= {COVERAGE}, l.name, NULL) AS codelist",
+                f"if(l.coverage >= {COVERAGE}, l.coverage, NULL) AS codelist_coverage",
             )
         )
     return frames

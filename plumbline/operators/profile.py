@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _COLUMNS_PER_PASS = 8
+_NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
 def logical_type(data_type: T.DataType) -> str:
@@ -36,44 +37,42 @@ def profile(df: DataFrame, table: str, *, pii: tuple[str, ...] = (), exact: bool
     fields = df.schema.fields
     for start in range(0, len(fields), _COLUMNS_PER_PASS):
         part = fields[start : start + _COLUMNS_PER_PASS]
-        aggregates = [F.count(F.lit(1)).alias("rows")]
-        rows = []
+        aggregates, rows = ["count(1) AS rows"], []
         for i, f in enumerate(part):
-            kind, c = logical_type(f.dataType), F.col(f"`{f.name}`")
-            is_pii, nested = f.name in pii, isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+            kind, c = logical_type(f.dataType), f"`{f.name}`"
+            is_pii, nested = f.name in pii, isinstance(f.dataType, _NESTED)
             has_extremes = not (is_pii or nested or kind == "boolean")
             is_number, is_text = kind in ("integer", "number"), kind == "string"
-            wanted = {
-                "present": F.count(c),
-                "approx": F.approx_count_distinct(c) if not (exact or is_pii or nested) else None,
-                "lo": F.min(c) if has_extremes else None,
-                "hi": F.max(c) if has_extremes else None,
-                "shortest": F.min(F.length(c)) if is_text and not is_pii else None,
-                "longest": F.max(F.length(c)) if is_text and not is_pii else None,
-            }
-            aggregates += [a.alias(f"{name}{i}") for name, a in wanted.items() if a is not None]
+            wanted = {"present": f"count({c})"}
+            if not (exact or is_pii or nested):
+                wanted["approx"] = f"approx_count_distinct({c})"
+            if has_extremes:
+                wanted |= {"lo": f"min({c})", "hi": f"max({c})"}
+            if is_text and not is_pii:
+                wanted |= {"shortest": f"min(length({c}))", "longest": f"max(length({c}))"}
+            aggregates += [f"{sql} AS {name}{i}" for name, sql in wanted.items()]
 
-            def made(name: str, kind_: str, here=wanted, i=i):
-                return F.col(f"{name}{i}").cast(kind_) if here[name] is not None else F.lit(None).cast(kind_)
+            def made(name: str, type_: str, known: bool = True, here=wanted, i=i) -> str:
+                return f"CAST({f'{name}{i}' if known and name in here else 'NULL'} AS {type_})"
 
-            rows.append(
-                F.struct(
-                    F.lit(f.name).alias("column_name"),
-                    F.lit(kind).alias("logical_type"),
-                    F.lit(is_pii).alias("is_pii"),
-                    F.col("rows").alias("row_count"),
-                    F.col(f"present{i}").alias("value_count"),
-                    (F.col("rows") - F.col(f"present{i}")).alias("null_count"),
-                    made("approx", "bigint").alias("distinct_count"),
-                    made("lo", "string").alias("min_value"),
-                    made("hi", "string").alias("max_value"),
-                    (made("lo", "double") if is_number else F.lit(None).cast("double")).alias("min_number"),
-                    (made("hi", "double") if is_number else F.lit(None).cast("double")).alias("max_number"),
-                    made("shortest", "int").alias("min_length"),
-                    made("longest", "int").alias("max_length"),
-                )
-            )
-        frames.append(df.agg(*aggregates).select(F.lit(table).alias("table_name"), F.inline(F.array(*rows))))
+            values = {
+                "column_name": f"'{f.name}'",
+                "logical_type": f"'{kind}'",
+                "is_pii": str(is_pii).lower(),
+                "row_count": "rows",
+                "value_count": f"present{i}",
+                "null_count": f"rows - present{i}",
+                "distinct_count": made("approx", "BIGINT"),
+                "min_value": made("lo", "STRING"),
+                "max_value": made("hi", "STRING"),
+                "min_number": made("lo", "DOUBLE", is_number),
+                "max_number": made("hi", "DOUBLE", is_number),
+                "min_length": made("shortest", "INT"),
+                "max_length": made("longest", "INT"),
+            }
+            rows.append("named_struct(" + ", ".join(f"'{n}', {v}" for n, v in values.items()) + ")")
+        counted = df.agg(*map(F.expr, aggregates))
+        frames.append(counted.selectExpr(f"'{table}' AS table_name", f"inline(array({', '.join(rows)}))"))
     profiled = reduce(DataFrame.unionByName, frames)
     if not exact:
         return profiled
@@ -83,7 +82,7 @@ def profile(df: DataFrame, table: str, *, pii: tuple[str, ...] = (), exact: bool
         .agg(F.count("value").alias("distinct_count"))
         .select(F.lit(f.name).alias("column_name"), "distinct_count")
         for f in fields
-        if f.name not in pii and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+        if f.name not in pii and not isinstance(f.dataType, _NESTED)
     ]
     if not counted:
         return profiled
