@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import interleave, records
+from plumbline.llm import interleave, licenses, ordinal, records
 
 _QUERIES = [
     records.op2_token_records,
     interleave.op6_interleaved_shards,
+    ordinal.op8_graded_quality,
+    licenses.op9_license_labels,
 ]
 
 
