@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, shared_folder, table
 
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 
 
 def _running(counts: DataFrame, by: list[str], bucket: str) -> DataFrame:
@@ -99,7 +99,7 @@ def write_shards(docs: DataFrame, n_shards: int, folder: str | None = None, **op
     placed = interleave(docs, n_shards, keep_columns=True, **options)
     (
         placed.select("shard", "slot", "row.*")
-        .repartition("shard", F.expr(f"slot div {BUCKET_ROWS}"))  # a long shard is several files
+        .repartition("shard", F.expr("slot div 50000"))  # a long shard is several files
         .sortWithinPartitions("shard", "slot")
         .write.partitionBy("shard")
         .parquet(folder)
