@@ -73,6 +73,30 @@ _TOUCHING = re.compile(r" \s|\s ")
 _FREE = re.compile(r"(?<=\S) (?=\S)")
 
 
+_INNER = re.compile(r"(?!^ )[^\S\n]")
+#: Marks that, after a letter or digit, always begin a pre-token of their own.
+_MARKS = ".,;:!?|*%#&$)]}"
+
+
+def atoms(piece: str) -> list[str]:
+    """A piece cut further, where the byte-level pattern cuts too: at lone line ends, and before closing marks."""
+    if _INNER.search(piece):
+        return [piece]
+    lines = piece.split("\n")
+    if not all(line and line != " " for line in lines):
+        return [piece]
+    out = []
+    for k, line in enumerate(lines):
+        if k:
+            out.append("\n")
+        head = line.rstrip(_MARKS)
+        if head != line and head and head[-1].isalnum():
+            out += [head, line[len(head) :]]
+        else:
+            out.append(line)
+    return out
+
+
 class Encoder:
     """Ids of whole texts as bytes, with the tokenizers library.
 
@@ -81,42 +105,48 @@ class Encoder:
     Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, width: int) -> None:
+    def __init__(self, path: str, width: int, entries: int = 3 * MEMO_ENTRIES) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = np.dtype("<u2" if width == 2 else "<u4")
+        self.entries = entries
         self.memo: dict[str, bytes] = {}
 
-    def learn(self, pieces: set[str]) -> None:
-        pieces = list(pieces)
-        if len(self.memo) + len(pieces) > MEMO_ENTRIES:
-            self.memo.clear()
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.memo[piece] = np.asarray(found.ids, self.width).tobytes()
-
     def pieces(self, text: str) -> list[str]:
-        if not text:
-            return []
         parts = _FREE.split(text) if _TOUCHING.search(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        return [parts[0], *[" " + p for p in parts[1:]]] if len(parts) > 1 else parts
 
-    def encode(self, text: str) -> bytes:
-        pieces = self.pieces(text)
+    def know(self, pieces: set[str]) -> dict[str, bytes]:
+        """The memo, with all these pieces in it."""
         memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            pass
-        out = []
-        for at in range(0, len(pieces), 100_000):  # so that one long text does not outgrow the memo
-            block = pieces[at : at + 100_000]
-            while missing := {p for p in block if p not in memo}:  # again if the memo was emptied meanwhile
-                self.learn(missing)
-            out.append(b"".join(map(memo.__getitem__, block)))
-        return b"".join(out)
+        missing = pieces.difference(memo)
+        if len(memo) + 2 * len(missing) > self.entries:  # keep what is in use just now
+            memo = self.memo = {p: memo[p] for p in pieces if p in memo}
+        whole, single = [], set()
+        for piece in missing:
+            parts = atoms(piece)
+            if len(parts) > 1:
+                whole.append((piece, parts))
+                single.update(p for p in parts if p not in memo)
+            else:
+                single.add(piece)
+        order = list(single)
+        for piece, found in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False)):
+            memo[piece] = np.asarray(found.ids, self.width).tobytes()
+        for piece, parts in whole:
+            memo[piece] = b"".join([memo[p] for p in parts])
+        return memo
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        if sum(map(len, filter(None, texts))) > 1 << 22 and len(texts) > 1:  # few long texts at a time
+            half = len(texts) // 2
+            return self.encode_all(texts[:half]) + self.encode_all(texts[half:])
+        cut_up = [self.pieces(t) if t else [] for t in texts]
+        memo = self.know(set().union(*cut_up))
+        return [b"".join(map(memo.__getitem__, pieces)) for pieces in cut_up]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -142,11 +172,11 @@ def encode_documents(
     end = b"" if end_id is None else int(end_id).to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, width).encode
+        encode_all = encoder(tokenizer_path, width).encode_all
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [(encode(t) if t else b"") + end for t in part.column(1).to_pylist()]
+                found = [ids + end for ids in encode_all(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["doc_id", "payload"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
