@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chosen_path, interleave, licenses, ordinal, records
+from plumbline.llm import chosen_path, interleave, latent, licenses, ordinal, records
 
 _QUERIES = [
     records.op2_token_records,
@@ -14,6 +14,7 @@ _QUERIES = [
     interleave.op6_interleaved_shards,
     ordinal.op8_graded_quality,
     licenses.op9_license_labels,
+    latent.op10_latent_leaks,
 ]
 
 
