@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chosen_path, interleave, latent, licenses, ordinal, records
+from plumbline.llm import chosen_path, interleave, latent, licenses, ordinal, records, transducer
 
 _QUERIES = [
     records.op2_token_records,
+    transducer.op3_piece_transducer,
     chosen_path.op4_near_duplicates,
     interleave.op6_interleaved_shards,
     ordinal.op8_graded_quality,
