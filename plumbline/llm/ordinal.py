@@ -7,10 +7,10 @@ P(grade <= k) = 1 / (1 + exp(s - t_k)). The expected grade ranks texts; the tail
 probability P(grade >= top) selects them.
 
 Weights are fitted on at most `max_labelled` rated documents, chosen by the hash of
-their id. Features that better and worse grades show equally often weigh nothing, so
-that a long text is not judged by its many neutral words; the others are fitted with
-step sizes of their own and soft thresholding. Every document is scored whole, in one
-pass without a shuffle; the weights (2**bits floats) are all that is sent around.
+their id. Features that worse grades do not show more often weigh nothing, so that a
+long text is not judged by its many neutral words; the others are fitted with step
+sizes of their own and soft thresholding. Every document is scored whole, in one
+pass without a shuffle; the weights (2**bits floats, nearly all of them 0) are all that is sent around.
 
 Defined results: a null text is an empty one, and has the features of one; ratings
 that are null, or of a null id, do not count; several ratings of one document count as
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import MEMO_ENTRIES, table
 
-MAX_LABELLED = 16_000
-BITS = 18
+MAX_LABELLED = 20_000
+BITS = 22
 _UPPER = bytes(range(65, 91))
 _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 _SPACES = b" \t\n\r\x0b\x0c"
@@ -108,53 +108,49 @@ def telling(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int
         above = np.bincount(flat[better[owner]], minlength=1 << bits)
         share = (overall + 1) / (len(rows) + 2)
         error = np.sqrt(share * (1 - share) * (1 / n_better + 1 / n_worse))
-        chosen |= np.abs(above / n_better - (overall - above) / n_worse) >= least * error
+        chosen |= (overall - above) / n_worse - above / n_better >= least * error
     return chosen
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *, epochs: int = 16, batch: int = 256,
-        step: float = 0.2, shrink: float = 1e-4, least: float = 4.0, seed: int = 7) -> Ordinal:
-    """Fit by minibatches, averaged over the later half of the epochs; deterministic for given rows."""
-    weights, squares = np.zeros(1 << bits), np.full(1 << bits, 1e-6)
-    shares = np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / max(1, len(grades))
-    thresholds = np.log(np.clip(shares, 1e-3, 1 - 1e-3) / (1 - np.clip(shares, 1e-3, 1 - 1e-3)))
-    thresholds = np.maximum.accumulate(thresholds + 1e-3 * np.arange(n_grades - 1))
-    threshold_squares = np.full(n_grades - 1, 1e-3)
-    chosen = telling(rows, grades, n_grades, bits, least)
-    rows = [r[chosen[r]] for r in rows]
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *, updates: int = 4000, batch: int = 256,
+        step: float = 0.1, shrink: float = 1e-2, least: float = 4.0, seed: int = 7) -> Ordinal:
+    """Fit by minibatches with moment estimates and steps that shrink to zero; deterministic for given rows."""
+    slots = np.flatnonzero(telling(rows, grades, n_grades, bits, least))
+    place = np.full(1 << bits, -1, np.int64)
+    place[slots] = np.arange(len(slots))
+    rows = [found[found >= 0] for found in (place[r] for r in rows)]
+    shares = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / max(1, len(grades)), 1e-3, 1 - 1e-3)
+    n, n_cuts = len(slots), n_grades - 1
+    # One vector: the weights, then the thresholds.
+    state = np.concatenate([np.zeros(n), np.maximum.accumulate(np.log(shares / (1 - shares)) + 1e-3 * np.arange(n_cuts))])
+    first, second = np.zeros_like(state), np.zeros_like(state)
     rng = np.random.default_rng(seed)
-    mean_weights, mean_thresholds = np.zeros(1 << bits), np.zeros(n_grades - 1)
-    for epoch in range(epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), batch):
-            some = order[at : at + batch]
-            columns = [rows[i] for i in some]
-            flat, lengths = np.concatenate(columns), np.fromiter(map(len, columns), int)
-            owner = np.repeat(np.arange(len(some)), lengths)
-            scores = np.bincount(owner, weights[flat], len(some))
-            y = grades[some]
-            below = 1 / (1 + np.exp(np.clip(scores[:, None] - thresholds[None, :], -60, 60)))  # P(grade <= k)
-            bounds = np.hstack([np.zeros((len(some), 1)), below, np.ones((len(some), 1))])
-            pull = 1 - bounds[np.arange(len(y)), y] - bounds[np.arange(len(y)), y + 1]  # minus d log P / d score
-            gradient = np.bincount(flat, pull[owner], 1 << bits) / len(some)
-            touched = np.flatnonzero(gradient)
-            own = gradient[touched]
-            squares[touched] += own**2
-            rate = step / np.sqrt(squares[touched])
-            moved = weights[touched] - rate * own
-            weights[touched] = np.sign(moved) * np.maximum(0, np.abs(moved) - rate * shrink)
-            # Thresholds follow the same likelihood; the order is kept.
-            inside = np.maximum(1e-12, bounds[np.arange(len(y)), y + 1] - bounds[np.arange(len(y)), y])
-            slope = below * (1 - below)
-            change = np.zeros(n_grades - 1)
-            for k in range(n_grades - 1):
-                change[k] = (-(slope[:, k] / inside)[y == k].sum() + (slope[:, k] / inside)[y == k + 1].sum()) / len(some)
-            threshold_squares += change**2
-            thresholds = np.maximum.accumulate(thresholds - step * change / np.sqrt(threshold_squares))
-        if epoch >= epochs // 2:
-            mean_weights += weights / (epochs - epochs // 2)
-            mean_thresholds += thresholds / (epochs - epochs // 2)
-    return Ordinal(mean_weights.astype(np.float32), mean_thresholds, bits)
+    order = np.zeros(0, np.int64)
+    for update in range(1, updates + 1):
+        if not len(order):
+            order = rng.permutation(len(rows))
+        some, order = order[:batch], order[batch:]
+        flat = np.concatenate([rows[i] for i in some])
+        owner = np.repeat(np.arange(len(some)), [len(rows[i]) for i in some])
+        scores, y = np.bincount(owner, state[flat], len(some)), grades[some]
+        below = 1 / (1 + np.exp(np.clip(scores[:, None] - state[None, n:], -60, 60)))  # P(grade <= k)
+        bounds = np.hstack([np.zeros((len(some), 1)), below, np.ones((len(some), 1))])
+        high, low = bounds[np.arange(len(y)), y + 1], bounds[np.arange(len(y)), y]
+        gradient = np.zeros_like(state)
+        gradient[:n] = np.bincount(flat, (1 - high - low)[owner], n)  # minus d log P / d score
+        slope = below * (1 - below) / np.maximum(1e-12, high - low)[:, None]
+        for k in range(n_cuts):
+            gradient[n + k] = slope[y == k + 1, k].sum() - slope[y == k, k].sum()
+        gradient /= len(some)
+        first += 0.1 * (gradient - first)
+        second += 0.001 * (gradient**2 - second)
+        rate = step * (1 - update / (updates + 1))
+        state -= rate * (first / (1 - 0.9**update)) / (np.sqrt(second / (1 - 0.999**update)) + 1e-8)
+        state[:n] = np.minimum(0, state[:n] + rate * shrink)  # such features speak against a text only
+        state[n:] = np.maximum.accumulate(state[n:])  # thresholds stay in order
+    weights = np.zeros(1 << bits, np.float32)
+    weights[slots] = state[:n]
+    return Ordinal(weights, state[n:], bits)
 
 
 def rated(docs: DataFrame, ratings: DataFrame, *, max_labelled: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chosen_path, interleave, latent, licenses, ordinal, records, transducer
+from plumbline.llm import bloom_lm, chosen_path, interleave, latent, licenses, ordinal, records, transducer
 
 _QUERIES = [
     records.op2_token_records,
     transducer.op3_piece_transducer,
     chosen_path.op4_near_duplicates,
     interleave.op6_interleaved_shards,
+    bloom_lm.op7_bloom_model_scores,
     ordinal.op8_graded_quality,
     licenses.op9_license_labels,
     latent.op10_latent_leaks,
