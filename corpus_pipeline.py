@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.chosen_path import near_duplicate_stage
 from plumbline.llm.common import shared_folder, table
+from plumbline.llm.latent import decontamination_stage
+from plumbline.llm.ordinal import quality_stage
+from plumbline.llm.transducer import encoding_stage
 
 #: (name, function): function(spark, docs, sf_dir) -> DataFrame
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("encoding", encoding_stage),
+]
 
 #: The stages train models, hash and encode: SQL cannot express them.
 ORACLE_SQL = None

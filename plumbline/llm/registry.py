@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bloom_lm, chosen_path, interleave, latent, licenses, ordinal, records, transducer
+from plumbline.llm import bloom_lm, chosen_path, forest, interleave, latent, licenses, ordinal, records, transducer, url_lists
 
 _QUERIES = [
+    forest.op1_projection_forest,
     records.op2_token_records,
     transducer.op3_piece_transducer,
     chosen_path.op4_near_duplicates,
+    url_lists.op5_temporal_url_lists,
     interleave.op6_interleaved_shards,
     bloom_lm.op7_bloom_model_scores,
     ordinal.op8_graded_quality,
@@ -25,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_temporal_url_lists": url_lists.OP5_SQL}
