@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-_BROADCAST_HASHES = 2_000_000
-
-
-def duplicate_rows(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+def duplicate_rows(
+    df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None, *, broadcast_up_to: int = 2_000_000
+) -> DataFrame:
     """Per partition: `rows`, and `duplicates` = rows beyond the first of each distinct row.
 
-    Runs one job to learn how many hashes repeat. None: done. A few: they are
-    broadcast and only the suspects move. Too many to broadcast: a shuffle join.
+    Runs one job to learn how many hashes repeat. None: done. At most
+    `broadcast_up_to`: they are broadcast and only the suspects move. More: all rows
+    are grouped, equal ones collapsed into counters before they move.
     """
     by = by or []
     columns = [c for c in (columns or df.columns) if c not in by]
@@ -35,15 +35,13 @@ def duplicate_rows(df: DataFrame, columns: list[str] | None = None, by: list[str
         .agg(F.count(F.lit(1)).alias("copies"))
         .filter("copies > 1")
         .select("row_hash")
-        .persist()
     )
     n = repeated.count()
     if n == 0:
         return totals
-    side = F.broadcast(repeated) if n <= _BROADCAST_HASHES else repeated
+    suspects = hashed.join(F.broadcast(repeated), "row_hash", "left_semi") if n <= broadcast_up_to else hashed
     extra = (
-        hashed.join(side, "row_hash", "left_semi")
-        .groupBy(*by, *columns)
+        suspects.groupBy(*by, *columns)
         .agg((F.count(F.lit(1)) - 1).alias("extra"))
         .groupBy(*by)
         .agg(F.lit(0).cast("bigint").alias("rows"), F.sum("extra").alias("duplicates"))

@@ -7,10 +7,13 @@ nothing here sorts a whole check's history in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed
+from plumbline.operators.percentiles import log_bucket
 
 _HOUR = 3600 * 1_000_000
 _DAY = 24 * _HOUR
@@ -80,32 +83,53 @@ def percent_change(value: Column, earlier: Column, absolute: bool) -> Column:
     return F.when(earlier.isNull() | (earlier == 0), None).otherwise((value - earlier) / base * 100)
 
 
-def anomaly_fence(history: DataFrame, keys: list[str], as_of: str | Column) -> DataFrame:
-    """The range a reading is expected in: quartiles of its last 90 days, widened by 1.5 spans.
+def _ranked(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Add how many readings of the key come before each row, and all of the key's."""
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("total", F.sum("n").over(group))
+
 
-    At most the newest 1,000 readings of a key are kept; the limit is applied
-    before the shuffle, so a key with a long history is cheap.
+def anomaly_fence(
+    history: DataFrame, keys: list[str], as_of: str | Column, *, days: int = fixed.ANOMALY_DAYS, newest: int | None = None
+) -> DataFrame:
+    """The range a reading is expected in: quartiles of its last `days` days, widened by 1.5 spans.
+
+    `newest` keeps only so many of the newest readings of a key; without it all count.
+    Quartiles are found by counting: readings per bucket of values first, then single
+    values within the bucket that holds the rank, so a key of any length is no burden.
     """
     now = F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
     recent = history.filter(
         F.col("actual_value").isNotNull()
-        & (F.col("executed_at").cast("timestamp") >= now - F.expr(f"INTERVAL {fixed.ANOMALY_DAYS} DAYS"))
+        & (F.col("executed_at").cast("timestamp") >= now - F.expr(f"INTERVAL {days} DAYS"))
         & (F.col("executed_at").cast("timestamp") < now)
     ).select(*keys, "executed_at", F.col("actual_value").cast("double").alias("reading"))
-    newest = Window.partitionBy(*keys).orderBy(F.desc("executed_at"), "reading")
-    readings = F.array_sort(F.collect_list("reading"))
-    n = F.size("readings")
+    if newest is not None:
+        order = Window.partitionBy(*keys).orderBy(F.desc("executed_at"), "reading")
+        recent = recent.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= newest)
+    values = recent.groupBy(*keys, "reading").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", log_bucket(F.col("reading")))
+    buckets = _ranked(values.groupBy(*keys, "bucket").agg(F.sum("n").alias("n")), keys, "bucket")
+    # Ranks count from 0: a quarter and three quarters of the way.
+    ranks = F.array(
+        F.struct(F.lit("q1").alias("name"), F.floor(F.col("total") / 4).alias("rank")),
+        F.struct(F.lit("q3").alias("name"), F.floor(F.col("total") * 3 / 4).alias("rank")),
+    )
+    holders = (
+        buckets.withColumn("quartile", F.explode(ranks))
+        .filter("quartile.rank >= before AND quartile.rank < before + n")
+        .select(*keys, "bucket", "quartile.name", (F.col("quartile.rank") - F.col("before")).alias("rank"), F.col("total").alias("all"))
+    )
+    same = reduce(lambda a, b: a & b, [F.col(f"v.{k}").eqNullSafe(F.col(f"h.{k}")) for k in [*keys, "bucket"]])
+    inside = values.alias("v").join(holders.alias("h"), same).select("v.*", "h.name", "h.rank", "h.all")
+    found = _ranked(inside, [*keys, "name"], "reading").filter("rank >= before AND rank < before + n")
     span = F.col("q3") - F.col("q1")
     return (
-        recent.withColumn("nth", F.row_number().over(newest))
-        .filter(F.col("nth") <= fixed.ANOMALY_READINGS)
-        .groupBy(*keys)
-        .agg(readings.alias("readings"))
-        .select(
-            *keys,
-            n.alias("history_count"),
-            F.element_at("readings", F.floor(n / 4).cast("int") + 1).alias("q1"),
-            F.element_at("readings", F.floor(n * 3 / 4).cast("int") + 1).alias("q3"),
+        found.groupBy(*keys)
+        .agg(
+            F.max("all").cast("int").alias("history_count"),
+            F.max(F.when(F.col("name") == "q1", F.col("reading"))).alias("q1"),
+            F.max(F.when(F.col("name") == "q3", F.col("reading"))).alias("q3"),
         )
         .withColumn("fence_low", F.col("q1") - fixed.ANOMALY_WIDTH * span)
         .withColumn("fence_high", F.col("q3") + fixed.ANOMALY_WIDTH * span)

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 _SLICES = 1024
 _LOG_STEPS = 64
-_SMALL_ROWS = 1_000_000
+_NARROWINGS = 3
 _FEW_GROUPS = 10_000
 
 
-def _log_bucket(v: Column) -> Column:
+def log_bucket(v: Column) -> Column:
     """An order-keeping bucket number for any double, NaN last as in a sort."""
     step = F.floor(F.least(F.log1p(F.abs(v)), F.lit(750.0)) * _LOG_STEPS)
     return F.when(F.isnan(v), F.lit(100_000).cast("bigint")).otherwise(
@@ -46,38 +46,21 @@ def _keep_rank_holders(counts: DataFrame, group: list[str], order: str) -> DataF
     )
 
 
-def _built_in(values: DataFrame, group: list[str], fractions: dict[str, list[float]]) -> DataFrame:
-    asked = sorted({float(f) for fs in fractions.values() for f in fs})
-    mine = F.lit(False)
-    for series, fs in fractions.items():
-        mine = mine | ((F.col("series") == series) & F.col("fraction").isin([float(f) for f in fs]))
-    pairs = F.arrays_zip(F.array(*map(F.lit, asked)).alias("fraction"), F.col("found").alias("value"))
-    return (
-        values.filter(F.col("v").isNotNull())
-        .groupBy(*group)
-        .agg(F.percentile("v", asked).alias("found"))
-        .select(*group, F.inline(pairs))
-        .filter(mine)
-    )
-
-
 def exact_percentiles(
-    values: DataFrame, keys: list[str], fractions: dict[str, list[float]], *, small: int = _SMALL_ROWS
+    values: DataFrame, keys: list[str], fractions: dict[str, list[float]], *, few_groups: int = _FEW_GROUPS
 ) -> DataFrame:
     """Interpolated percentiles (percentile_cont) per group and series.
 
     `values` has the key columns, `series` and a double `v`; NULLs are left out.
-    `fractions` names the percentiles of each series. The rows are counted first: up
-    to `small` of them fit one task whatever their values; a thousand times as many
-    need one narrowing pass, more need two. Returns keys, series, fraction, value.
+    `fractions` names the percentiles of each series. The way is the same for every
+    size: logarithmic buckets, three narrowings by 1024, then single values; a bucket
+    spans a sixty-fourth of its value, so that no more than some ten thousand distinct
+    doubles can be left. Up to `few_groups` groups, what is looked for is broadcast, else
+    joined. Returns keys, series, fraction, value.
     """
-    rows = values.count()
-    if rows <= small:
-        return _built_in(values, [*keys, "series"], fractions)
-    passes = 1 if rows <= 1000 * small else 2
     # The rank rows, two per group and percentile, are broadcast if the groups are few.
-    few_groups = not keys or values.select(*keys).distinct().limit(_FEW_GROUPS + 1).count() <= _FEW_GROUPS
-    values = values.filter(F.col("v").isNotNull()).withColumn("k", _log_bucket(F.col("v")))
+    small = not keys or values.select(*keys).distinct().limit(few_groups + 1).count() <= few_groups
+    values = values.filter(F.col("v").isNotNull()).withColumn("k", log_bucket(F.col("v")))
     group = [*keys, "series"]
     wanted = F.array(
         *[
@@ -115,11 +98,11 @@ def exact_percentiles(
     carried = ["rank", "weight"]
 
     def candidates(targets: DataFrame) -> DataFrame:
-        side = F.broadcast(targets) if few_groups else targets
+        side = F.broadcast(targets) if small else targets
         same = _same("a", "t", [*group, "k"]) & F.col("a.v").between(F.col("t.lo"), F.col("t.hi"))
         return values.alias("a").join(side.alias("t"), same).select("t.*", "a.v")
 
-    for _ in range(passes):
+    for _ in range(_NARROWINGS):
         width = F.col("hi") - F.col("lo")
         narrowed = (
             candidates(targets)

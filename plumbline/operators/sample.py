@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS = 10_000
 _DIGITS = 12
 _SPARE = 4
 
@@ -20,14 +19,14 @@ def repeatable_sample(
     hash is far too large are dropped first. The cut leaves about four times the
     rows wanted; should it leave too few, the whole table is sorted.
     """
-    rows = min(rows, MAX_ROWS)
+    if rows < 0:
+        raise ValueError("a sample has at least 0 rows")
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
     kept = [c for c in df.columns if c not in pii]
     hashed = df.withColumn("_digest", digest)
-    total = df.count()
-    if total > 10 * _SPARE * rows:
-        limit = format(int(_SPARE * rows / total * 16**_DIGITS), f"0{_DIGITS}x")
-        low = hashed.filter(F.left("_digest", F.lit(_DIGITS)) < limit)
+    share = _SPARE * rows / max(1, df.count())
+    if share < 1:
+        low = hashed.filter(F.left("_digest", F.lit(_DIGITS)) < format(int(share * 16**_DIGITS), f"0{_DIGITS}x"))
         if low.select("_digest").count() >= rows:
             hashed = low
     return hashed.orderBy("_digest", *key).limit(rows).select(*kept)

@@ -54,13 +54,13 @@ def test_exact_distinct_counts_do_not_multiply_rows(spark, sf_dir):
     assert "Expand" not in plan_of(measure(load(spark, sf_dir, "orders"), probes))
 
 
-def test_large_percentiles_never_use_the_built_in_aggregate(spark, sf_dir):
+def test_percentiles_never_use_the_built_in_aggregate(spark, sf_dir):
     values = load(spark, sf_dir, "orders").select(F.lit("s").alias("series"), F.col("o_totalprice").alias("v"))
-    large = plan_of(exact_percentiles(values, [], {"s": [0.5]}, small=0))
-    assert "percentile" not in large and "BroadcastHashJoin" in large
-    assert "percentile" in plan_of(exact_percentiles(values, [], {"s": [0.5]}))
+    plan = plan_of(exact_percentiles(values, [], {"s": [0.5]}))
+    assert "percentile" not in plan and "BroadcastHashJoin" in plan
 
 
-def test_the_newest_readings_are_limited_before_the_shuffle(spark, sf_dir):
+def test_a_fence_counts_readings_and_gathers_none(spark, sf_dir):
     past = load(spark, sf_dir, "events").selectExpr("event_type AS check_id", "ts AS executed_at", "value AS actual_value")
-    assert "WindowGroupLimit" in plan_of(history.anomaly_fence(past, ["check_id"], "2024-01-31"))
+    assert "collect_list" not in plan_of(history.anomaly_fence(past, ["check_id"], "2024-01-31"))
+    assert "WindowGroupLimit" in plan_of(history.anomaly_fence(past, ["check_id"], "2024-01-31", newest=1000))

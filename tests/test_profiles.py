@@ -142,6 +142,7 @@ def test_duplicate_rows_keep_null_positions_apart(spark):
     df = spark.createDataFrame(rows, "p string, q string")
     got = duplicate_rows(df).first()
     assert (got.rows, got.duplicates) == (len(rows), len(rows) - len(set(rows)))
+    assert duplicate_rows(df, broadcast_up_to=0).first() == got
     assert duplicate_rows(df.filter("q = 'z'")).first().duplicates == 0
 
 
