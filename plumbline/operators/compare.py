@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,12 @@ def statistics(df: DataFrame, wanted: dict[str, tuple[str, str | None]], by: lis
 
 
 def paired(left: DataFrame, right: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """The two sources' values of each statistic side by side, by key; a side without the key is NULL."""
-    a = left.select(*keys, F.col(value).alias("current_value"))
-    b = right.select(*keys, F.col(value).alias("reference_value"))
-    return a.join(b, keys, "full_outer")
+    """The two sources' values of each statistic side by side, by key (NULL is a key too); a side without the key is NULL."""
+    a = left.select(*keys, F.col(value).alias("current_value")).alias("a")
+    b = right.select(*keys, F.col(value).alias("reference_value")).alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys])
+    both = [F.coalesce(F.col(f"a.`{k}`"), F.col(f"b.`{k}`")).alias(k) for k in keys]
+    return a.join(b, same, "full_outer").select(*both, "current_value", "reference_value")
 
 
 def capped_ratio(current: Column, reference: Column) -> Column:

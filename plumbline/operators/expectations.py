@@ -7,6 +7,7 @@ All expectations that are plain aggregates share one pass over the table.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -125,8 +126,18 @@ STRFTIME_LETTERS = {
 
 
 def spark_format(strftime: str) -> str:
-    """A strftime format as a Spark datetime pattern."""
-    return reduce(lambda text, pair: text.replace(*pair), STRFTIME_LETTERS.items(), strftime)
+    """A strftime format as a Spark datetime pattern: directives by the table, letters of their own quoted."""
+    out = []
+    for part in re.findall(r"%.|[^%]+", strftime):
+        if part == "%%":
+            out.append("%")
+        elif part[0] == "%":
+            if part not in STRFTIME_LETTERS:
+                raise ValueError(f"unknown format directive {part}")
+            out.append(STRFTIME_LETTERS[part])
+        else:
+            out.append(re.sub("[A-Za-z'\\[\\]{}#]+", lambda m: "'" + m[0].replace("'", "''") + "'", part))
+    return "".join(out)
 
 
 _add("row_count_min", "volume", build=lambda t, p: (rows(), _within(p["min_value"], None)))

@@ -25,10 +25,15 @@ def fold(results: DataFrame, open_before: DataFrame | None = None) -> DataFrame:
     failures between two passes share the number of passes before them, so that
     number names the incident. It is counted hour by hour: passes per check and hour,
     a running total over the hours, and a running count inside each hour. A check
-    that runs all the time is spread over its hours.
+    that runs all the time is spread over its hours. If the results have a
+    `partition`, every partition of a check has incidents of its own.
     """
+    keys = ["check_id", "partition"] if "partition" in results.columns else ["check_id"]
+    results, open_before = (
+        df if df is None or len(keys) == 1 else df.withColumn("partition", F.coalesce("partition", F.lit(""))) for df in (results, open_before)
+    )
     rows = results.select(
-        "check_id",
+        *keys,
         F.col("executed_at").cast("timestamp").alias("executed_at"),
         "passed",
         "severity",
@@ -40,7 +45,7 @@ def fold(results: DataFrame, open_before: DataFrame | None = None) -> DataFrame:
         by_incident = {v: k for k, v in fixed.INCIDENT_SEVERITY.items()}
         rows = rows.unionByName(
             open_before.select(
-                "check_id",
+                *keys,
                 F.col("last_failure_at").alias("executed_at"),
                 F.lit(False).alias("passed"),
                 _lookup(by_incident, F.col("severity"), "error").alias("severity"),
@@ -50,23 +55,23 @@ def fold(results: DataFrame, open_before: DataFrame | None = None) -> DataFrame:
             )
         )
     rows = rows.withColumn("hour", F.date_trunc("hour", "executed_at"))
-    per_hour = rows.groupBy("check_id", "hour").agg(F.count_if("passed").alias("passes"))
-    hours = Window.partitionBy("check_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = per_hour.select("check_id", "hour", F.coalesce(F.sum("passes").over(hours), F.lit(0)).alias("earlier"))
+    per_hour = rows.groupBy(*keys, "hour").agg(F.count_if("passed").alias("passes"))
+    hours = Window.partitionBy(*keys).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = per_hour.select(*keys, "hour", F.coalesce(F.sum("passes").over(hours), F.lit(0)).alias("earlier"))
     within = (
-        Window.partitionBy("check_id", "hour")
+        Window.partitionBy(*keys, "hour")
         .orderBy("executed_at", "passed", "severity", "message")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     numbered = (
         rows.withColumn("so_far", F.sum(F.col("passed").cast("int")).over(within))
-        .join(earlier, ["check_id", "hour"])
+        .join(earlier, [*keys, "hour"])
         # A pass closes the incident before it, so it carries that incident's number.
         .withColumn("incident", F.col("earlier") + F.col("so_far") - F.col("passed").cast("int"))
     )
     failed = ~F.col("passed")
     spoken = F.struct("executed_at", "severity", "message")
-    folded = numbered.groupBy("check_id", "incident").agg(
+    folded = numbered.groupBy(*keys, "incident").agg(
         F.coalesce(F.sum(F.when(failed, F.col("weight"))), F.lit(0)).alias("failure_count"),
         F.min(F.when(failed, F.col("since"))).alias("first_failure_at"),
         F.max(F.when(failed, F.col("executed_at"))).alias("last_failure_at"),
@@ -74,12 +79,14 @@ def fold(results: DataFrame, open_before: DataFrame | None = None) -> DataFrame:
         F.max(F.when(failed, spoken)).alias("last"),
         F.min(F.when(F.col("passed"), F.col("executed_at"))).alias("resolved_at"),
     )
+    named = [F.col("check_id"), *([F.when(F.col("partition") != "", F.col("partition"))] if len(keys) > 1 else [])]
     return folded.filter("failure_count > 0").select(
         "check_id",
-        F.concat_ws("/", "check_id", F.date_format("first_failure_at", "yyyy-MM-dd HH:mm:ss")).alias("incident_id"),
+        *([named[1].alias("partition")] if len(keys) > 1 else []),
+        F.concat_ws("/", *named, F.date_format("first_failure_at", "yyyy-MM-dd HH:mm:ss")).alias("incident_id"),
         F.when(F.col("resolved_at").isNull(), "open").otherwise("resolved").alias("status"),
         _lookup(fixed.INCIDENT_SEVERITY, F.col("first.severity"), "medium").alias("severity"),
-        F.concat(F.lit("Check failed: "), F.col("check_id")).alias("title"),
+        F.concat(F.lit("Check failed: "), F.concat_ws(" ", *named)).alias("title"),
         F.col("last.message").alias("description"),
         "first_failure_at",
         "last_failure_at",

@@ -49,8 +49,12 @@ def traffic_light(points: Column) -> Column:
 
 
 def latest_of_checks(checks: DataFrame, results: DataFrame, **window: str) -> DataFrame:
-    """Active checks, each with its latest result; the result columns are NULL when it never ran."""
-    newest = latest(results.select("check_id", "executed_at", "actual_value", "passed", "severity"), ["check_id"], **window)
+    """Active checks, each with its latest result; the result columns are NULL when it never ran.
+
+    A check that runs by partition (the results have that column) has a row for each partition.
+    """
+    keys = ["check_id", "partition"] if "partition" in results.columns else ["check_id"]
+    newest = latest(results.select(*keys, "executed_at", "actual_value", "passed", "severity"), keys, **window)
     return checks.filter("is_active").join(newest, "check_id", "left")
 
 
@@ -58,7 +62,7 @@ def dimension_scores(checks: DataFrame, results: DataFrame, **window: str) -> Da
     """One row per quality dimension, from the latest result of each active check."""
     current = with_dimension(latest_of_checks(checks, results, **window))
     counted = current.filter(F.col("dimension").isNotNull()).groupBy("dimension").agg(
-        F.count(F.lit(1)).alias("checks"), F.count_if(F.col("executed_at").isNull()).alias("not_run"), *_counts(F.col("severity"))
+        F.count_distinct("check_id").alias("checks"), F.count_if(F.col("executed_at").isNull()).alias("not_run"), *_counts(F.col("severity"))
     )
     spark = checks.sparkSession
     all_dimensions = spark.createDataFrame([(d,) for d in fixed.DIMENSIONS], "dimension string")

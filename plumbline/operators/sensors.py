@@ -47,6 +47,11 @@ from plumbline.functions.text import (
 )
 
 
+def quoted(name: str) -> str:
+    """A column name as an identifier, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 class Target:
     """One column in the shapes sensors ask for."""
 
@@ -54,7 +59,7 @@ class Target:
         self.name = name
         self.data_type = data_type
         is_text = data_type == "string"
-        self.value = F.col(name)
+        self.value = F.col(quoted(name))
         self.text = self.value if is_text else self.value.cast("string")
         if is_text:
             self.number = self.value.try_cast("double")
@@ -67,7 +72,7 @@ class Target:
 
     def literals(self, values: list[Any]) -> list[Column]:
         """The values as literals of the column's own type."""
-        return [F.lit(v).cast(self.data_type) for v in values]
+        return [F.lit(v).try_cast(self.data_type) for v in values]
 
     def among(self, values: list[Any]) -> Column:
         return self.value.isin(*self.literals(values)) if values else F.lit(False)

@@ -11,10 +11,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline import fixed
 from plumbline.operators import compare, history, rules
 from plumbline.operators.checks import CHECKS, CheckType
 from plumbline.operators.measure import Probe, invalid_reason, measure
 
+_AVAILABILITY = "table_availability"
 _MATCH_CHECKS = {name for name, c in CHECKS.items() if name.endswith("_match") and c.category == "comparison"}
 
 
@@ -85,42 +87,63 @@ def checks_table(spark: SparkSession, checks: list[Check]) -> DataFrame:
     return spark.createDataFrame(rows, CHECK_SCHEMA)
 
 
-def _match_readings(checks: list[Check], tables: dict[str, DataFrame], exact: bool) -> list[DataFrame]:
-    """The same sensor on two sources, as a symmetric agreement in percent."""
+def _both_sides(check: Check) -> tuple[Probe, Probe]:
+    """What a `*_match` check measures on its own table and on the reference: the same filter holds for both."""
+    here = Probe(check.check_id, check.kind.sensor, check.column, {}, check.where)
+    there = Probe(check.check_id, check.kind.sensor, check.params.get("reference_column", check.column), {}, check.where)
+    return here, there
+
+
+def _match_readings(
+    checks: list[Check], counters: list[Probe], tables: dict[str, DataFrame], parts: list[str], exact: bool
+) -> list[DataFrame]:
+    """The same sensor on two sources, per partition, as a symmetric agreement in percent; counters of the first source."""
     frames = []
     sides = defaultdict(list)
     for c in checks:
         sides[(c.table, c.params.get("reference_table", c.table))].append(c)
     for (left, right), group in sides.items():
-        here = [Probe(c.check_id, c.kind.sensor, c.column) for c in group]
-        there = [Probe(c.check_id, c.kind.sensor, c.params.get("reference_column", c.column)) for c in group]
+        here, there = zip(*map(_both_sides, group))
         both = compare.paired(
-            measure(tables[left], here, exact=exact),
-            measure(tables[right], there, exact=exact),
-            ["probe_id"],
+            measure(tables[left], [*here, *counters], by=parts, exact=exact),
+            measure(tables[right], list(there), by=parts, exact=exact),
+            [*parts, "probe_id"],
             "sensor_value",
         )
-        value = compare.agreement(F.col("current_value"), F.col("reference_value"))
-        frames.append(both.select("probe_id", value.alias("sensor_value")))
+        agreed = compare.agreement(F.col("current_value"), F.col("reference_value"))
+        counted = F.col("probe_id").isin([c.probe_id for c in counters])
+        frames.append(both.select(*parts, "probe_id", F.when(counted, F.col("current_value")).otherwise(agreed).alias("sensor_value")))
     return frames
 
 
-def problems(checks: list[Check], tables: dict[str, DataFrame]) -> dict[str, str]:
+def _problem(check: Check, tables: dict[str, DataFrame], readings: DataFrame | None) -> str | None:
+    if check.check_type not in CHECKS:
+        return f"unknown check type {check.check_type}"
+    if check.table not in tables:
+        # A table that cannot be found is what an availability check reports.
+        return None if check.check_type == _AVAILABILITY else f"unknown table {check.table}"
+    matching = check.check_type in _MATCH_CHECKS
+    here, there = _both_sides(check) if matching else (check.probe, None)
+    reason = invalid_reason(tables[check.table], here)
+    if reason:
+        return reason
+    other = check.params.get("reference_table", check.table if matching else None)
+    if other is not None and other not in tables:
+        return f"unknown table {other}"
+    if there is not None:
+        return invalid_reason(tables[other], there)
+    column = check.params.get("reference_column")
+    if other is not None and column is not None and column not in tables[other].columns:
+        return f"unknown column {column} of {other}"
+    if readings is None and here.definition.family == "history":
+        return "the history of readings is needed"
+    return None
+
+
+def problems(checks: list[Check], tables: dict[str, DataFrame], readings: DataFrame | None = None) -> dict[str, str]:
     """Why checks cannot run, by check id. Nothing is executed."""
-    found = {}
-    for c in checks:
-        if c.check_type not in CHECKS:
-            found[c.check_id] = f"unknown check type {c.check_type}"
-        elif c.table not in tables:
-            found[c.check_id] = f"unknown table {c.table}"
-        elif c.check_type not in _MATCH_CHECKS:
-            reason = invalid_reason(tables[c.table], c.probe)
-            other = c.params.get("reference_table")
-            if reason is None and other is not None and other not in tables:
-                reason = f"unknown table {other}"
-            if reason:
-                found[c.check_id] = reason
-    return found
+    found = {c.check_id: _problem(c, tables, readings) for c in checks}
+    return {check_id: reason for check_id, reason in found.items() if reason}
 
 
 def take_readings(
@@ -141,16 +164,21 @@ def take_readings(
         single = [c for c in group if c.check_type not in _MATCH_CHECKS]
         double = [c for c in group if c.check_type in _MATCH_CHECKS]
         taken = []
-        if single:
+        for some, matching in ((single, False), (double, True)):
+            if not some:
+                continue
             # One row counter per distinct filter, in the same pass as its sensors.
-            filters = {c.where: f"rows {i}" for i, c in enumerate(single)}
+            filters = {c.where: f"rows {i}" for i, c in enumerate(some)}
             counters = [Probe(name, "row_count", None, {}, where) for where, name in filters.items()]
-            probes = [c.probe for c in single] + counters
-            measured = measure(df, probes, by=parts, exact=exact, tables=tables, readings=readings)
+            if matching:
+                measured = reduce(DataFrame.unionByName, _match_readings(some, counters, tables, parts, exact)).distinct()
+            else:
+                probes = [c.probe for c in some] + counters
+                measured = measure(df, probes, by=parts, exact=exact, tables=tables, readings=readings)
             counted = F.col("probe_id").isin(*filters.values())
             scope = F.lit(None).cast("string")
             for where, name in filters.items():
-                ids = [c.check_id for c in single if c.where == where]
+                ids = [c.check_id for c in some if c.where == where]
                 scope = F.when(F.col("probe_id").isin(*ids, name), F.lit(name)).otherwise(scope)
             partition = F.to_json(F.struct(*parts)) if parts else F.lit(None).cast("string")
             rows = measured.select(
@@ -170,15 +198,6 @@ def take_readings(
                 .filter(~F.col("is_counter"))
                 .select(F.col("probe_id").alias("check_id"), "partition", "rows_scanned", F.col("sensor_value").alias("actual_value"))
             )
-        for frame in _match_readings(double, tables, exact) if double else []:
-            taken.append(
-                frame.select(
-                    F.col("probe_id").alias("check_id"),
-                    F.lit(None).cast("string").alias("partition"),
-                    F.lit(None).cast("bigint").alias("rows_scanned"),
-                    F.col("sensor_value").alias("actual_value"),
-                )
-            )
         frames += taken
     return reduce(DataFrame.unionByName, frames)
 
@@ -195,6 +214,8 @@ def run_checks(
     results: DataFrame | None = None,
     readings: DataFrame | None = None,
     outside: DataFrame | None = None,
+    fence_days: int = fixed.ANOMALY_DAYS,
+    fence_readings: int | None = None,
 ) -> DataFrame:
     """Run checks and return graded result rows; nothing is stored (see `sources.results`).
 
@@ -202,14 +223,25 @@ def run_checks(
     row with an error message and does not stop the others. `results` is the
     earlier history (for anomaly fences), `readings` the history of plain metrics
     (for day-to-day changes), `outside` readings taken elsewhere
-    (check_id, actual_value) that are graded with the rest.
+    (check_id, actual_value) that are graded with the rest. An availability check of
+    a table that is not given reads 0. `fence_days` and `fence_readings` say how much of
+    the history an anomaly fence looks at (see `history.anomaly_fence`).
     """
-    refused = problems(checks, tables)
+    refused = problems(checks, tables, readings)
     runnable = [c for c in checks if c.check_id not in refused and c.active]
+    absent = [c for c in runnable if c.table not in tables]
+    runnable = [c for c in runnable if c.table in tables]
     now = F.lit(executed_at).cast("timestamp") if executed_at else F.current_timestamp()
     frames = []
     if runnable:
         frames.append(take_readings(runnable, tables, by=by, exact=exact, readings=readings))
+    if absent:
+        frames.append(
+            spark.createDataFrame(
+                [(c.check_id, None, 0, 0.0) for c in absent],
+                "check_id string, partition string, rows_scanned bigint, actual_value double",
+            )
+        )
     if outside is not None:
         frames.append(
             outside.select(
@@ -227,8 +259,12 @@ def run_checks(
         # The checks table is as long as the caller's list, not as the data.
         full = taken.join(F.broadcast(definitions), "check_id")
         if results is not None and any(c.kind.rule == "anomaly_percentile" for c in runnable):
-            fences = history.anomaly_fence(results, ["check_id"], now).drop("q1", "q3")
-            full = full.join(fences, "check_id", "left")
+            # A partition of a check is compared with its own past.
+            keys = ["check_id", "partition"] if "partition" in results.columns else ["check_id"]
+            fences = history.anomaly_fence(results, keys, now, days=fence_days, newest=fence_readings).drop("q1", "q3")
+            same = reduce(lambda a, b: a & b, [F.col(f"full.{k}").eqNullSafe(F.col(f"fences.{k}")) for k in keys])
+            bounds = [F.col(f"fences.{c}") for c in fences.columns if c not in keys]
+            full = full.alias("full").join(fences.alias("fences"), same, "left").select("full.*", *bounds)
         graded_parts.append(rules.grade(full, cascade=cascade).withColumn("error_message", F.lit(None).cast("string")))
     if refused:
         rows = [(c.check_id, c.check_type, c.table, c.column, refused[c.check_id]) for c in checks if c.check_id in refused]

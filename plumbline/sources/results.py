@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +15,10 @@ RESULTS_SCHEMA = ", ".join(f"{n} {t}" for n, t in RESULT_COLUMNS.items()) + ", r
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder all executors can reach: below spark.checkpoint.dir when the cluster names one."""
+    """A new folder all executors can reach: below spark.checkpoint.dir, which has to be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        # Nothing configured: a single machine, as in tests.
-        root = tempfile.mkdtemp(prefix="plumbline-")
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 

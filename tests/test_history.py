@@ -43,19 +43,30 @@ def test_change_formula(spark):
     assert plain == [25.0, -225.0, None, None] and absolute == [25.0, 225.0, None, None]
 
 
-def test_fence_uses_the_newest_thousand_of_ninety_days(spark):
+def test_fence_of_ninety_days(spark):
     now = START + timedelta(days=200)
     rows = [("long", now - timedelta(minutes=i), float(i % 100)) for i in range(1, 1501)]
     rows += [("short", now - timedelta(days=i), 1.0) for i in range(1, 7)]
     rows += [("old", now - timedelta(days=91 + i), 1.0) for i in range(20)]
     rows += [("nulls", now - timedelta(days=1), None)]
     df = spark.createDataFrame(rows, "check_id string, executed_at timestamp, actual_value double")
-    got = {r.check_id: r for r in history.anomaly_fence(df, ["check_id"], str(now)).collect()}
-    assert set(got) == {"long", "short"}
-    kept = sorted(float(i % 100) for i in range(1, 1001))
-    q1, q3 = kept[250], kept[750]
-    assert (got["long"].history_count, got["long"].q1, got["long"].q3) == (1000, q1, q3)
-    assert got["long"].fence_high == q3 + 1.5 * (q3 - q1) and got["short"].history_count == 6
+    for newest, n in ((None, 1500), (1000, 1000)):
+        got = {r.check_id: r for r in history.anomaly_fence(df, ["check_id"], str(now), newest=newest).collect()}
+        assert set(got) == {"long", "short"}
+        kept = sorted(float(i % 100) for i in range(1, n + 1))
+        q1, q3 = kept[n // 4], kept[n * 3 // 4]
+        assert (got["long"].history_count, got["long"].q1, got["long"].q3) == (n, q1, q3)
+        assert got["long"].fence_high == q3 + 1.5 * (q3 - q1) and got["short"].history_count == 6
+
+
+def test_partitions_of_a_check_have_a_history_of_their_own(spark):
+    at = [START + timedelta(hours=h) for h in range(6)]
+    rows = [("c", "p1", at[0], False), ("c", "p2", at[1], True), ("c", "p1", at[2], False), ("c", "p2", at[3], False), ("c", "p1", at[4], True), ("c", None, at[0], False)]
+    df = spark.createDataFrame([(*r, 1.0, "passed" if r[3] else "error", "m") for r in rows], "check_id string, partition string, executed_at timestamp, passed boolean, actual_value double, severity string, message string")
+    found = {(r.partition, r.status, r.failure_count) for r in incidents.fold(df).collect()}
+    assert found == {("p1", "resolved", 2), ("p2", "open", 1), (None, "open", 1)}
+    checks = spark.createDataFrame([("c", "row_count", True)], "check_id string, check_type string, is_active boolean")
+    assert {(r.partition, r.passed) for r in scoring.latest_of_checks(checks, df).collect()} == {("p1", True), ("p2", False), (None, False)}
 
 
 def _fold(rows):

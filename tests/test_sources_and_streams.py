@@ -80,7 +80,7 @@ def test_late_rows_are_counted_against_earlier_batches(spark, folder):
     for rows in ([(T0 + timedelta(hours=5), 1, 1.0)], [(T0 + timedelta(hours=3), 2, 1.0), (T0 + timedelta(hours=4, minutes=30), 3, 1.0), (T0 + timedelta(hours=6), 4, 1.0)]):
         _append(spark, source, rows)
         batches.drain(spark.readStream.schema(SCHEMA).parquet(source), writer, checkpoint)
-    got = [(r.rows, r.late_rows, r.lag_seconds) for r in spark.read.parquet(out).orderBy("batch_id").collect()]
+    got = [(r.rows, r.late_rows, r.lag_seconds) for r in spark.read.parquet(os.path.join(out, "batches")).orderBy("batch_id").collect()]
     assert got == [(1, 0, 19 * 3600), (3, 1, 18 * 3600)]
 
 
@@ -96,6 +96,22 @@ def test_window_changes_reach_back_over_batches(spark, folder):
     assert [(r.sensor_value, r.previous_value, r.change_percent) for r in got] == [(2.0, None, None), (4.0, 2.0, 100.0), (3.0, 4.0, -25.0)]
 
 
+def test_window_changes_keep_groups_apart(spark, folder):
+    schema = "window_start timestamp, window_end timestamp, kind string, probe_id string, sensor_value double"
+    hour = [T0 + timedelta(hours=h) for h in range(5)]
+    writer = batches.window_changes(folder)
+    first = [(hour[h], hour[h + 1], k, "n", v) for h, k, v in ((0, "a", 10.0), (0, None, 1.0), (1, "a", 20.0))]
+    later = [(hour[h], hour[h + 1], k, "n", v) for h, k, v in ((1, None, 3.0), (2, "a", 30.0), (2, "b", 5.0))]
+    for batch_id, rows in ((0, first), (1, later), (1, later)):
+        writer(spark.createDataFrame(rows, schema), batch_id)
+    got = {(r.window_start, r.kind): r.change_percent for r in spark.read.parquet(os.path.join(folder, "changes")).collect()}
+    assert got == {(hour[0], "a"): None, (hour[0], None): None, (hour[1], "a"): 100.0, (hour[1], None): 200.0, (hour[2], "a"): 50.0, (hour[2], "b"): None}
+    # However many batches there are, the state lies in two folders.
+    for batch_id in range(2, 7):
+        writer(spark.createDataFrame(later, schema), batch_id)
+    assert sorted(os.listdir(os.path.join(folder, "state"))) == ["slot=0", "slot=1"]
+
+
 def test_a_repeated_batch_leaves_no_second_copy(spark, people, folder):
     writer = batches.graded_batches([Check("n", "row_count", "people")], "people", folder)
     writer(people, 0)

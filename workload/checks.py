@@ -14,9 +14,10 @@ from plumbline.operators.measure import Probe, measure
 from plumbline.operators.rules import SEVERITIES
 from plumbline.operators.sensors import SENSORS
 from plumbline.plans.run import Check, run_checks
-from plumbline.sources.results import append_results, read_results, shared_folder
+from plumbline.sources.results import append_results, read_results
 from workload.sensor_cases import CASES, DAY, DAY_AS_OF, pct
 from workload.sensors import daily_readings
+from workload.folders import shared_folder
 from workload.tables import load, relation
 
 _NOW = "2024-02-01 00:00:00"

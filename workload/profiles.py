@@ -16,8 +16,9 @@ from plumbline.operators.inference import infer
 from plumbline.operators.profile import candidate_keys, profile
 from plumbline.operators.rules import RULE_THRESHOLDS
 from plumbline.operators.sample import repeatable_sample
-from plumbline.sources.results import cached_sample, shared_folder
+from plumbline.sources.results import cached_sample
 from workload.sensor_cases import rx
+from workload.folders import shared_folder
 from workload.tables import GIVEN, load, relation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

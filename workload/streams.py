@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.measure import Probe
 from plumbline.plans.run import Check
-from plumbline.sources.results import shared_folder
 from plumbline.streaming import batches, windows
 from plumbline.streaming.incidents import current_incidents, incident_batches
 from workload import history
+from workload.folders import shared_folder
 from workload.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,7 +132,7 @@ def _freshness(spark, sf_dir):
     folder = shared_folder(spark, "stream")
     writer = batches.freshness_of_batches("ts", "2 HOURS", os.path.join(folder, "out"), "2024-02-01 00:00:00")
     batches.drain(_events(spark, sf_dir), writer, os.path.join(folder, "checkpoint"))
-    found = spark.read.parquet(os.path.join(folder, "out"))
+    found = spark.read.parquet(os.path.join(folder, "out", "batches"))
     return found.agg(
         F.sum("rows").alias("rows"), F.sum("late_rows").alias("late_rows"), F.min("lag_seconds").alias("lag_seconds")
     )
