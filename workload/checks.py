@@ -13,7 +13,7 @@ from plumbline.operators.checks import CHECKS, CheckType
 from plumbline.operators.measure import Probe, measure
 from plumbline.operators.rules import SEVERITIES
 from plumbline.operators.sensors import SENSORS
-from plumbline.plans.run import Check, run_checks
+from plumbline.plans.run import Check, preview, run_checks
 from plumbline.sources.results import append_results, read_results
 from workload.sensor_cases import CASES, DAY, DAY_AS_OF, pct
 from workload.sensors import daily_readings
@@ -271,6 +271,97 @@ def _match_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _matches_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources compared under a filter that holds for both; row counts come from the first."""
+    tables = {n: load(spark, sf_dir, n) for n in ("orders", "finished_orders")}
+    checks = [
+        Check(n, n, "orders", _MATCH_COLUMN.get(n, "o_totalprice"), {"reference_table": "finished_orders"}, {},
+              "o_orderkey % 3 = 0 OR o_orderpriority = '1-URGENT'")
+        for n in ("row_count_match", "sum_match", "distinct_count_match")
+    ]
+    return _shown_with_rows(run_checks(spark, checks, tables, executed_at=_NOW))
+
+
+def _matches_per_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources compared per order priority and state."""
+    tables = {n: load(spark, sf_dir, n) for n in ("orders", "finished_orders")}
+    checks = [
+        Check(n, n, "orders", _MATCH_COLUMN.get(n, "o_totalprice"), {"reference_table": "finished_orders"})
+        for n in ("row_count_match", "sum_match", "distinct_count_match")
+    ]
+    by = ["o_orderpriority", "o_orderstatus"]
+    return _shown_with_rows(run_checks(spark, checks, tables, by=lambda table: by, executed_at=_NOW))
+
+
+def _shown_with_rows(results: DataFrame) -> DataFrame:
+    return results.select(
+        "check_type",
+        F.get_json_object("partition", "$.o_orderpriority").alias("priority"),
+        F.get_json_object("partition", "$.o_orderstatus").alias("status"),
+        F.round("actual_value", 6).alias("actual_value"),
+        "passed",
+        "rows_scanned",
+    )
+
+
+def _match_rows_sql(where: str, by: list[str]) -> str:
+    """The three agreements under a filter, per group."""
+    keys = "".join(f"{k}, " for k in by)
+    grouped = f" GROUP BY {', '.join(by)}" if by else ""
+    side = (
+        f"SELECT {keys}count(*) AS n, CAST(count(*) AS DOUBLE) AS row_count_match, sum(o_totalprice) AS sum_match, "
+        f"CAST(count(DISTINCT o_totalprice) AS DOUBLE) AS distinct_count_match FROM {{}} WHERE {where}{grouped}"
+    )
+    same = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in by) or "true"
+    shown = [f"coalesce(a.{k}, b.{k})" for k in by] or ["CAST(NULL AS VARCHAR)"] * 2
+    parts = []
+    for name in ("row_count_match", "sum_match", "distinct_count_match"):
+        a, b = f"a.{name}", f"b.{name}"
+        parts.append(
+            f"SELECT '{name}' AS check_type, {shown[0]} AS priority, {shown[1]} AS status, a.n AS rows_scanned, "
+            f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN greatest(abs({a}), abs({b})) = 0 THEN 100.0 "
+            f"ELSE least(abs({a}), abs({b})) / greatest(abs({a}), abs({b})) * 100 END AS v FROM a FULL JOIN b ON {same}"
+        )
+    return (
+        f"WITH a AS ({side.format('orders')}), b AS ({side.format(relation('finished_orders'))}) "
+        f"SELECT check_type, priority, status, round(v, 6) AS actual_value, coalesce(v >= 100, false) AS passed, rows_scanned "
+        f"FROM ({' UNION ALL '.join(parts)})"
+    )
+
+
+def _availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is there, and one that is not, next to a check of the first."""
+    checks = [
+        Check("orders there", "table_availability", "orders"),
+        Check("clients there", "table_availability", "clients"),
+        Check("rows", "row_count", "orders"),
+    ]
+    return run_checks(spark, checks, {"orders": load(spark, sf_dir, "orders")}, executed_at=_NOW).select(
+        "check_id", "actual_value", "passed", "rows_scanned", F.col("error_message").isNotNull().alias("refused")
+    )
+
+
+_AVAILABILITY_SQL = """
+SELECT 'orders there' AS check_id, 1.0::DOUBLE AS actual_value, true AS passed, count(*) AS rows_scanned, false AS refused FROM orders
+UNION ALL SELECT 'rows', count(*)::DOUBLE, count(*) >= 1, count(*), false FROM orders
+UNION ALL SELECT 'clients there', 0.0, false, 0, false"""
+
+
+def _previewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One check tried out, nothing stored."""
+    check = Check("tried", "distinct_percent", "orders", "o_custkey", thresholds={"warning": {"min_percent": 1}})
+    return preview(spark, check, {"orders": load(spark, sf_dir, "orders")}, executed_at=_NOW).select(
+        "check_id", F.round("actual_value", 6).alias("actual_value"), "passed", "severity", "rows_scanned"
+    )
+
+
+_PREVIEWED_SQL = """
+SELECT 'tried' AS check_id, round(100.0 * count(DISTINCT o_custkey) / count(o_custkey), 6) AS actual_value,
+  100.0 * count(DISTINCT o_custkey) / count(o_custkey) >= 1 AS passed,
+  CASE WHEN 100.0 * count(DISTINCT o_custkey) / count(o_custkey) >= 1 THEN 'passed' ELSE 'warning' END AS severity,
+  count(*) AS rows_scanned FROM orders"""
+
+
 _LEVELS = {"fatal": {"max_value": 52.0}, "error": {"max_value": 50.0}, "warning": {"max_value": 48.0}}
 
 
@@ -314,6 +405,14 @@ def _isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
         Check("bad type", "no_such_check", "customer"),
         Check("no table", "row_count", "clients"),
         Check("no reference", "foreign_key_not_found", "customer", "c_nationkey"),
+        Check("unknown key", "foreign_key_not_found", "customer", "c_nationkey",
+              {"reference_table": "customer", "reference_column": "no_such"}),
+        Check("unknown total", "total_sum_match_percent", "customer", "c_acctbal",
+              {"reference_table": "customer", "reference_column": "no_such"}),
+        Check("unknown match", "sum_match", "customer", "c_fax", {"reference_table": "customer"}),
+        Check("unknown source", "sum_match", "customer", "c_acctbal", {"reference_table": "clients"}),
+        Check("no readings", "row_count_change_1_day", "customer"),
+        Check("odd values", "number_found_in_set_percent", "customer", "c_nationkey", {"expected_values": ["abc"]}),
         Check("imported", "import_custom_result_on_table", "customer", None, {}, {"error": {"min_value": 10}}, active=False),
     ]
     customer = load(spark, sf_dir, "customer")
@@ -335,7 +434,10 @@ SELECT 'imported', CAST(count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS DOU
   count(*) FILTER (WHERE c_mktsegment = 'BUILDING') >= 10,
   CASE WHEN count(*) FILTER (WHERE c_mktsegment = 'BUILDING') >= 10 THEN 'passed' ELSE 'error' END, false FROM customer
 UNION ALL
-SELECT unnest(['no column', 'bad column', 'bad condition', 'no condition', 'bad type', 'no table', 'no reference']),
+SELECT 'odd values', 0.0, false, 'error', false
+UNION ALL
+SELECT unnest(['no column', 'bad column', 'bad condition', 'no condition', 'bad type', 'no table', 'no reference',
+  'unknown key', 'unknown total', 'unknown match', 'unknown source', 'no readings']),
   NULL, false, 'error', true"""
 
 
@@ -452,6 +554,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found["checks_against_earlier_days"] = _earlier
     found["checks_for_anomalies"] = _anomalies
     found["checks_between_two_sources"] = _matches
+    found["checks_between_two_sources_filtered"] = _matches_filtered
+    found["checks_between_two_sources_per_partition"] = _matches_per_partition
+    found["checks_of_missing_tables"] = _availability
+    found["check_previewed"] = _previewed
     found["checks_per_day_and_type_with_cascade"] = _cascade
     found["checks_with_failures_isolated"] = _isolated
     found["check_messages"] = _messages
@@ -470,6 +576,10 @@ def oracle_sql() -> dict[str, str]:
     )
     found["checks_for_anomalies"] = _anomaly_sql()
     found["checks_between_two_sources"] = _match_sql()
+    found["checks_between_two_sources_filtered"] = _match_rows_sql("o_orderkey % 3 = 0 OR o_orderpriority = '1-URGENT'", [])
+    found["checks_between_two_sources_per_partition"] = _match_rows_sql("true", ["o_orderpriority", "o_orderstatus"])
+    found["checks_of_missing_tables"] = _AVAILABILITY_SQL
+    found["check_previewed"] = _PREVIEWED_SQL
     found["checks_per_day_and_type_with_cascade"] = _CASCADE_SQL
     found["checks_with_failures_isolated"] = _ISOLATED_SQL
     found["check_messages"] = _MESSAGES_SQL

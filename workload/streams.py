@@ -102,8 +102,30 @@ SELECT strftime(c.w, '%Y-%m-%d %H:%M:%S') AS window_start, c.n AS sensor_value,
   round((c.n - p.n) / p.n * 100, 6) AS change_percent FROM c LEFT JOIN c p ON p.w = c.w - INTERVAL 1 DAY"""
 
 
+def _changes_per_type(spark, sf_dir):
+    """Every event type's days compared with the day before of the same type."""
+    folder = shared_folder(spark, "stream")
+    stream = windows.window_sensors(
+        _events(spark, sf_dir), "ts", _PROBES[:1], width="1 day", delay="2 hours", by=["event_type"]
+    )
+    batches.drain(stream, batches.window_changes(folder), os.path.join(folder, "checkpoint"))
+    changes = spark.read.parquet(os.path.join(folder, "changes"))
+    return _starts(changes, "window_start").select(
+        "event_type", "window_start", "sensor_value", "previous_value", F.round("change_percent", 6).alias("change_percent")
+    )
+
+
+QUERIES["stream_changes_per_type"] = _changes_per_type
+SQL["stream_changes_per_type"] = """
+WITH d AS (SELECT event_type, date_trunc('day', ts) AS w, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2),
+c AS (SELECT * FROM d WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR)
+SELECT c.event_type, strftime(c.w, '%Y-%m-%d %H:%M:%S') AS window_start, c.n AS sensor_value, p.n AS previous_value,
+  round((c.n - p.n) / p.n * 100, 6) AS change_percent
+FROM c LEFT JOIN c p ON p.event_type = c.event_type AND p.w = c.w - INTERVAL 1 DAY"""
+
+
 def _orphans(spark, sf_dir):
-    known = load(spark, sf_dir, "customer").filter("c_custkey % 2 = 0")
+    known = load(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("c_custkey"))
     stream = windows.orphan_windows(_events(spark, sf_dir), "ts", "user_id", known, "c_custkey", width="1 day", delay="2 hours")
     return _starts(_drained(spark, stream), "window_start").select("window_start", "present", "orphans")
 
@@ -111,7 +133,7 @@ def _orphans(spark, sf_dir):
 QUERIES["stream_orphan_keys"] = _orphans
 SQL["stream_orphan_keys"] = """
 SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(user_id) AS present, count(*) FILTER (WHERE c_custkey IS NULL) AS orphans
-FROM (SELECT *, date_trunc('day', ts) AS w FROM events) LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) ON user_id = c_custkey
+FROM (SELECT *, date_trunc('day', ts) AS w FROM events) LEFT JOIN (SELECT 2 * c_custkey AS c_custkey FROM customer) ON user_id = c_custkey
 GROUP BY w HAVING w + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"""
 
 
