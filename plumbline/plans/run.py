@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed
 from plumbline.operators import compare, history, rules
-from plumbline.operators.checks import CHECKS, CheckType
+from plumbline.operators.checks import CHECKS, CheckType, dimension_of
+from plumbline.operators.expectations import EXPECTATIONS, Expect, expect
 from plumbline.operators.measure import Probe, invalid_reason, measure
 
 _AVAILABILITY = "table_availability"
@@ -116,7 +119,20 @@ def _match_readings(
     return frames
 
 
+def _stated(check: Check) -> bool:
+    """Whether a check is an expectation: a statement with limits of its own."""
+    return check.check_type in EXPECTATIONS and check.check_type not in CHECKS
+
+
 def _problem(check: Check, tables: dict[str, DataFrame], readings: DataFrame | None) -> str | None:
+    if _stated(check):
+        if check.table not in tables:
+            return f"unknown table {check.table}"
+        try:
+            _judged([check], tables).schema  # noqa: B018
+        except (PySparkException, KeyError, ValueError, TypeError) as error:
+            return str(error).split("\n")[0]
+        return None
     if check.check_type not in CHECKS:
         return f"unknown check type {check.check_type}"
     if check.table not in tables:
@@ -140,6 +156,49 @@ def _problem(check: Check, tables: dict[str, DataFrame], readings: DataFrame | N
     return None
 
 
+def _judged(checks: list[Check], tables: dict[str, DataFrame]) -> DataFrame:
+    """Expectations judged, as graded rows; those of one table and filter share their passes.
+
+    A broken one has the gravest severity that its thresholds name, or is an error.
+    """
+    frames = []
+    groups = defaultdict(list)
+    for c in checks:
+        groups[(c.table, c.where)].append(c)
+    for (table, where), group in groups.items():
+        df = tables[table].filter(F.expr(where)) if where else tables[table]
+        counter = Expect("rows scanned", "row_count_min", None, {"min_value": 0})
+        stated = [Expect(c.check_id, c.check_type, c.column, c.params) for c in group]
+        judged = expect(df, [*stated, counter], tables=tables)
+        # One row per expectation: a window over the caller's list.
+        is_counter = F.col("expectation_id") == counter.expectation_id
+        total = F.max(F.when(is_counter, F.col("observed_value"))).over(Window.partitionBy(F.lit(1))).cast("bigint")
+        frames.append(judged.withColumn("rows_scanned", total).filter(~is_counter))
+    spark = frames[0].sparkSession
+    rows = [
+        (c.check_id, c.table, c.column, dimension_of(c.check_type), next((s for s in rules.SEVERITIES if c.thresholds.get(s) is not None), "error"), json.dumps(c.params, sort_keys=True, default=str))
+        for c in checks
+    ]
+    stated = spark.createDataFrame(
+        rows, "check_id string, table_name string, column_name string, dimension string, broken string, expected string"
+    )
+    # The statements are as long as the caller's list.
+    joined = reduce(DataFrame.unionByName, frames).withColumnRenamed("expectation_id", "check_id").join(F.broadcast(stated), "check_id")
+    return joined.select(
+        "check_id",
+        "check_type",
+        "dimension",
+        "table_name",
+        "column_name",
+        F.col("observed_value").alias("actual_value"),
+        "expected",
+        "passed",
+        F.when(F.col("passed"), "passed").otherwise(F.col("broken")).alias("severity"),
+        "rows_scanned",
+        F.concat("check_type", F.when(F.col("passed"), " holds").otherwise(" does not hold")).alias("message"),
+    )
+
+
 def problems(checks: list[Check], tables: dict[str, DataFrame], readings: DataFrame | None = None) -> dict[str, str]:
     """Why checks cannot run, by check id. Nothing is executed."""
     found = {c.check_id: _problem(c, tables, readings) for c in checks}
@@ -189,8 +248,6 @@ def take_readings(
                 counted.alias("is_counter"),
             )
             # Readings of one table number its checks times its partitions: a small shuffle.
-            from pyspark.sql import Window
-
             same = Window.partitionBy("partition", "scope")
             total = F.max(F.when(F.col("is_counter"), F.col("sensor_value"))).over(same).cast("bigint")
             taken.append(
@@ -224,11 +281,13 @@ def run_checks(
     earlier history (for anomaly fences), `readings` the history of plain metrics
     (for day-to-day changes), `outside` readings taken elsewhere
     (check_id, actual_value) that are graded with the rest. An availability check of
-    a table that is not given reads 0. `fence_days` and `fence_readings` say how much of
+    a table that is not given reads 0. Expectations run next to checks, on whole tables. `fence_days` and `fence_readings` say how much of
     the history an anomaly fence looks at (see `history.anomaly_fence`).
     """
     refused = problems(checks, tables, readings)
     runnable = [c for c in checks if c.check_id not in refused and c.active]
+    stated = [c for c in runnable if _stated(c)]
+    runnable = [c for c in runnable if not _stated(c)]
     absent = [c for c in runnable if c.table not in tables]
     runnable = [c for c in runnable if c.table in tables]
     now = F.lit(executed_at).cast("timestamp") if executed_at else F.current_timestamp()
@@ -266,6 +325,8 @@ def run_checks(
             bounds = [F.col(f"fences.{c}") for c in fences.columns if c not in keys]
             full = full.alias("full").join(fences.alias("fences"), same, "left").select("full.*", *bounds)
         graded_parts.append(rules.grade(full, cascade=cascade).withColumn("error_message", F.lit(None).cast("string")))
+    if stated:
+        graded_parts.append(_judged(stated, tables).withColumn("error_message", F.lit(None).cast("string")))
     if refused:
         rows = [(c.check_id, c.check_type, c.table, c.column, refused[c.check_id]) for c in checks if c.check_id in refused]
         failed = spark.createDataFrame(

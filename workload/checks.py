@@ -329,6 +329,37 @@ def _match_rows_sql(where: str, by: list[str]) -> str:
     )
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks and expectations in one run; a statement about an unknown column is refused alone."""
+    checks = [
+        Check("rows", "row_count_min", "orders", None, {"min_value": 10_000_000}, {"fatal": {}}),
+        Check("unique", "unique", "orders", "o_orderkey"),
+        Check("share", "uniqueness_percent", "orders", "o_custkey", {"min_value": 0.9}, where="o_orderstatus = 'F'"),
+        Check("median", "column_median", "orders", "o_totalprice", {"min_value": 200000, "max_value": 300000}),
+        Check("nulls", "nulls_percent", "orders", "o_custkey"),
+        Check("unknown", "not_null", "orders", "no_such"),
+    ]
+    return run_checks(spark, checks, {"orders": load(spark, sf_dir, "orders")}, executed_at=_NOW).select(
+        "check_id", "dimension", F.round("actual_value", 6).alias("actual_value"), "passed", "severity", "rows_scanned",
+        F.col("error_message").isNotNull().alias("refused"),
+    )
+
+
+_MIXED_SQL = """
+WITH o AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS f,
+  (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS d,
+  count(DISTINCT o_custkey) FILTER (WHERE o_orderstatus = 'F') / CAST(count(o_custkey) FILTER (WHERE o_orderstatus = 'F') AS DOUBLE) AS u,
+  quantile_cont(o_totalprice, 0.5) AS m, 100.0 * count(*) FILTER (WHERE o_custkey IS NULL) / count(*) AS z FROM orders),
+r AS (
+  SELECT 'rows' AS check_id, 'coverage' AS dimension, n::DOUBLE AS v, n >= 10000000 AS passed, 'fatal' AS broken, n AS rows_scanned FROM o
+  UNION ALL SELECT 'unique', 'uniqueness', d, d = 0, 'error', n FROM o
+  UNION ALL SELECT 'share', 'uniqueness', u, u >= 0.9, 'error', f FROM o
+  UNION ALL SELECT 'median', 'conformity', m, m BETWEEN 200000 AND 300000, 'error', n FROM o
+  UNION ALL SELECT 'nulls', 'completeness', z, z <= 5, 'error', n FROM o)
+SELECT check_id, dimension, round(v, 6) AS actual_value, passed, CASE WHEN passed THEN 'passed' ELSE broken END AS severity, rows_scanned, false AS refused FROM r
+UNION ALL SELECT 'unknown', NULL, NULL, false, 'error', NULL, true"""
+
+
 def _availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that is there, and one that is not, next to a check of the first."""
     checks = [
@@ -558,6 +589,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found["checks_between_two_sources_per_partition"] = _matches_per_partition
     found["checks_of_missing_tables"] = _availability
     found["check_previewed"] = _previewed
+    found["checks_and_expectations_together"] = _mixed
     found["checks_per_day_and_type_with_cascade"] = _cascade
     found["checks_with_failures_isolated"] = _isolated
     found["check_messages"] = _messages
@@ -580,6 +612,7 @@ def oracle_sql() -> dict[str, str]:
     found["checks_between_two_sources_per_partition"] = _match_rows_sql("true", ["o_orderpriority", "o_orderstatus"])
     found["checks_of_missing_tables"] = _AVAILABILITY_SQL
     found["check_previewed"] = _PREVIEWED_SQL
+    found["checks_and_expectations_together"] = _MIXED_SQL
     found["checks_per_day_and_type_with_cascade"] = _CASCADE_SQL
     found["checks_with_failures_isolated"] = _ISOLATED_SQL
     found["check_messages"] = _MESSAGES_SQL
