@@ -146,7 +146,7 @@ def latest_result_per_check(spark, sf_dir):
 
 def _earlier(days: int):
     def run(spark, sf_dir):
-        past = results(spark, sf_dir).filter("check_type = 'row_count'")
+        past = results(spark, sf_dir)
         now = past.select("check_id", "executed_at", "actual_value")
         compared = history.with_earlier(now, past, ["check_id"], days)
         change = history.percent_change(F.col("actual_value"), F.col("earlier_value"), False)
@@ -160,7 +160,7 @@ def _earlier(days: int):
 for _days in (1, 7, 30):
     QUERIES[f"change_against_{_days}_days_before"] = _earlier(_days)
     SQL[f"change_against_{_days}_days_before"] = f"""
-WITH {RESULTS_SQL}, r AS (SELECT * FROM results WHERE check_type = 'row_count'),
+WITH {RESULTS_SQL}, r AS (SELECT * FROM results),
 j AS (SELECT a.check_id, a.executed_at, a.actual_value, max_by(b.actual_value, b.executed_at) AS earlier_value
   FROM r a LEFT JOIN r b ON a.check_id = b.check_id AND b.executed_at >= a.executed_at - INTERVAL {_days} DAY
     AND b.executed_at < a.executed_at - INTERVAL {_days} DAY + INTERVAL 1 HOUR GROUP BY 1, 2, 3)

@@ -104,19 +104,18 @@ _query("profile_with_sketches", _profile("lineitem", (), False), _profile_sql("l
 
 
 def _candidate_keys(spark, sf_dir):
-    tables = [t for t in COLUMNS if t != "lineitem"]
-    profiled = reduce(DataFrame.unionByName, [profile(load(spark, sf_dir, t), t) for t in tables])
+    profiled = reduce(DataFrame.unionByName, [profile(load(spark, sf_dir, t), t) for t in COLUMNS])
     return candidate_keys(profiled)
 
 
 _query("candidate_keys", _candidate_keys, " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{c}' AS column_name FROM {t} HAVING count(DISTINCT {c}) = count(*) AND count(*) > 0"
-    for t, columns in COLUMNS.items() if t != "lineitem" for c in columns
+    for t, columns in COLUMNS.items() for c in columns
 ))
 
 # --- inference ----------------------------------------------------------------------------------
 
-_INFERRED = ("customer", "part", "orders", "events", "conversations")
+_INFERRED = tuple(COLUMNS)
 
 
 def _inferred(spark, sf_dir, tables) -> DataFrame:
