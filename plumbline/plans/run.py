@@ -273,6 +273,7 @@ def run_checks(
     outside: DataFrame | None = None,
     fence_days: int = fixed.ANOMALY_DAYS,
     fence_readings: int | None = None,
+    broken: dict[str, str] | None = None,
 ) -> DataFrame:
     """Run checks and return graded result rows; nothing is stored (see `sources.results`).
 
@@ -282,9 +283,12 @@ def run_checks(
     (for day-to-day changes), `outside` readings taken elsewhere
     (check_id, actual_value) that are graded with the rest. An availability check of
     a table that is not given reads 0. Expectations run next to checks, on whole tables. `fence_days` and `fence_readings` say how much of
-    the history an anomaly fence looks at (see `history.anomaly_fence`).
+    the history an anomaly fence looks at (see `history.anomaly_fence`). `broken` are
+    reasons, by check id, why checks are known to fail; nothing is measured for them.
+    Errors of the data, such as a division by zero in a condition, appear only when the
+    rows are computed: `sources.results.run_and_append` keeps them to their check.
     """
-    refused = problems(checks, tables, readings)
+    refused = {**problems(checks, tables, readings), **(broken or {})}
     runnable = [c for c in checks if c.check_id not in refused and c.active]
     stated = [c for c in runnable if _stated(c)]
     runnable = [c for c in runnable if not _stated(c)]

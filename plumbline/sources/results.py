@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.sample import repeatable_sample
-from plumbline.plans.run import RESULT_COLUMNS
+from plumbline.plans.run import RESULT_COLUMNS, Check, run_checks
 
 RESULTS_SCHEMA = ", ".join(f"{n} {t}" for n, t in RESULT_COLUMNS.items()) + ", run_date date"
 
@@ -32,6 +34,28 @@ def append_results(results: DataFrame, path: str) -> None:
     )
 
 
+def run_and_append(spark: SparkSession, checks: list[Check], tables: dict[str, DataFrame], path: str, **options) -> dict[str, str]:
+    """Run checks and append their results; an error while they run costs its own check only.
+
+    All run together first. Where that fails nothing has been written, and each half of
+    the checks is tried alone, down to the check that fails: it gets a failed row. The
+    reasons are returned by check id. `options` go to `run_checks`.
+    """
+    try:
+        append_results(run_checks(spark, checks, tables, **options), path)
+        return {}
+    except (PySparkException, Py4JJavaError) as error:
+        if len(checks) == 1:
+            reason = str(error).split("\n")[0]
+            append_results(run_checks(spark, checks, tables, **{**options, "broken": {checks[0].check_id: reason}}), path)
+            return {checks[0].check_id: reason}
+    half = len(checks) // 2
+    found = {}
+    for some in (checks[:half], checks[half:]):
+        found |= run_and_append(spark, some, tables, path, **options)
+    return found
+
+
 def read_results(spark: SparkSession, path: str, *, since: str | None = None) -> DataFrame:
     """The results table, its date folders pruned by `since`."""
     results = spark.read.schema(RESULTS_SCHEMA).parquet(path)

@@ -14,7 +14,7 @@ from plumbline.operators.measure import Probe, measure
 from plumbline.operators.rules import SEVERITIES
 from plumbline.operators.sensors import SENSORS
 from plumbline.plans.run import Check, preview, run_checks
-from plumbline.sources.results import append_results, read_results
+from plumbline.sources.results import append_results, read_results, run_and_append
 from workload.sensor_cases import CASES, DAY, DAY_AS_OF, pct
 from workload.sensors import daily_readings
 from workload.folders import shared_folder
@@ -360,6 +360,27 @@ SELECT check_id, dimension, round(v, 6) AS actual_value, passed, CASE WHEN passe
 UNION ALL SELECT 'unknown', NULL, NULL, false, 'error', NULL, true"""
 
 
+def _failing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks that fail while they run, next to good ones: all are stored, and the good ones are graded."""
+    folder = shared_folder(spark, "results")
+    checks = [
+        Check("rows", "row_count", "customer"),
+        Check("zero", "sql_condition_failed_on_table", "customer", None, {"sql_condition": "1 / (c_nationkey - c_nationkey) > 0"}),
+        Check("negative", "negative_values", "customer", "c_acctbal"),
+        Check("no number", "sql_aggregate_expression_on_table", "customer", None, {"sql_expression": "sum(CAST(c_name AS INT))"}),
+        Check("nations", "distinct_count", "customer", "c_nationkey"),
+    ]
+    run_and_append(spark, checks, {"customer": load(spark, sf_dir, "customer")}, folder, executed_at=_NOW)
+    return read_results(spark, folder).select("check_id", "actual_value", "passed", F.col("error_message").isNotNull().alias("failed"))
+
+
+_FAILING_SQL = """
+SELECT 'rows' AS check_id, count(*)::DOUBLE AS actual_value, true AS passed, false AS failed FROM customer
+UNION ALL SELECT 'negative', count(*) FILTER (WHERE c_acctbal < 0)::DOUBLE, count(*) FILTER (WHERE c_acctbal < 0) = 0, false FROM customer
+UNION ALL SELECT 'nations', count(DISTINCT c_nationkey)::DOUBLE, count(DISTINCT c_nationkey) >= 1, false FROM customer
+UNION ALL SELECT unnest(['zero', 'no number']), NULL, false, true"""
+
+
 def _availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that is there, and one that is not, next to a check of the first."""
     checks = [
@@ -589,6 +610,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found["checks_between_two_sources_per_partition"] = _matches_per_partition
     found["checks_of_missing_tables"] = _availability
     found["check_previewed"] = _previewed
+    found["checks_that_fail_while_running"] = _failing
     found["checks_and_expectations_together"] = _mixed
     found["checks_per_day_and_type_with_cascade"] = _cascade
     found["checks_with_failures_isolated"] = _isolated
@@ -612,6 +634,7 @@ def oracle_sql() -> dict[str, str]:
     found["checks_between_two_sources_per_partition"] = _match_rows_sql("true", ["o_orderpriority", "o_orderstatus"])
     found["checks_of_missing_tables"] = _AVAILABILITY_SQL
     found["check_previewed"] = _PREVIEWED_SQL
+    found["checks_that_fail_while_running"] = _FAILING_SQL
     found["checks_and_expectations_together"] = _MIXED_SQL
     found["checks_per_day_and_type_with_cascade"] = _CASCADE_SQL
     found["checks_with_failures_isolated"] = _ISOLATED_SQL
