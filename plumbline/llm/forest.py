@@ -238,3 +238,20 @@ def near_vectors(
 def op1_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors: links of cosine 0.93 or more between equal labels."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93
+), reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1),
+counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(c.n_links, 0) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN least m ON m.vec_id = e.vec_id LEFT JOIN counted c ON c.vec_id = e.vec_id
+"""

@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_temporal_url_lists": url_lists.OP5_SQL}
+    return {"op1_projection_forest": forest.OP1_SQL, "op5_temporal_url_lists": url_lists.OP5_SQL}

@@ -137,7 +137,8 @@ def lists_of(pages: DataFrame) -> DataFrame:
 def op5_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, judged by the list entries that were active when it was fetched."""
     pages = table(spark, sf_dir, "pages")
-    return decide(crawl(pages), lists_of(pages))
+    decided = decide(crawl(pages), lists_of(pages))
+    return decided.withColumns({c: F.col(c).cast("string") for c in ("fetched_at", "valid_from", "valid_until")})
 
 
 OP5_SQL = f"""
@@ -177,7 +178,8 @@ WITH named AS (
          row_number() OVER (PARTITION BY page_id, url ORDER BY rank DESC, blocks DESC, list DESC, pattern DESC) AS place
   FROM active
 )
-SELECT p.page_id, p.url, p.fetched_at, coalesce(r.blocks = 1, false) AS blocked, coalesce(r.n_active, 0) AS n_active,
-       r.list, r.pattern, r.valid_from, r.valid_until
+SELECT p.page_id, p.url, CAST(p.fetched_at AS VARCHAR) AS fetched_at, coalesce(r.blocks = 1, false) AS blocked,
+       coalesce(r.n_active, 0) AS n_active, r.list, r.pattern, CAST(r.valid_from AS VARCHAR) AS valid_from,
+       CAST(r.valid_until AS VARCHAR) AS valid_until
 FROM named p LEFT JOIN ranked r ON r.page_id = p.page_id AND r.url = p.url AND r.place = 1
 """
