@@ -45,7 +45,7 @@ class Transducer:
     """The compiled machines of one model."""
 
     def __init__(self, pieces: list[tuple[str, float, bool]], byte_pieces: dict[int, int], *, merges: bool, unknown: int = 0,
-                 prefix: bool = True, squeeze: bool = False, entries: int = 2 * MEMO_ENTRIES) -> None:
+                 prefix: bool = True, squeeze: bool = False, entries: int = 3 * MEMO_ENTRIES) -> None:
         """pieces: text, score and whether it is an ordinary piece, by id; byte_pieces: byte -> id."""
         self.texts = [text for text, _, _ in pieces]
         self.scores = [score for _, score, _ in pieces]
@@ -69,7 +69,7 @@ class Transducer:
         self.decoded = self._decoded()
 
     @classmethod
-    def load(cls, path: str, entries: int = 2 * MEMO_ENTRIES) -> Transducer:
+    def load(cls, path: str, entries: int = 3 * MEMO_ENTRIES) -> Transducer:
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
