@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import MEMO_ENTRIES, table
 
 MAX_LABELLED = 20_000
+#: Least chance of the top grade of what is kept.
+KEEP_FROM = 0.7
 BITS = 22
 _UPPER = bytes(range(65, 91))
 _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
@@ -247,11 +249,11 @@ def op8_graded_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.col("_is.expected_grade").alias("expected_grade"),
         F.col("_is.tails")[1].alias("p_good"),
-        (F.col("_is.tails")[1] >= 0.5).alias("kept"),
+        (F.col("_is.tails")[1] >= KEEP_FROM).alias("kept"),
     )
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose chance of the top grade is at least one half."""
+    """The documents whose chance of the top grade is at least `KEEP_FROM`."""
     model = train(docs, grades_of(table(spark, sf_dir, "labels")), 3)
-    return docs.filter(scored(docs, model, 3, F.col("text"))["tails"][1] >= 0.5)
+    return docs.filter(scored(docs, model, 3, F.col("text"))["tails"][1] >= KEEP_FROM)

@@ -47,7 +47,7 @@ def test_held_out_documents(spark):
     scorer = Scorer(model)
     kept = {g: [] for g in range(3)}
     for grade, text in rest:
-        kept[grade].append(model.tails(np.array([scorer.score(text)]))[0, 1] >= 0.5)
+        kept[grade].append(model.tails(np.array([scorer.score(text)]))[0, 1] >= ordinal.KEEP_FROM)
     assert np.mean(kept[2]) > 0.97 and np.mean(kept[0]) < 0.1 and np.mean(kept[1]) < 0.25
 
 
@@ -58,7 +58,7 @@ def test_odd_rows(spark, monkeypatch):
     tables = {"documents": docs, "labels": labels}
     monkeypatch.setattr(ordinal, "table", lambda _s, _d, name: tables[name])
     rows = op8_graded_quality(spark, "").collect()
-    assert len(rows) == len(texts) and all(0 <= r.expected_grade <= 2 and r.kept == (r.p_good >= 0.5) for r in rows)
+    assert len(rows) == len(texts) and all(0 <= r.expected_grade <= 2 and r.kept == (r.p_good >= ordinal.KEEP_FROM) for r in rows)
     assert rows[0] == rows[4]
     tables["labels"] = labels.limit(0)
     assert all(r.kept and r.p_good == 1.0 for r in op8_graded_quality(spark, "").collect())
