@@ -228,7 +228,14 @@ def score_documents(
     # At most max_filter_bytes, and HEAD words with their counts, reach the driver and the tasks.
     found = {r.seg: np.frombuffer(r.bits, np.uint64) for r in counted.filter("bits IS NOT NULL").select("seg", "bits").toLocalIterator()}
     bloom = Filter([found.get(s, np.zeros(1, np.uint64)) for s in range(n_segments)] if found else [])
-    frequent = by_word.orderBy(F.col("n").desc(), "gram").limit(HEAD).toArrow()
+    # The least count of the head, from how many words have which count: there are few different counts.
+    least, held = 1, 0
+    for r in by_word.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        held += r["words"]
+        if held > HEAD:
+            least = r["n"] + 1
+            break
+    frequent = by_word.filter(F.col("n") >= least).toArrow()
     head = Head(frequent.column("gram").to_numpy().view(np.uint64), frequent.column("n").to_numpy())
     whole = n_words <= HEAD
     spread = n_train + 0.5 * (n_words + 1)

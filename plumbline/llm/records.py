@@ -165,9 +165,16 @@ def id_width(path: str, end_id: int | None = None) -> int:
 
 
 def encode_documents(
-    docs: DataFrame, tokenizer_path: str, *, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    tokenizer_path: str,
+    bounds: list[int] | None = None,
+    *,
+    end_id: int | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
-    """doc_id and payload: the ids of the whole text, the end id last."""
+    """doc_id, file_no and payload: the ids of the whole text, the end id last. Files lie between the bounds of doc_id."""
+    ends = np.array(bounds or [], np.int64)
     width = id_width(tokenizer_path, end_id)
     end = b"" if end_id is None else int(end_id).to_bytes(width, "little")
 
@@ -177,18 +184,18 @@ def encode_documents(
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 found = [ids + end for ids in encode_all(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["doc_id", "payload"])
+                known = part.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
+                file_no = np.searchsorted(ends, known, "left").astype(np.int32)  # the number of bounds below
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(file_no), pa.array(found, pa.binary())], ["doc_id", "file_no", "payload"]
+                )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, payload binary")
+    return rows.mapInArrow(run, "doc_id long, file_no int, payload binary")
 
 
-def write_records(payloads: DataFrame, folder: str, bounds: list[int]) -> DataFrame:
-    """Write payloads in ascending doc_id order, a file between any two bounds; returns the index, kept in the folder."""
-    at = F.lit(0)
-    if bounds:
-        known = ", ".join(f"{b}L" for b in bounds)
-        at = F.expr(f"coalesce(size(filter(array({known}), b -> b < doc_id)), 0)")
+def write_records(payloads: DataFrame, folder: str, files: int) -> DataFrame:
+    """Write payloads (doc_id, file_no, payload) in ascending doc_id order; returns the index, kept in the folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _filesystem(folder)
@@ -214,9 +221,7 @@ def write_records(payloads: DataFrame, folder: str, bounds: list[int]) -> DataFr
             out.close()
 
     index = (
-        payloads.withColumn("file_no", at.cast("int"))
-        .select("doc_id", "file_no", "payload")
-        .repartitionById(len(bounds) + 1, "file_no")
+        payloads.repartitionById(files, "file_no")
         .sortWithinPartitions("file_no", "doc_id", "payload")
         .mapInArrow(run, INDEX)
     )
@@ -275,8 +280,8 @@ def tokenize_to_records(
     """Encode every text and write the record files; returns the index, the folder and the number of stretches."""
     folder = folder or shared_folder(docs.sparkSession, "records")
     bounds = stretches(docs, id_col, text_col)
-    payloads = encode_documents(docs, tokenizer_path, end_id=end_id, id_col=id_col, text_col=text_col)
-    return write_records(payloads, folder, bounds), folder, len(bounds) + 1
+    payloads = encode_documents(docs, tokenizer_path, bounds, end_id=end_id, id_col=id_col, text_col=text_col)
+    return write_records(payloads, folder, len(bounds) + 1), folder, len(bounds) + 1
 
 
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
