@@ -10,7 +10,7 @@ Weights are fitted on at most `max_labelled` rated documents, chosen by the hash
 their id. Features that worse grades do not show more often weigh nothing, so that a
 long text is not judged by its many neutral words; the others are fitted with step
 sizes of their own and soft thresholding. Every document is scored whole, in one
-pass without a shuffle; the weights (2**bits floats, nearly all of them 0) are all that is sent around.
+pass without a shuffle; the weights that are not 0 are all that is sent around.
 
 Defined results: a null text is an empty one, and has the features of one; ratings
 that are null, or of a null id, do not count; several ratings of one document count as
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import MEMO_ENTRIES, table
+from plumbline.llm.common import MEMO_ENTRIES, cut, table
 
 MAX_LABELLED = 16_000
 #: Least chance of the top grade of what is kept.
@@ -86,8 +86,9 @@ def indices(text: str | None, bits: int) -> np.ndarray:
 
 @dataclass
 class Ordinal:
-    """Shared weights and ordered thresholds; grades are 0 .. len(thresholds)."""
+    """Shared weights of the features in `slots` (all others weigh nothing), and ordered thresholds; grades are 0 .. len(thresholds)."""
 
+    slots: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
     bits: int
@@ -97,32 +98,12 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - np.asarray(scores)[:, None], -60, 60)))
 
 
-def telling(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, least: float) -> np.ndarray:
-    """The features that worse grades show more often than better ones, by `least` standard errors of the share."""
-    flat, lengths = np.concatenate(rows), np.fromiter(map(len, rows), int, len(rows))
-    overall = np.bincount(flat, minlength=1 << bits)
-    used = np.flatnonzero(overall)
-    overall = overall[used]
-    chosen = np.zeros(len(used), bool)
-    for k in range(n_grades - 1):
-        better = grades > k
-        n_better, n_worse = better.sum(), len(rows) - better.sum()
-        if not n_better or not n_worse:
-            continue
-        above = np.bincount(flat[np.repeat(better, lengths)], minlength=1 << bits)[used]
-        share = (overall + 1) / (len(rows) + 2)
-        error = np.sqrt(share * (1 - share) * (1 / n_better + 1 / n_worse))
-        chosen |= (overall - above) / n_worse - above / n_better >= least * error
-    return used[chosen]
-
-
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *, updates: int = 4000, batch: int = 256,
-        step: float = 0.1, shrink: float = 1e-2, least: float = 4.0, seed: int = 7) -> Ordinal:
-    """Fit by minibatches with moment estimates and steps that shrink to zero; deterministic for given rows."""
-    slots = telling(rows, grades, n_grades, bits, least)
-    place = np.full(1 << bits, -1, np.int32)
-    place[slots] = np.arange(len(slots))
-    rows = [found[found >= 0] for found in (place[r] for r in rows)]
+        step: float = 0.1, shrink: float = 1e-2, seed: int = 7) -> Ordinal:
+    """Fit by minibatches with moment estimates and steps that shrink to zero; deterministic for given rows of slots."""
+    slots, flat = np.unique(np.concatenate(rows), return_inverse=True)
+    ends = np.cumsum([len(r) for r in rows])
+    rows = np.split(flat, ends[:-1])
     shares = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / max(1, len(grades)), 1e-3, 1 - 1e-3)
     n, n_cuts = len(slots), n_grades - 1
     # One vector: the weights, then the thresholds.
@@ -152,16 +133,12 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *,
         state -= rate * (first / (1 - 0.9**update)) / (np.sqrt(second / (1 - 0.999**update)) + 1e-8)
         state[:n] = np.minimum(0, state[:n] + rate * shrink)  # such features speak against a text only
         state[n:] = np.maximum.accumulate(state[n:])  # thresholds stay in order
-    weights = np.zeros(1 << bits, np.float32)
-    weights[slots] = state[:n]
-    return Ordinal(weights, state[n:], bits)
-
+    weighty = state[:n] < 0
+    return Ordinal(slots[weighty], state[:n][weighty], state[n:], bits)
 
-def rated(docs: DataFrame, ratings: DataFrame, *, max_labelled: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and grades of at most `max_labelled` rated documents; ratings has doc_id and grade (0, 1, ...).
 
-    Only this sample reaches the driver: `max_labelled` lists of feature slots.
-    """
+def rated(docs: DataFrame, ratings: DataFrame, *, max_labelled: int, bits: int) -> DataFrame:
+    """doc_id, grade and feature slots of at most `max_labelled` rated documents; ratings has doc_id and grade (0, 1, ...)."""
     chosen = (
         ratings.filter("doc_id IS NOT NULL AND grade IS NOT NULL")
         .groupBy("doc_id")
@@ -179,27 +156,60 @@ def rated(docs: DataFrame, ratings: DataFrame, *, max_labelled: int, bits: int)
 
     # At most max_labelled rows of two numbers: small enough to broadcast whatever the tables hold.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
-    found = rows.mapInArrow(run, "doc_id long, grade int, slots array<int>").toArrow()
-    if not found.num_rows:
-        return [], np.zeros(0, int)
-    slots = found.column("slots").combine_chunks()
-    flat, ends = slots.values.to_numpy(zero_copy_only=False), slots.offsets.to_numpy()
-    order = np.lexsort((np.diff(ends), found.column("doc_id").to_numpy()))
-    grades = found.column("grade").to_numpy()
-    return [flat[ends[i] : ends[i + 1]] for i in order], grades[order].astype(int)
+    return rows.mapInArrow(run, "doc_id long, grade int, slots array<int>")
+
 
+def telling(found: DataFrame, of_grade: list[int], least: float) -> DataFrame:
+    """The slots that worse grades show more often than better ones, by `least` standard errors of the share."""
+    grades = range(len(of_grade))
+    per_slot = (
+        found.select(F.explode("slots").alias("slot"), "grade")
+        .groupBy("slot")
+        .agg(*[F.count_if(F.col("grade") == g).alias(f"g{g}") for g in grades])
+    )
+    share = (sum(F.col(f"g{g}") for g in grades) + 1) / (sum(of_grade) + 2)
+    says = F.lit(False)
+    for k in grades[:-1]:
+        n_worse, n_better = sum(of_grade[: k + 1]), sum(of_grade[k + 1 :])
+        if n_worse and n_better:
+            worse, better = (sum(F.col(f"g{g}") for g in some) for some in (grades[: k + 1], grades[k + 1 :]))
+            error = F.sqrt(share * (1 - share) * (1 / n_better + 1 / n_worse))
+            says = says | (worse / n_worse - better / n_better >= least * error)
+    return per_slot.filter(says).select("slot")
+
+
+def train(
+    docs: DataFrame, ratings: DataFrame, n_grades: int, *, max_labelled: int = MAX_LABELLED, bits: int = BITS, least: float = 4.0
+) -> Ordinal | None:
+    """The model of the ratings; None without any.
+
+    Features are screened by Spark; the driver gets the telling ones and, of the sample, only those.
+    """
+    found = cut(rated(docs, ratings, max_labelled=max_labelled, bits=bits))
+    counts = {r.grade: r["count"] for r in found.groupBy("grade").count().collect()}
+    if not counts:
+        return None
+    slots = telling(found, [counts.get(g, 0) for g in range(n_grades)], least).toArrow().column("slot").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(slots))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [np.intersect1d(s.values.to_numpy(), sent.value, assume_unique=True) for s in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(kept, pa.list_(pa.int32()))], batch.schema.names)
 
-def train(docs: DataFrame, ratings: DataFrame, n_grades: int, *, max_labelled: int = MAX_LABELLED, bits: int = BITS) -> Ordinal | None:
-    """The model of the ratings; None without any."""
-    rows, grades = rated(docs, ratings, max_labelled=max_labelled, bits=bits)
-    return fit(rows, grades, n_grades, bits) if rows else None
+    rows = found.mapInArrow(run, "doc_id long, grade int, slots array<int>").toArrow()
+    lists = rows.column("slots").combine_chunks()
+    flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    order = np.lexsort((np.diff(ends), rows.column("doc_id").to_numpy()))
+    grades = rows.column("grade").to_numpy()[order].astype(int)
+    return fit([flat[ends[i] : ends[i + 1]] for i in order], grades, n_grades, bits)
 
 
 class Scorer:
     """Scores texts, remembering the weights of features up to a bound."""
 
     def __init__(self, model: Ordinal) -> None:
-        self.weights, self.bits = model.weights, model.bits
+        self.weights, self.bits = dict(zip(model.slots.tolist(), model.weights.tolist())), model.bits
         self.memos: list[dict[bytes, float]] = [{}, {}, {}, {}]
 
     def score(self, text: str | None) -> float:
@@ -215,7 +225,7 @@ class Scorer:
         return math.fsum(parts)  # exact, so the order of the sets does not matter
 
     def learn(self, memo: dict[bytes, float], feature: bytes, kind: int) -> float:
-        value = memo[feature] = float(self.weights[slot(feature, kind, self.bits)])
+        value = memo[feature] = self.weights.get(slot(feature, kind, self.bits), 0.0)
         return value
 
 
