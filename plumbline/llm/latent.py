@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -339,48 +340,52 @@ class Finder:
         return out
 
 
-def spaces(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> list[Space]:
-    """A fitted space per block of items; docs are what is to be searched."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+def item_blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
+    """The items with words, in blocks of a bounded number of passages; the driver holds one block at a time."""
+    block: list[Item] = []
+    size = 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    out, block, size = [], [], 0
-    # The benchmark is read item by item; a block of it is what the driver holds at a time.
     for row in rows.filter("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         item = item_of(row.item_id, row.text)
-        if item.words:
-            block.append(item)
-            size += max(1, len(item.words) // HALF)
-            if size >= BLOCK_PASSAGES:
-                out.append(Space(block))
-                block, size = [], 0
+        if not item.words:
+            continue
+        own = max(1, len(item.words) // HALF)
+        if block and size + own > BLOCK_PASSAGES:
+            yield block
+            block, size = [], 0
+        block.append(item)
+        size += own
     if block:
-        out.append(Space(block))
-    for space in out:
-        hits = cut(_hits(texts, space))
-        space.weigh(*_frequencies(hits, len(space.terms)))
-        draw = space.draw()
-        space.decompose(_sums(hits.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism), space, draw), draw)
-    return out
+        yield block
+
+
+def fitted_space(texts: DataFrame, items: list[Item]) -> Space:
+    """The latent space of a block of items and all passages of the texts (column text)."""
+    space = Space(items)
+    hits = cut(_hits(texts, space))
+    space.weigh(*_frequencies(hits, len(space.terms)))
+    draw = space.draw()
+    space.decompose(_sums(hits.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism), space, draw), draw)
+    return space
 
 
 _FINDING = pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()), ("answer_share", pa.float64())])
 FINDING = "struct<item_id:long,cosine:double,lcs_share:double,answer_share:double>"
 
 
-def found_items(docs: DataFrame, fitted: list[Space], text: Column) -> Column:
-    """A column of the items found in `text`: array of item_id, cosine, lcs_share, answer_share."""
-    sent = docs.sparkSession.sparkContext.broadcast(fitted)
+def found_items(docs: DataFrame, space: Space, text: Column) -> Column:
+    """A column of the block's items found in `text`: array of item_id, cosine, lcs_share, answer_share."""
+    sent = docs.sparkSession.sparkContext.broadcast(space)
 
     @F.arrow_udf(f"array<{FINDING}>")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        finders = [Finder(space) for space in sent.value]
+        finder = Finder(sent.value)
         names = [f.name for f in _FINDING]
         for part in parts:
             out = []
             for at in range(0, len(part), 250):
-                texts = part.slice(at, 250).to_pylist()
-                found = [finder.find(texts) for finder in finders]
-                out += [[dict(zip(names, f)) for f in sorted(sum(own, []), key=lambda f: (f[0] is None, f[0] or 0))] for own in zip(*found)] or [[] for _ in texts]
+                for found in finder.find(part.slice(at, 250).to_pylist()):
+                    out.append([dict(zip(names, f)) for f in sorted(found, key=lambda f: (f[0] is None, f[0] or 0))])
             yield pa.array(out, pa.list_(_FINDING))
 
     return run(text)
@@ -389,9 +394,13 @@ def found_items(docs: DataFrame, fitted: list[Space], text: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, cosine, lcs_share and answer_share of every item found in a document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    fitted = spaces(rows, benchmark)
-    found = rows.select("doc_id", F.explode(found_items(rows, fitted, F.col("text"))).alias("found"))
-    return found.select("doc_id", "found.*")
+    parts = []
+    for items in item_blocks(benchmark):
+        space = fitted_space(rows.select("text"), items)
+        found = rows.select("doc_id", F.explode(found_items(rows, space, F.col("text"))).alias("found"))
+        parts.append(cut(found.select("doc_id", "found.*")))
+    none = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
+    return reduce(DataFrame.unionByName, parts) if parts else none
 
 
 def op10_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,5 +410,8 @@ def op10_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item."""
-    fitted = spaces(docs, table(spark, sf_dir, "benchmark"))
-    return docs.filter(F.size(found_items(docs, fitted, F.col("text"))) == 0)
+    for at, items in enumerate(item_blocks(table(spark, sf_dir, "benchmark"))):
+        docs = cut(docs) if at else docs
+        space = fitted_space(docs.select(F.col("text").cast("string").alias("text")), items)
+        docs = docs.filter(F.size(found_items(docs, space, F.col("text"))) == 0)
+    return docs
