@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import cut, table
 from plumbline.llm.components import components
 
-TREES = 6
-LEAF = 512
+TREES = 4
+LEAF = 1024
 #: Margin in standard deviations of the projected difference of two vectors that just link.
 SPILL = 0.65
 #: Shares of a node that both its children may reach over the median.
@@ -43,7 +43,12 @@ _NULL_ID = (1 << 63) - 1
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(v.as_buffer(), np.float64) for v in column]
+    """Unit vectors in double precision. The first byte says how components are kept: as given, 4 or 8 bytes each."""
+    out = []
+    for value in column:
+        data = value.as_buffer()
+        out.append(_unit(np.frombuffer(data, np.float32 if bytes(data[:1]) == b"4" else np.float64, offset=8).astype(np.float64)))
+    return out
 
 
 def _projected(rows: DataFrame) -> DataFrame:
@@ -53,7 +58,7 @@ def _projected(rows: DataFrame) -> DataFrame:
         directions: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             paths = batch.column(0).to_numpy()
-            values = np.zeros(len(paths))
+            values, sizes = np.zeros(len(paths)), np.zeros(len(paths), np.int64)
             for row, (path, vector) in enumerate(zip(paths.tolist(), _vectors(batch.column(3)))):
                 key = (path, len(vector))
                 if key not in directions:
@@ -61,10 +66,10 @@ def _projected(rows: DataFrame) -> DataFrame:
                         directions.clear()
                     drawn = np.random.default_rng(path & 0xFFFFFFFFFFFFFFFF).standard_normal(len(vector))
                     directions[key] = drawn / np.linalg.norm(drawn)
-                values[row] = vector @ directions[key]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, "at"])
+                values[row], sizes[row] = vector @ directions[key], len(vector)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values), pa.array(sizes)], [*batch.schema.names, "at", "dimensions"])
 
-    return rows.mapInArrow(run, "path long, node long, copies long, vector binary, n long, size long, at double")
+    return rows.mapInArrow(run, "path long, node long, copies long, vector binary, n long, size long, at double, dimensions long")
 
 
 def _children(placed: DataFrame) -> DataFrame:
@@ -164,10 +169,11 @@ def links(vectors: DataFrame, cosine: float, trees: int, seed: int) -> DataFrame
         if not n_large:
             break
         # Two unit vectors of this cosine are sqrt(2 - 2 cosine) apart.
-        margin = F.lit(SPILL * (2 - 2 * cosine) ** 0.5) / F.sqrt(F.length("vector") / 8)
+        margin = F.lit(SPILL * (2 - 2 * cosine) ** 0.5) / F.sqrt(F.col("dimensions"))
         projected = _projected(marked.filter("n IS NOT NULL").select("path", "node", "copies", "vector", "n", "size"))
-        splits = projected.groupBy("path").agg(F.percentile_approx("at", [0.5 - OVERLAP, 0.5, 0.5 + OVERLAP], 1000).alias("q"))
-        placed = cut(projected.join(splits, "path").withColumn("margin", margin))
+        splits = cut(projected.groupBy("path").agg(F.percentile_approx("at", [0.5 - OVERLAP, 0.5, 0.5 + OVERLAP], 1000).alias("q")))
+        splits = F.broadcast(splits) if n_large <= BROADCAST_NODES else splits
+        placed = projected.join(splits, "path").withColumn("margin", margin)
         is_stalled = (F.col("q")[2] - F.col("q")[0] < F.col("margin")) | F.coalesce(F.col("n") > STALLED * F.col("size"), F.lit(False))
         if level == LEVELS - 1:
             is_stalled = F.lit(True)
@@ -203,9 +209,13 @@ def near_vectors(
         whole.withColumn("node", F.when(fine, F.xxhash64(F.lit(1), "label", "vector"))).withColumn("root", F.xxhash64(F.lit(2), "label", F.size("vector")))
     )
 
+    # Components are kept as they were given.
+    single = rows.schema[vector_col].dataType.simpleString() == "array<float>"
+    head, kind = (b"4" if single else b"8").ljust(8), np.float32 if single else np.float64
+
     def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            data = [_unit(np.asarray(v, np.float64)).tobytes() for v in batch.column(3).to_pylist()]
+            data = [head + np.asarray(v, kind).tobytes() for v in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], ["node", "root", "copies", "vector"])
 
     alike = whole.filter("node IS NOT NULL").groupBy("node").agg(
