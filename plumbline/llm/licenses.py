@@ -2,8 +2,8 @@
 
 The text is reduced to words (A-Z lower-cased, runs of letters, digits and everything
 beyond ASCII) joined by single spaces, so that rules need not care for punctuation
-and line breaks. Rules are regular expressions over that text. A rule runs only if its
-keyword is among the words. Detections are ordered by rule priority, then length, then
+and line breaks. Rules are regular expressions over that text. A rule runs only if one of
+its keywords is among the words; every text of its name holds one of them. Detections are ordered by rule priority, then length, then
 place; one that lies within an accepted detection is suppressed. The three
 base phrases are always reported, wherever they stand.
 
@@ -32,7 +32,7 @@ class Rule:
     label: str
     name: str
     pattern: re.Pattern
-    keyword: bytes
+    keywords: frozenset[bytes]
     priority: int
     score: float
 
@@ -44,7 +44,7 @@ BASE_PHRASES = {
     b"cc by nc": "cc-by-nc",
 }
 
-#: Label, name as a pattern over normalised words, the word it cannot be without ("" for license/licence).
+#: Label, name as a pattern over normalised words, a keyword that most texts of the name hold.
 FAMILIES = [
     ("mit", "mit", "mit"),
     ("mit-0", "mit (?:0|no attribution)", "mit"),
@@ -156,24 +156,56 @@ SENTENCES = [
 ]
 
 
+def _texts(pattern: str) -> list[str]:
+    """All texts of a name: its pattern has letters, `(?:a|b)`, `[ab]`, `[1-4]` and `?` only."""
+
+    def either(at: int) -> tuple[list[str], int]:
+        found, row = [], [""]
+        while at < len(pattern) and pattern[at] != ")":
+            if pattern[at] == "|":
+                found, row, at = found + row, [""], at + 1
+                continue
+            if pattern.startswith("(?:", at):
+                some, at = either(at + 3)
+            elif pattern[at] == "[":
+                end = pattern.index("]", at)
+                inner = pattern[at + 1 : end]
+                some, at = [chr(c) for c in range(ord(inner[0]), ord(inner[2]) + 1)] if inner[1:2] == "-" else list(inner), end
+            else:
+                some = [pattern[at]]
+            at += 1
+            if pattern[at : at + 1] == "?":
+                some, at = [*some, ""], at + 1
+            row = [a + b for a in row for b in some]
+        return found + row, at
+
+    return either(0)[0]
+
+
+def _keywords(name: str, own: str) -> frozenset[bytes]:
+    """Words of which every text of the name holds one: its own keyword, else the longest word of the text."""
+    words = [t.split() for t in _texts(name)]
+    return frozenset((own if own in w else max(w, key=len)).encode() for w in words)
+
+
 def _rules() -> list[Rule]:
     def compiled(pattern: str) -> re.Pattern:
         return re.compile(f"(?<![^ ])(?:{pattern})(?![^ ])".encode())
 
     rules = [
-        Rule(label, f"{label}/{form}", compiled(around.format(name)), (keyword or own).encode(), priority, score)
+        Rule(label, f"{label}/{form}", compiled(around.format(name)), frozenset([keyword.encode()]) if keyword else _keywords(name, own), priority, score)
         for label, name, own in FAMILIES
         for form, around, keyword, priority, score in FORMS
     ]
     rules += [
-        Rule(label, f"{label}/sentence", compiled(pattern), keyword.encode(), priority, score)
+        Rule(label, f"{label}/sentence", compiled(pattern), frozenset([keyword.encode()]), priority, score)
         for label, pattern, keyword, priority, score in SENTENCES
     ]
     return sorted(rules, key=lambda r: (-r.priority, r.name))
 
 
 RULES = _rules()
-KEYWORDS = frozenset(r.keyword for r in RULES)
+KEYWORDS = frozenset().union(*(r.keywords for r in RULES))
 #: Keywords too common to gate by themselves: such a rule also needs a word on licensing.
 _ABOUT = frozenset(
     [b"license", b"licence", b"licensed", b"licenses", b"licences", b"copyright", b"permission", b"spdx", b"domain",
@@ -234,7 +266,7 @@ def scan(found: list[bytes]) -> list[tuple[str, str, int, int, float, bool]]:
         hits = [
             (-rule.priority, m.start() - m.end(), m.start(), m.end(), rule)
             for rule in RULES
-            if rule.keyword in present
+            if not rule.keywords.isdisjoint(present)
             for m in rule.pattern.finditer(joined)
         ]
         taken = Intervals()

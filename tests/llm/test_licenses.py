@@ -48,6 +48,27 @@ def test_labels_and_suppression():
     assert len(RULES) > 250
 
 
+def test_every_alternative_runs_with_and_without_the_gate():
+    rules = {(r.name, r.pattern.pattern): r for r in RULES}
+    uses = {"identifier": "spdx license identifier {}", "grant": "licensed under {}", "subject": "subject to {}", "field": "license {}", "name": "{} license"}
+    for label, name, _ in licenses.FAMILIES:
+        texts = licenses._texts(name)
+        assert len(set(texts)) == len(texts) and all(re.fullmatch(name, t) for t in texts)
+        for form, around, *_ in licenses.FORMS:
+            rule = rules[f"{label}/{form}", f"(?<![^ ])(?:{around.format(name)})(?![^ ])".encode()]
+            for text in texts:
+                words = license_words(uses[form].format(text))
+                assert rule.pattern.search(b" " + b" ".join(words) + b" ")  # without the gate
+                assert not rule.keywords.isdisjoint(words) and rule.keywords <= licenses._GATE, (rule.name, text)
+                assert scan(words), (rule.name, text)
+    short = {
+        "License: CDDL 1.0": "cddl-1", "ODbL license": "odbl-1", "SSPL License": "sspl-1", "EUPL 1.2 license": "eupl-1.2", "MS-PL license": "ms-pl",
+        "GFDL license": "gfdl-1.3", "License: PSF": "python-2", "OpenRAIL license": "openrail", "0BSD license": "0bsd", "FreeBSD license": "bsd-2-clause",
+        "CC Zero license": "cc0-1", "License: MPL 1.1": "mpl-1.1", "creative commons attribution license": "cc-by",
+    }
+    assert {text: label in {d[0] for d in scan(license_words(text))} for text, label in short.items()} == dict.fromkeys(short, True)
+
+
 def test_many_detections_in_one_text():
     found = license_words("licensed under the isc license and " * 5_000)
     assert len(scan(found)) == 5_000
