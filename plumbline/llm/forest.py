@@ -7,9 +7,10 @@ Medians come from mergeable sketches, so a node of any size is split by all task
 together. Within leaves all vectors are compared exactly, in double precision; links
 found in any tree are united and make components.
 
-Equal vectors are one vector with a count. A node that splits badly, as most of its
-vectors project alike (within the margin), is compared in blocks of bounded size instead: exact as well.
-Nothing is sampled, and the trees grow with the data.
+Equal vectors are one vector with a count. The margin is never narrowed: a node that it
+does not split well, as too many of its vectors would go to both sides, is compared in
+blocks of bounded size instead: exact as well. Nothing is sampled; the depth of the
+trees grows with a label's vectors, and so does their number.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and vectors without label, are linked with nothing; vectors of different
@@ -33,8 +34,8 @@ TREES = 4
 LEAF = 1024
 #: Margin in standard deviations of the projected difference of two vectors that just link.
 SPILL = 0.65
-#: Shares of a node that both its children may reach over the median.
-OVERLAP = 0.15
+#: Shares of a node that its children may reach over the median; two children beyond that have as many pairs as the node.
+OVERLAP = 0.2
 #: A child with more than this share of its parent's vectors is compared in blocks.
 STALLED = 0.8
 LEVELS = 60
@@ -74,8 +75,8 @@ def _projected(rows: DataFrame) -> DataFrame:
 
 def _children(placed: DataFrame) -> DataFrame:
     """Rows of nodes that are split, in their child nodes: path, node, copies, vector, size (of the parent)."""
-    left = F.col("at") <= F.least(F.col("q")[1] + F.col("margin"), F.col("q")[2])
-    right = F.col("at") > F.greatest(F.col("q")[1] - F.col("margin"), F.col("q")[0])
+    left = F.col("at") <= F.col("q")[1] + F.col("margin")
+    right = F.col("at") > F.col("q")[1] - F.col("margin")
     sides = F.array_compact(F.array(F.when(left, F.lit(1)), F.when(right | ~left, F.lit(2))))
     return placed.withColumn("side", F.explode(sides)).select(
         F.xxhash64("path", "side").alias("path"), "node", "copies", "vector", F.col("n").alias("size")
@@ -153,9 +154,15 @@ def _linked_in_blocks(stalled: DataFrame, cosine: float) -> DataFrame:
 
 
 def links(vectors: DataFrame, cosine: float, trees: int, seed: int) -> DataFrame:
-    """Links a < b of vectors (node, root, copies, vector), with the copies of both."""
-    roots = F.explode(F.sequence(F.lit(1), F.lit(trees)))
-    rows = vectors.withColumn("tree", roots).select(
+    """Links a < b of vectors (node, root, copies, vector), with the copies of both.
+
+    A root has `trees` trees, and one more for every two halvings that lead to a leaf.
+    """
+    large = cut(vectors.groupBy("root").agg(F.count("*").alias("of_root")).filter(F.col("of_root") > LEAF))
+    own = vectors.join(F.broadcast(large) if large.count() <= BROADCAST_NODES else large, "root", "left")
+    more = F.coalesce(F.ceil(F.log2(F.col("of_root") / LEAF) / 2), F.lit(0)).cast("int")
+    roots = F.explode(F.sequence(F.lit(1), F.lit(trees) + more))
+    rows = own.withColumn("tree", roots).select(
         F.xxhash64(F.lit(seed), "tree", "root").alias("path"), "node", "copies", "vector", F.lit(None).cast("long").alias("size")
     )
     found = []
@@ -174,7 +181,8 @@ def links(vectors: DataFrame, cosine: float, trees: int, seed: int) -> DataFrame
         splits = cut(projected.groupBy("path").agg(F.percentile_approx("at", [0.5 - OVERLAP, 0.5, 0.5 + OVERLAP], 1000).alias("q")))
         splits = F.broadcast(splits) if n_large <= BROADCAST_NODES else splits
         placed = projected.join(splits, "path").withColumn("margin", margin)
-        is_stalled = (F.col("q")[2] - F.col("q")[0] < F.col("margin")) | F.coalesce(F.col("n") > STALLED * F.col("size"), F.lit(False))
+        reach = F.least(F.col("q")[2] - F.col("q")[1], F.col("q")[1] - F.col("q")[0])
+        is_stalled = (reach < F.col("margin")) | F.coalesce(F.col("n") > STALLED * F.col("size"), F.lit(False))
         if level == LEVELS - 1:
             is_stalled = F.lit(True)
         found.append(_linked_in_blocks(placed.filter(is_stalled), cosine))

@@ -74,6 +74,28 @@ def test_groups_of_like_vectors(spark, monkeypatch):
     assert results(near_vectors(frame, trees=10)) == brute(rows)
 
 
+def test_hot_tight_labels_after_many_splits(spark, monkeypatch):
+    # Typical cosines of 0.75 and 0.85 within a label, and pairs at 0.93 or a little above.
+    monkeypatch.setattr(forest, "LEAF", 16)
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v)
+    vectors, labels = [], []
+    for label, typical, n in ((1, 0.75, 120), (2, 0.85, 40)):
+        center = unit(rng.standard_normal(64))
+        for _ in range(n):
+            one = typical**0.5 * center + (1 - typical) ** 0.5 * unit(rng.standard_normal(64))
+            noise, cosine = rng.standard_normal(64), rng.uniform(0.931, 0.95)
+            noise = unit(noise - (noise @ unit(one)) * unit(one))
+            vectors += [one, cosine * unit(one) + (1 - cosine**2) ** 0.5 * noise]
+            labels += [label] * 2
+    rows = [(i, v.tolist(), label) for i, (v, label) in enumerate(zip(vectors, labels))]
+    found, wanted = results(near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))), brute(rows)
+    links = {of: [sum(x[1] for x in part if labels[x[0]] == of) for part in (found, wanted)] for of in (1, 2)}
+    print("recall", {of: f / w for of, (f, w) in links.items()})
+    assert all(f[1] <= w[1] for f, w in zip(found, wanted))
+    assert all(f >= 0.98 * w > 0 for f, w in links.values())
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
