@@ -9,9 +9,10 @@ Probing (gram, 1), (gram, 2), ... until one is missing gives the level back; err
 are one-sided and rare. Probabilities interpolate pair and word:
 P(w | v) = a * c(v w) / c(v) + (1 - a) * P(w), with a growing with c(v).
 
-Size bound: the filter takes `BITS` bits per entry, and `max_filter_bytes` in all at
-most. Nothing is left out beyond that: the entries share the bits there are, and more
-probes err. The `HEAD` most frequent words are broadcast with exact counts; counts of
+Size bound: the filter takes `BITS` bits per entry, however many there are, so that probes
+err as seldom on any corpus. At most `max_filter_bytes` of it (one segment at least) are on
+the driver and in a task at a time: a larger filter is probed group by group of segments,
+and the levels found so far travel with the texts. The `HEAD` most frequent words are broadcast with exact counts; counts of
 all others are joined by shuffle. Counts grow with the corpus, broadcasts do not.
 
 Defined results: a null or empty text is its end token alone; a null doc_id counts as
@@ -93,9 +94,10 @@ def fill(grams: np.ndarray, counts: np.ndarray, most_words: int) -> np.ndarray:
 
 
 class Filter:
-    """The whole filter: segments one after another."""
+    """The whole filter, segments one after another, or a group of them from `first` on."""
 
-    def __init__(self, segments: list[np.ndarray]) -> None:
+    def __init__(self, segments: list[np.ndarray], first: int = 0, n_segments: int | None = None) -> None:
+        self.first, self.n_segments = first, len(segments) if n_segments is None else n_segments
         self.sizes = np.array([len(s) for s in segments])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bits = np.concatenate(segments) if segments else np.zeros(0, np.uint64)
@@ -105,8 +107,8 @@ class Filter:
         out = np.zeros(len(grams), np.int64)
         if not len(self.bits):
             return out
-        segment = segment_of(grams, len(self.sizes))
-        at = np.arange(len(grams))
+        segment = segment_of(grams, self.n_segments) - self.first
+        at = np.flatnonzero((segment >= 0) & (segment < len(self.sizes)))
         for level in range(1, 64):
             word, mask = _place(grams[at], level, self.sizes[segment[at]])
             at = at[self.bits[self.starts[segment[at]] + word] & mask == mask]
@@ -221,13 +223,37 @@ def score_documents(
     )
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     n_segments = max(16, -(-total // SEGMENT_BYTES))
-    most_words = max(1, max_filter_bytes // 8 // n_segments)
-    counted = _counted(rows.filter("NOT held_out").select("text"), n_segments, most_words)
+    counted = _counted(rows.filter("NOT held_out").select("text"), n_segments, 1 << 40)
     by_word = counted.filter("gram IS NOT NULL").select("gram", "n")
     n_train, n_words = by_word.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # At most max_filter_bytes, and HEAD words with their counts, reach the driver and the tasks.
-    found = {r.seg: np.frombuffer(r.bits, np.uint64) for r in counted.filter("bits IS NOT NULL").select("seg", "bits").toLocalIterator()}
-    bloom = Filter([found.get(s, np.zeros(1, np.uint64)) for s in range(n_segments)] if found else [])
+    # At most max_filter_bytes (or one segment) at a time, and HEAD words with their counts, reach the driver and the tasks.
+    built = counted.filter("bits IS NOT NULL")
+    lengths = {r.seg: r.n for r in built.select("seg", F.octet_length("bits").alias("n")).toLocalIterator()}
+    groups, held = [0], 0
+    for seg in range(n_segments):
+        if held and held + lengths.get(seg, 8) > max_filter_bytes:
+            groups.append(seg)
+            held = 0
+        held += lengths.get(seg, 8)
+
+    def group(start: int, end: int) -> Filter:
+        own = built.filter((F.col("seg") >= start) & (F.col("seg") < end)).select("seg", "bits")
+        found = {r.seg: np.frombuffer(r.bits, np.uint64) for r in own.toLocalIterator()}
+        return Filter([found.get(s, np.zeros(1, np.uint64)) for s in range(start, end)] if found else [], start, n_segments)
+
+    keyed = rows.withColumn("row_key", F.xxhash64("doc_id", "text")).select("doc_id", "held_out", "row_key", "text", F.lit(None).cast("binary").alias("levels"))
+    for start, end in zip(groups, groups[1:]):
+        # A group before the last: its levels are added to the rows, and it is let go.
+        some = docs.sparkSession.sparkContext.broadcast(group(start, end))
+
+        def probe(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 200):
+                    yield _probed(batch.slice(at, 200), some.value)
+
+        keyed = cut(keyed.mapInArrow(probe, keyed.schema))
+        some.destroy()
+    bloom = group(groups[-1], n_segments)
     # The least count of the head, from how many words have which count: there are few different counts.
     least, held = 1, 0
     for r in by_word.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
@@ -240,7 +266,7 @@ def score_documents(
     whole = n_words <= HEAD
     spread = n_train + 0.5 * (n_words + 1)
     sent = docs.sparkSession.sparkContext.broadcast((bloom, head))
-    del found, bloom, head, frequent
+    del bloom, head, frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, head = sent.value
@@ -250,9 +276,7 @@ def score_documents(
                 yield _scored(part, bloom, head, spread, whole)
 
     scored = cut(
-        rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
-        .select("doc_id", "held_out", "row_key", "text")
-        .mapInArrow(
+        keyed.mapInArrow(
             run,
             "doc_id " + rows.schema["doc_id"].dataType.simpleString() + ", held_out boolean, row_key long, n_tokens long, n_known long, base double, score double, "
             "rare array<struct<gram:long,n:int>>",
@@ -282,22 +306,42 @@ def score_documents(
 _RARE = pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int32())]))
 
 
+def _levels(part: pa.RecordBatch, found: list[np.ndarray], bloom: Filter) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of the words and of the pairs of some texts: those that are kept with the texts, and those of the filter."""
+    words_of, pairs_of = bloom.levels(np.concatenate(found)), bloom.levels(np.concatenate([pairs(t) for t in found]))
+    if part.column(4).null_count < len(part):
+        kept = [np.frombuffer(x.as_buffer(), np.uint8).reshape(2, -1) for x in part.column(4)]
+        # A gram is in one segment, so that one of the two is 0.
+        words_of, pairs_of = words_of + np.concatenate([k[0] for k in kept]), pairs_of + np.concatenate([k[1] for k in kept])
+    return words_of, pairs_of
+
+
+def _probed(part: pa.RecordBatch, bloom: Filter) -> pa.RecordBatch:
+    """The rows with the levels that this part of the filter adds."""
+    found = [tokens(t.as_py()) for t in part.column(3)]
+    ends = np.cumsum([len(t) for t in found])[:-1]
+    words_of, pairs_of = (np.split(x.astype(np.uint8), ends) for x in _levels(part, found, bloom))
+    kept = pa.array([a.tobytes() + b.tobytes() for a, b in zip(words_of, pairs_of)], pa.binary())
+    return pa.RecordBatch.from_arrays([*part.columns[:4], kept], part.schema.names)
+
+
 def _scored(part: pa.RecordBatch, bloom: Filter, head: Head, spread: float, whole: bool) -> pa.RecordBatch:
     """Scores of a few texts at once; `whole`: every known word is in the head."""
     found = [tokens(t.as_py()) for t in part.column(3)]
     lengths = np.array([len(t) for t in found])
     ends = np.cumsum(lengths)
     starts = ends - lengths
-    flat, both = np.concatenate(found), np.concatenate([pairs(t) for t in found])
+    flat = np.concatenate(found)
     exact = head.counts_of(flat)
     # In the model, words outside the head have the counts that the filter gives.
     counts = exact.astype(float)
     outside = np.flatnonzero(exact == 0)
-    counts[outside] = count_of(bloom.levels(flat[outside]))
+    of_words, of_pairs = _levels(part, found, bloom)
+    counts[outside] = count_of(of_words[outside])
     before = np.empty(len(flat))
     before[1:] = counts[:-1]
     before[starts] = float(head.counts_of(np.array([END]))[0])  # texts begin after an end token
-    joint = count_of(bloom.levels(both))
+    joint = count_of(of_pairs)
     word = (counts + 0.5) / spread
     weight = np.where(before > 0, WEIGHT * before / (before + DAMPING), 0.0)
     pair = np.minimum(1.0, joint / np.maximum(before, 1.0))

@@ -50,6 +50,17 @@ def test_documents_against_plain_counts(spark, monkeypatch, head):
     assert sum(r[6] for r in held) > sum(r[5] for r in held)
 
 
+def test_a_filter_larger_than_one_pass_scores_alike(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    held_out = docs.doc_id % 5 == 1
+    one, many = (
+        sorted(tuple(r) for r in bloom_lm.score_documents(docs, held_out, max_filter_bytes=size).collect()) for size in (256 << 20, 20_000)
+    )
+    assert len(one) == docs.count()
+    for a, b in zip(one, many):
+        assert a[:5] == b[:5] and b[5:] == pytest.approx(a[5:], rel=1e-9)
+
+
 def test_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(bloom_lm, "HEAD", 2)
     rows = [(1, "a b A c"), (1, "a b A c"), (2, None), (None, "z z"), (3, ""), (4, "new words " * 20_000), (None, "z z"), (11, "unseen"), (5, " \n")]
