@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bloom_lm, chosen_path, forest, interleave, latent, licenses, ordinal, records, transducer, url_lists
+from plumbline.llm import (
+    alignment,
+    bloom_lm,
+    chosen_path,
+    collocations,
+    fingerprints,
+    forest,
+    interleave,
+    latent,
+    licenses,
+    ordinal,
+    records,
+    transducer,
+    url_lists,
+)
 
 _QUERIES = [
     forest.op1_projection_forest,
@@ -19,6 +33,9 @@ _QUERIES = [
     ordinal.op8_graded_quality,
     licenses.op9_license_labels,
     latent.op10_latent_leaks,
+    alignment.op11_aligned_tokens,
+    collocations.op12_phrases,
+    fingerprints.op13_fingerprints,
 ]
 
 
@@ -27,4 +44,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_projection_forest": forest.OP1_SQL, "op5_temporal_url_lists": url_lists.OP5_SQL}
+    return {
+        "op1_projection_forest": forest.OP1_SQL,
+        "op5_temporal_url_lists": url_lists.OP5_SQL,
+        "op12_phrases": collocations.OP12_SQL,
+    }
