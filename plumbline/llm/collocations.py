@@ -5,13 +5,13 @@ Every word position of a piece of text has one window: the word and the three af
 that starts at a position is a prefix of the window there, Spark's ROLLUP over the four
 columns sums the counts of all shorter phrases; no order of n-grams is spelled out apart.
 
-Windows are first cut short where no candidate can go on: at a word or pair of words that
-has fewer than `least` occurrences. Pairs and words are counted by a 64-bit hash (a
-collision only keeps more), and those that reach `least` set a bit in a bitmap of at most
-2^`MOST_BITS` bits, which is broadcast. Every phrase of a window that is cut away holds a
-rare pair or word, so it is no candidate and no part of one: the counts of the others are
-exact, whatever the bitmap lets through. A window of length 0 still counts its position, so
-the sum over a language is its number of words.
+Windows are first cut short where no candidate can go on: before the first word at which
+the window's prefix has fewer than `least` occurrences. Prefixes are counted beforehand by a
+64-bit hash (a collision only keeps more): words and pairs, then the longer ones whose pairs
+are all frequent. Those that reach `least` set a bit in a bitmap of at most 2^`MOST_BITS`
+bits, which is broadcast. A prefix of a frequent phrase is frequent, so no window loses one:
+the counts of frequent phrases are exact, whatever the bitmap lets through. A window of
+length 0 still counts its position, so the sum over a language is its number of words.
 
 Defined results: null text has no words; a null language is `und`; repeated rows count
 each; no rows give no rows. All sums are 64-bit, products are decimals of 38 digits.
@@ -71,12 +71,16 @@ class Part:
         self.word_keys = mix(hashes ^ seed)
         self.at = np.flatnonzero(self.ids >= 0)
 
-    def pair_keys(self) -> np.ndarray:
-        """Hashes of the pairs that start at each position of a word; 0 where none does."""
-        follow = self.ids[self.at + 1]
+    def first_keys(self) -> np.ndarray:
+        """Hash of the word at every position."""
+        return self.word_keys[self.ids[self.at]]
+
+    def longer(self, places: np.ndarray, keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places (of phrases one word shorter) where a phrase of this size starts, and its hash there."""
+        follow = self.ids[places + size - 1]
+        inside = follow >= 0
         with np.errstate(over="ignore"):
-            keys = mix(self.word_keys[self.ids[self.at]] * _ODD + self.word_keys[follow])
-        return np.where(follow >= 0, keys, np.uint64(0))
+            return places[inside], mix(keys[inside] * _ODD + self.word_keys[follow[inside]])
 
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
@@ -105,17 +109,40 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
 
 
-def frequent_keys(texts: DataFrame, least: int) -> DataFrame:
-    """Hashes of words and of pairs of words with so many occurrences."""
+def set_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bits of the keys are set."""
+    place = keys & np.uint64(len(bits) * 8 - 1)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _short_keys(part: Part) -> Iterator[np.ndarray]:
+    yield part.first_keys()
+    yield part.longer(part.at, part.first_keys(), 2)[1]
+
+
+def _long_keys(part: Part, bits: np.ndarray) -> Iterator[np.ndarray]:
+    """Keys of the phrases of three and four words whose pairs all have their bits set."""
+    places, keys = part.longer(part.at, part.first_keys(), 2)
+    goes_on = np.zeros(len(part.ids), bool)
+    goes_on[places] = set_bits(bits, keys)
+    places, keys = places[goes_on[places]], keys[goes_on[places]]
+    for size in range(3, WORDS + 1):
+        more = goes_on[places + size - 2]
+        places, keys = part.longer(places[more], keys[more], size)
+        yield keys
+
+
+def frequent_keys(texts: DataFrame, least: int, bits: np.ndarray | None = None) -> DataFrame:
+    """Hashes of words and pairs, or given the bitmap of those of longer phrases, with so many occurrences."""
+    known = None if bits is None else texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
-            words = np.bincount(part.ids[part.at], minlength=len(part.words))
-            pairs, often = np.unique(part.pair_keys(), return_counts=True)
-            keys = np.concatenate([part.word_keys, pairs]).view(np.int64)
-            counts = np.concatenate([words, np.where(pairs > 0, often, 0)])
-            for at in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(counts[at : at + (1 << 16)])], ["key", "n"])
+            for keys in _short_keys(part) if known is None else _long_keys(part, known.value):
+                kinds, often = np.unique(keys, return_counts=True)
+                for at in range(0, len(kinds), 1 << 16):
+                    some = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds[some].view(np.int64)), pa.array(often[some])], ["key", "n"])
 
     found = texts.mapInArrow(run, "key long, n long")
     return found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
@@ -133,29 +160,30 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def prefix_bitmap(texts: DataFrame, least: int) -> np.ndarray:
+    """The bitmap of all phrases that may have so many occurrences."""
+    short = cut(frequent_keys(texts, least))
+    long = cut(frequent_keys(texts, least, bitmap(short)))
+    return bitmap(short.union(long))
+
+
 def windows(texts: DataFrame, bits: np.ndarray) -> DataFrame:
     """lang, w1 to w4, n: counted longest windows per task; '' behind the end of a window."""
     known = texts.sparkSession.sparkContext.broadcast(bits)
     names = [f"w{k + 1}" for k in range(WORDS)]
 
-    def set_bits(keys: np.ndarray) -> np.ndarray:
-        place = keys & np.uint64(len(known.value) * 8 - 1)
-        return (known.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
             if not len(part.at):
                 continue
-            frequent = np.append(set_bits(part.word_keys), False)  # the last is that of -1
-            goes_on = np.zeros(len(part.ids), bool)
-            pairs = part.pair_keys()
-            goes_on[part.at] = set_bits(pairs) & (pairs > 0)
             lead = np.full((WORDS, len(part.at)), len(part.words), np.int64)  # the number behind the words is ''
-            inside = frequent[part.ids[part.at]]
-            for k in range(WORDS):
-                if k:
-                    inside &= goes_on[part.at + k - 1] & frequent[part.ids[part.at + k]]
-                lead[k, inside] = part.ids[part.at + k][inside]
+            places, keys = part.at, part.first_keys()
+            for size in range(1, WORDS + 1):
+                if size > 1:
+                    places, keys = part.longer(places, keys, size)
+                some = set_bits(known.value, keys)
+                places, keys = places[some], keys[some]
+                lead[size - 1, np.searchsorted(part.at, places)] = part.ids[places + size - 1]
             high, low = lead[0] << 32 | lead[1], lead[2] << 32 | lead[3]
             order = np.lexsort((low, high))
             high, low = high[order], low[order]
@@ -229,7 +257,7 @@ def without_parts(scored: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, *, least: int = 30, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The `top` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     texts = _texts(docs, text_col, lang_col)
-    counted = windows(texts, bitmap(cut(frequent_keys(texts, least))))
+    counted = windows(texts, prefix_bitmap(texts, least))
     phrases, totals = marginals(counted, least)
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = without_parts(cut(scored_phrases(phrases))).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)

@@ -64,7 +64,7 @@ def test_bitmap_and_parts_do_not_matter(spark, sf_dir, monkeypatch, bits, size):
         counted = module.windows(texts, np.full((1 << bits) // 8, 255, np.uint8))
         phrases, _ = module.marginals(counted, 3)
         found = {(r.lang, r.phrase): r.f for r in phrases.collect()}
-        counted = module.windows(texts, module.bitmap(module.frequent_keys(texts, 3)))
+        counted = module.windows(texts, module.prefix_bitmap(texts, 3))
         phrases, _ = module.marginals(counted, 3)
         assert found == {(r.lang, r.phrase): r.f for r in phrases.collect()} and len(found) > 100
     assert rows(collocations(small, least=3, top=50)) == want
