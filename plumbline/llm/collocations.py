@@ -210,7 +210,8 @@ def marginals(counted: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     size: Column = F.lit(0)
     for name in names:
         size = size + (F.lit(1) - F.grouping(name).cast("int"))
-    sums = counted.rollup("lang", *names).agg(F.sum("n").alias("f"), size.alias("size"), F.grouping("lang").alias("all_langs"))
+    whole = cut(counted.groupBy("lang", *names).agg(F.sum("n").alias("n")))  # shorter prefixes are made of these alone
+    sums = whole.rollup("lang", *names).agg(F.sum("n").alias("f"), size.alias("size"), F.grouping("lang").alias("all_langs"))
     last = F.element_at(F.array(F.lit("-"), *names), F.col("size") + 1)  # '' where the window is shorter
     frequent = (F.col("f") >= least) & (last != "")
     sums = cut(sums.where((F.col("all_langs") == 0) & ((F.col("size") == 0) | frequent)))
