@@ -29,7 +29,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from operator import itemgetter
 
 import numpy as np
@@ -47,6 +47,10 @@ HEAD_PAIRS = 1_000_000
 #: Characters that are encoded at once; one longer text is taken alone.
 PART_CHARS = 1 << 21
 
+#: Stretches that are encoded as one text, for fewer calls of the libraries.
+TOGETHER = 64
+
+_LETTER_LAST = re.compile(r"\S\Z")
 _FREE = re.compile(r"(?<=\S) (?=[\s\S])")
 _NOTHING = (np.array([0, 0, 0], np.int64).tobytes(), "", b"")
 
@@ -58,33 +62,19 @@ def byte_table() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def cuts(spans: Iterable[tuple[int, bytes]], text: bytes) -> list[int] | None:
-    """Byte ends of tokens, from (coarse end, decoded bytes) of each; None if the tokens do not make up the text."""
-    ends, at = [], 0
-    for coarse, own in spans:
-        end = coarse if coarse - at == len(own) else at + len(own)  # part of a character, or a byte of a run
-        if text[at:end] != own:
-            return None
-        ends.append(end)
-        at = end
-    return ends if at == len(text) else None
-
-
-def grouped(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[int]]:
-    """Groups between shared cuts as (A ids, B ids), and the linked pairs as A id * 2^32 + B id."""
-    groups, pairs = [], []
-    i = j = first_a = first_b = 0
-    while i < len(a):
-        pairs.append(a[i] << 32 | b[j])
-        if a_ends[i] == b_ends[j]:
-            i, j = i + 1, j + 1
-            groups.append((a[first_a:i], b[first_b:j]))
-            first_a, first_b = i, j
-        elif a_ends[i] < b_ends[j]:
-            i += 1
-        else:
-            j += 1
-    return groups, pairs
+def refined(coarse: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens: where their spans end, or their own bytes where that is inside a character or a fallback run."""
+    decoded = np.cumsum(lengths)
+    return np.where(coarse == decoded, coarse, decoded)
+
+
+def linked(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the A and B tokens that overlap, in order of A, then B."""
+    first = np.searchsorted(b_ends, np.append(0, a_ends[:-1]), "right")
+    last = np.searchsorted(np.append(0, b_ends[:-1]), a_ends, "left")
+    counts = last - first
+    of_a = np.repeat(np.arange(len(a_ends)), counts)
+    return of_a, np.arange(len(of_a)) - np.repeat(np.cumsum(counts) - counts - first, counts)
 
 
 class Aligner:
@@ -98,37 +88,85 @@ class Aligner:
         self.a = Tokenizer.from_file(byte_level)
         self.a.encode_special_tokens = True
         shown = byte_table()
-        self.a_bytes = {i: bytes(shown.get(c, 0) for c in entry) for entry, i in self.a.get_vocab(with_added_tokens=False).items()}
+        entries = self.a.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * self.a.get_vocab_size()  # that of an added token stays empty
+        for entry, i in entries.items():
+            self.a_bytes[i] = bytes(shown.get(c, 0) for c in entry)
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         names = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [
             bytes([int(name[1:-1], 16)]) if self.b.is_byte(i) else name.replace("▁", " ").encode() for i, name in enumerate(names)
         ]
+        self.a_lengths = np.array([*map(len, self.a_bytes)], np.int64)
+        self.b_lengths = np.array([*map(len, self.b_bytes)], np.int64)
         self.parted = not any("▁" in name.lstrip("▁") for name in names)
         self.room = memo_bytes
         self.used = 0
         self.memo: dict[str, tuple[bytes, str, bytes] | None] = {}
 
-    def aligned(self, stretches: list[str]) -> Iterator[tuple[bytes, str, bytes] | None]:
-        """Per stretch (which begins with the space): counts of A tokens, B tokens and groups, groups as text, pairs."""
-        of_a = self.a.encode_batch(stretches, add_special_tokens=False)
-        of_b = self.b.encode([s[1:] for s in stretches], return_type="proto", num_threads=1)
-        for stretch, found, proto in zip(stretches, of_a, of_b):
-            text = stretch.encode()
-            if len(text) == len(stretch):
-                places: list[int] | range = range(len(text) + 1)
-            else:
-                places = [0, *np.cumsum([len(c.encode()) for c in stretch]).tolist()]
-            a = found.ids
-            a_ends = cuts(((places[end], self.a_bytes.get(i, b"")) for i, (_, end) in zip(a, found.offsets)), text)
+    def joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids and byte ends of both sides over texts, one behind the other; None if the tokens are not the texts."""
+        a, a_coarse, b, b_coarse, want, at = [], [], [], [], [], 0
+        of_a = self.a.encode_batch(texts, add_special_tokens=False)
+        of_b = self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
+        for text, found, proto in zip(texts, of_a, of_b):
+            data = text.encode()
+            ends = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 1]
+            if len(data) != len(text):  # characters to bytes
+                lead = np.frombuffer(data, np.uint8) & 0xC0 != 0x80
+                ends = np.append(np.flatnonzero(lead), len(data))[ends]
+            a += found.ids
+            a_coarse.append(ends + at)
             spans = [(p.id, p.end) for p in proto.pieces]
-            b_ends = cuts(((end + 1, self.b_bytes[i]) for i, end in spans), text)  # the added space is not in the spans
-            if a_ends is None or b_ends is None:
-                yield None
-                continue
-            groups, pairs = grouped(a, a_ends, [i for i, _ in spans], b_ends)
-            shown = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
-            yield (np.array([len(a), len(spans), len(groups)], np.int64).tobytes(), shown, np.array(pairs, np.int64).tobytes())
+            b += [i for i, _ in spans]
+            b_coarse.append(np.array([end for _, end in spans], np.int64) + (at + 1))  # the added space is not in the spans
+            want.append(data)
+            at += len(data)
+        whole = b"".join(want)
+        if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
+            return None
+        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
+        return (
+            a_ids,
+            refined(np.concatenate(a_coarse), self.a_lengths[a_ids]),
+            b_ids,
+            refined(np.concatenate(b_coarse), self.b_lengths[b_ids]),
+        )
+
+    def aligned(self, stretches: list[str]) -> list[tuple[bytes, str, bytes] | None]:
+        """Per stretch (which begins with the space): counts of A tokens, B tokens and groups, groups as text, pairs."""
+        texts, start = [], 0
+        for k, stretch in enumerate(stretches):  # a stretch that ends in white space must not touch the next one
+            if k == len(stretches) - 1 or k - start == TOGETHER or not _LETTER_LAST.search(stretch):
+                texts.append("".join(stretches[start : k + 1]))
+                start = k + 1
+        found = self.joined(texts)
+        ends = np.cumsum([len(s.encode()) for s in stretches])
+        alone = len(stretches) == 1
+        if found is None:
+            return [None] if alone else [self.aligned([s])[0] for s in stretches]
+        a, a_ends, b, b_ends = found
+        shared = a_ends[np.isin(a_ends, b_ends, assume_unique=True)]
+        if not np.isin(ends, shared).all():
+            return [None] if alone else [self.aligned([s])[0] for s in stretches]
+        of_a, of_b = linked(a_ends, b_ends)
+        pairs = (a[of_a] << 32 | b[of_b]).tobytes()
+        # Both sides in one order: by group, A before B. The first of a side in its group has its own mark.
+        group = np.concatenate([np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)])
+        side = np.repeat([0, 1], [len(a), len(b)])
+        order = np.argsort(group * 2 + side, kind="stable")
+        key = (group * 2 + side)[order]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        ids, marks = np.concatenate([a, b])[order], np.where(first, np.where(side[order] == 0, ";", "|"), ",")
+        shown = [m + str(i) for m, i in zip(marks.tolist(), ids.tolist())]
+        n_a, n_b, n_groups = (np.searchsorted(e, ends, "right") for e in (a_ends, b_ends, shared))
+        n_links = np.searchsorted(a_ends[of_a], ends, "right")
+        counts = np.diff(np.stack([n_a, n_b, n_groups], 1), axis=0, prepend=0).tobytes()
+        out, item, link = [], 0, 0
+        for k, (next_item, next_link) in enumerate(zip((n_a + n_b).tolist(), n_links.tolist())):
+            out.append((counts[24 * k : 24 * k + 24], "".join(shown[item:next_item])[1:], pairs[8 * link : 8 * next_link]))
+            item, link = next_item, next_link
+        return out
 
     def stretches(self, text: str) -> list[str]:
         """Space and text, cut where both encodings part."""
@@ -157,7 +195,7 @@ class Aligner:
         for text, parts in zip(texts, parted):
             found = [*map(self.memo.__getitem__, parts)]
             if None in found:  # stretches may differ and their sum not, so the whole text decides
-                found = [next(self.aligned([" " + text])) or _NOTHING]
+                found = [self.aligned([" " + text])[0] or _NOTHING]
             counts = np.frombuffer(b"".join(map(itemgetter(0), found)), np.int64).reshape(-1, 3).sum(0)
             yield counts, ";".join(map(itemgetter(1), found)), np.frombuffer(b"".join(map(itemgetter(2), found)), np.int64)
 

@@ -1,12 +1,13 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer, decoders
 
-from plumbline.llm.alignment import Aligner, align_tokenizers, byte_table, cuts, op11_aligned_tokens
+from plumbline.llm.alignment import Aligner, align_tokenizers, byte_table, op11_aligned_tokens, refined
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
@@ -95,10 +96,11 @@ def test_entries_are_those_of_the_library():
         assert bytes(table[c] for c in entry).decode(errors="replace") == decoders.ByteLevel().decode([entry]) or entry == "<|endoftext|>"
 
 
-def test_cuts_refine_spans():
-    assert cuts([(1, b"a"), (3, b"\xc3"), (3, b"\xa9")], "aé".encode()) == [1, 2, 3]
-    assert cuts([(0, b"\xc3"), (2, b"\xa9")], "é".encode()) == [1, 2]
-    assert cuts([(1, b"b")], b"a") is None and cuts([], b"a") is None and cuts([], b"") == []
+def test_spans_are_refined_by_bytes():
+    # A character in two tokens; a token with the end of one character and the start of the next; a fallback run.
+    assert refined(np.array([1, 3, 3]), np.array([1, 1, 1])).tolist() == [1, 2, 3]
+    assert refined(np.array([3, 6, 6]), np.array([2, 2, 2])).tolist() == [2, 4, 6]
+    assert refined(np.array([0, 0, 3, 4]), np.array([1, 1, 1, 1])).tolist() == [1, 2, 3, 4]
 
 
 def test_stretches_do_not_change_tokens(whole):
