@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.names import named
+
 
 def duplicate_rows(
     df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None, *, broadcast_up_to: int = 2_000_000
@@ -25,8 +27,11 @@ def duplicate_rows(
     by = by or []
     columns = [c for c in (columns or df.columns) if c not in by]
     # The flags keep (NULL, 'a') and ('a', NULL) apart: the hash itself skips NULLs.
-    flags = [F.col(c).isNull() for c in [*by, *columns]]
-    hashed = df.select(*by, *columns, F.xxhash64(*by, *columns, *flags).alias("row_hash"))
+    places = [f"c{i} of the row" for i in range(len(columns))]  # names of its own: any name may be in `by`
+    values = [*map(named, by), *map(named, columns)]
+    flags = [value.isNull() for value in values]
+    compared = [named(c).alias(place) for c, place in zip(columns, places)]
+    hashed = df.select(*map(named, by), *compared, F.xxhash64(*values, *flags).alias("row_hash"))
     totals = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"), F.lit(0).cast("bigint").alias("duplicates")
     )
@@ -41,7 +46,7 @@ def duplicate_rows(
         return totals
     suspects = hashed.join(F.broadcast(repeated), "row_hash", "left_semi") if n <= broadcast_up_to else hashed
     extra = (
-        suspects.groupBy(*by, *columns)
+        suspects.groupBy(*map(named, [*by, *places]))
         .agg((F.count(F.lit(1)) - 1).alias("extra"))
         .groupBy(*by)
         .agg(F.lit(0).cast("bigint").alias("rows"), F.sum("extra").alias("duplicates"))

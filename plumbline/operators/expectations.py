@@ -17,6 +17,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.names import named
 from plumbline.functions.shares import percent, rows
 from plumbline.operators.duplicates import share_of_unique_rows
 from plumbline.operators.ordering import ordered_pairs
@@ -245,8 +246,8 @@ def _distinct(df: DataFrame, group: list[Expect]) -> list[DataFrame]:
     for column, members in per_column.items():
         target = Target("value", df.schema[column].dataType.simpleString())
         counted = (
-            df.filter(F.col(column).isNotNull())
-            .groupBy(F.col(column).alias("value"))
+            df.filter(named(column).isNotNull())
+            .groupBy(named(column).alias("value"))
             .agg(F.count(F.lit(1)).alias("copies"))
         )
         aggregates = [

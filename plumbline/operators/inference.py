@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed
+from plumbline.functions.names import literal, named, quoted
 from plumbline.functions.text import code_lists, escape_pattern
 from plumbline.operators.profile import profile
 
@@ -40,19 +41,19 @@ def _texts(df: DataFrame, columns: list[Row], lists: dict[str, list[str]]) -> li
     for start in range(0, len(columns), 8):
         aggregates, rows = [], []
         for i, c in enumerate(columns[start : start + 8]):
-            text = f"CAST(`{c.column_name}` AS STRING)"
+            text = f"CAST({quoted(c.column_name)} AS STRING)"
             aggregates.append(f"count({text}) AS n{i}")
             for j, pattern in enumerate(fixed.INFERRED_FORMATS.values()):
                 aggregates.append(f"count_if({text} RLIKE r'{pattern}') AS f{i}_{j}")
             for j, codes in enumerate(lists.values()):
-                quoted = ", ".join(f"'{code}'" for code in codes)
+                known = ", ".join(f"'{code}'" for code in codes)
                 long_enough = f"length({text}) = {len(codes[0])}"
                 aggregates.append(f"count_if({long_enough}) AS e{i}_{j}")
-                aggregates.append(f"count_if({long_enough} AND upper({text}) IN ({quoted})) AS h{i}_{j}")
+                aggregates.append(f"count_if({long_enough} AND upper({text}) IN ({known})) AS h{i}_{j}")
             formats = [(name, f"f{i}_{j}", f"n{i}") for j, name in enumerate(fixed.INFERRED_FORMATS)]
             codelists = [(name, f"h{i}_{j}", f"e{i}_{j}") for j, name in enumerate(lists)]
             rows.append(
-                f"named_struct('column_name', '{c.column_name}', 'f', {_best(formats)}, 'l', {_best(codelists)})"
+                f"named_struct('column_name', {literal(c.column_name)}, 'f', {_best(formats)}, 'l', {_best(codelists)})"
             )
         best = df.agg(*map(F.expr, aggregates)).selectExpr(f"inline(array({', '.join(rows)}))")
         frames.append(
@@ -69,7 +70,7 @@ def _texts(df: DataFrame, columns: list[Row], lists: dict[str, list[str]]) -> li
 
 def _enums(df: DataFrame, columns: list[Row]) -> list[DataFrame]:
     """The values of columns known to have at most twenty of them."""
-    sets = [F.array_sort(F.collect_set(F.col(f"`{c.column_name}`").cast("string"))).alias(f"s{i}") for i, c in enumerate(columns)]
+    sets = [F.array_sort(F.collect_set(named(c.column_name).cast("string"))).alias(f"s{i}") for i, c in enumerate(columns)]
     rows = [
         F.struct(
             F.lit(c.column_name).alias("column_name"),
@@ -117,7 +118,7 @@ def _fixed_length_patterns(df: DataFrame, columns: list[Row]) -> list[DataFrame]
     if not columns:
         return []
     texts = F.array(
-        *[F.struct(F.lit(c.column_name).alias("column_name"), F.col(f"`{c.column_name}`").alias("t")) for c in columns]
+        *[F.struct(F.lit(c.column_name).alias("column_name"), named(c.column_name).alias("t")) for c in columns]
     )
     # Characters collapse into one row per column and position before the shuffle.
     characters = (
@@ -164,7 +165,7 @@ def _variable_length_patterns(df: DataFrame, columns: list[Row]) -> list[DataFra
         return []
     aggregates, rows = [], []
     for i, (c, prefix) in enumerate(wanted):
-        tail = F.substr(F.col(f"`{c.column_name}`"), F.lit(len(prefix) + 1))
+        tail = F.substr(named(c.column_name), F.lit(len(prefix) + 1))
         head = F.left(tail, F.lit(1))
         only = F.bool_and(tail == F.repeat(head, F.length(tail)))
         kinds = {_DIGIT: r"\A\p{Nd}+\z", _UPPER: r"\A\p{Lu}+\z", _LOWER: r"\A\p{Ll}+\z", _LETTER: r"\A\p{L}+\z", _ALNUM: r"\A[\p{L}\p{N}]+\z"}

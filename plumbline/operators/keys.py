@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.names import named, quoted
 from plumbline.functions.shares import percent
 
 
@@ -17,7 +18,7 @@ def key_lookup(
     key: a key that fills a third of the table is a single row here.
     """
     by = by or []
-    key = F.col(column) if isinstance(column, str) else column
+    key = named(column) if isinstance(column, str) else column
     counted = (
         df.select(*by, key.alias("lookup_key"))
         .filter(F.col("lookup_key").isNotNull())
@@ -25,7 +26,7 @@ def key_lookup(
         .agg(F.count(F.lit(1)).alias("copies"))
     )
     known = (
-        reference.select(F.col(reference_column).alias("lookup_key"))
+        reference.select(named(reference_column).alias("lookup_key"))
         .filter(F.col("lookup_key").isNotNull())
         .distinct()
         .withColumn("known", F.lit(True))
@@ -51,6 +52,6 @@ def found_percent() -> Column:
 
 def orphan_keys(df: DataFrame, column: str, reference: DataFrame, reference_column: str) -> DataFrame:
     """The keys the reference lacks, each with the number of rows that carry it."""
-    counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
-    known = reference.select(F.col(reference_column).alias(column)).distinct()
-    return counted.join(known, column, "left_anti")
+    counted = df.filter(named(column).isNotNull()).groupBy(named(column)).agg(F.count(F.lit(1)).alias("rows"))
+    known = reference.select(named(reference_column).alias(column)).distinct()
+    return counted.join(known, counted[quoted(column)] == known[quoted(column)], "left_anti")

@@ -19,6 +19,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.names import quoted
 from plumbline.operators import catalog, compare, history, keys
 from plumbline.operators.duplicates import duplicate_rows
 from plumbline.operators.percentiles import exact_percentiles
@@ -350,7 +351,7 @@ def measure(
     for p in probes:
         condition = p.where
         if p.definition.present_only:
-            present = f"`{p.column}` IS NOT NULL"
+            present = f"{quoted(p.column)} IS NOT NULL"
             condition = present if condition is None else f"({condition}) AND {present}"
         filters[condition].append(p)
     for condition, group in filters.items():

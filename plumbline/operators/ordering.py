@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.names import named
+
 
 def _in_order(before: Column, after: Column, descending: bool, strictly: bool) -> Column:
     if descending:
@@ -75,8 +77,8 @@ def ordered_pairs(
     """
     group = F.to_json(F.struct(*by)) if by else F.lit("")
     keys = [f"o{i}" for i in range(len(order_by))]
-    rows = df.filter(F.col(column).isNotNull()).select(
-        group.alias("grp"), *[F.col(c).alias(k) for c, k in zip(order_by, keys)], F.col(column).alias("v")
+    rows = df.filter(named(column).isNotNull()).select(
+        group.alias("grp"), *[named(c).alias(k) for c, k in zip(order_by, keys)], named(column).alias("v")
     )
     tie = F.desc("v") if descending else F.asc("v")
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

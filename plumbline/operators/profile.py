@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from plumbline.functions.names import literal, named, quoted
 from pyspark.sql import types as T
 
 _COLUMNS_PER_PASS = 8
@@ -39,7 +41,7 @@ def profile(df: DataFrame, table: str, *, pii: tuple[str, ...] = (), exact: bool
         part = fields[start : start + _COLUMNS_PER_PASS]
         aggregates, rows = ["count(1) AS rows"], []
         for i, f in enumerate(part):
-            kind, c = logical_type(f.dataType), f"`{f.name}`"
+            kind, c = logical_type(f.dataType), quoted(f.name)
             is_pii, nested = f.name in pii, isinstance(f.dataType, _NESTED)
             has_extremes = not (is_pii or nested or kind == "boolean")
             is_number, is_text = kind in ("integer", "number"), kind == "string"
@@ -56,7 +58,7 @@ def profile(df: DataFrame, table: str, *, pii: tuple[str, ...] = (), exact: bool
                 return f"CAST({f'{name}{i}' if known and name in here else 'NULL'} AS {type_})"
 
             values = {
-                "column_name": f"'{f.name}'",
+                "column_name": literal(f.name),
                 "logical_type": f"'{kind}'",
                 "is_pii": str(is_pii).lower(),
                 "row_count": "rows",
@@ -72,12 +74,12 @@ def profile(df: DataFrame, table: str, *, pii: tuple[str, ...] = (), exact: bool
             }
             rows.append("named_struct(" + ", ".join(f"'{n}', {v}" for n, v in values.items()) + ")")
         counted = df.agg(*map(F.expr, aggregates))
-        frames.append(counted.selectExpr(f"'{table}' AS table_name", f"inline(array({', '.join(rows)}))"))
+        frames.append(counted.selectExpr(f"{literal(table)} AS table_name", f"inline(array({', '.join(rows)}))"))
     profiled = reduce(DataFrame.unionByName, frames)
     if not exact:
         return profiled
     counted = [
-        df.groupBy(F.col(f"`{f.name}`").alias("value"))
+        df.groupBy(named(f.name).alias("value"))
         .agg(F.lit(1))
         .agg(F.count("value").alias("distinct_count"))
         .select(F.lit(f.name).alias("column_name"), "distinct_count")

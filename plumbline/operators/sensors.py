@@ -26,6 +26,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline import fixed
+from plumbline.functions.names import quoted
 from plumbline.functions.shares import (
     at_timestamp,
     percent,
@@ -47,11 +48,6 @@ from plumbline.functions.text import (
 )
 
 
-def quoted(name: str) -> str:
-    """A column name as an identifier, whatever it holds."""
-    return "`" + name.replace("`", "``") + "`"
-
-
 class Target:
     """One column in the shapes sensors ask for."""
 

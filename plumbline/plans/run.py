@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -135,6 +136,10 @@ def _problem(check: Check, tables: dict[str, DataFrame], readings: DataFrame | N
         return None
     if check.check_type not in CHECKS:
         return f"unknown check type {check.check_type}"
+    try:
+        check.limits()
+    except (TypeError, ValueError) as error:
+        return f"a limit is no number: {error}"
     if check.table not in tables:
         # A table that cannot be found is what an availability check reports.
         return None if check.check_type == _AVAILABILITY else f"unknown table {check.table}"
@@ -199,6 +204,35 @@ def _judged(checks: list[Check], tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def reason_of(error: Exception) -> str:
+    """The first line that says what went wrong."""
+    lines = str(error).split("\n")
+    return lines[1].removeprefix(": ") if isinstance(error, Py4JJavaError) and len(lines) > 1 else lines[0]
+
+
+def _cannot_be_planned(checks: list[Check], plan: Callable[[list[Check]], DataFrame]) -> dict[str, str]:
+    """Checks whose part of the plan cannot be made, with the reason. All are planned at once; only if that fails, halves are."""
+    try:
+        plan(checks).schema  # noqa: B018
+        return {}
+    except (PySparkException, Py4JJavaError, KeyError, TypeError, ValueError) as error:
+        if len(checks) == 1:
+            return {checks[0].check_id: reason_of(error)}
+    half = len(checks) // 2
+    return _cannot_be_planned(checks[:half], plan) | _cannot_be_planned(checks[half:], plan)
+
+
+def _unreadable(checks: list[Check], tables: dict[str, DataFrame]) -> dict[str, str]:
+    """Tables asked for their availability that give no row and no end, with the reason; the first row is read."""
+    found = {}
+    for table in sorted({c.table for c in checks if c.check_type == _AVAILABILITY and c.table in tables}):
+        try:
+            tables[table].limit(1).collect()
+        except (PySparkException, Py4JJavaError) as error:
+            found[table] = reason_of(error)
+    return found
+
+
 def problems(checks: list[Check], tables: dict[str, DataFrame], readings: DataFrame | None = None) -> dict[str, str]:
     """Why checks cannot run, by check id. Nothing is executed."""
     found = {c.check_id: _problem(c, tables, readings) for c in checks}
@@ -227,7 +261,10 @@ def take_readings(
             if not some:
                 continue
             # One row counter per distinct filter, in the same pass as its sensors.
-            filters = {c.where: f"rows {i}" for i, c in enumerate(some)}
+            prefix = "rows "
+            while any(c.check_id.startswith(prefix) for c in some):  # no check has the name of a counter
+                prefix += "of "
+            filters = {c.where: f"{prefix}{i}" for i, c in enumerate(some)}
             counters = [Probe(name, "row_count", None, {}, where) for where, name in filters.items()]
             if matching:
                 measured = reduce(DataFrame.unionByName, _match_readings(some, counters, tables, parts, exact)).distinct()
@@ -282,22 +319,38 @@ def run_checks(
     earlier history (for anomaly fences), `readings` the history of plain metrics
     (for day-to-day changes), `outside` readings taken elsewhere
     (check_id, actual_value) that are graded with the rest. An availability check of
-    a table that is not given reads 0. Expectations run next to checks, on whole tables. `fence_days` and `fence_readings` say how much of
+    a table that is not given, or whose first row cannot be read, reads 0. Expectations run next to checks, on whole tables. `fence_days` and `fence_readings` say how much of
     the history an anomaly fence looks at (see `history.anomaly_fence`). `broken` are
     reasons, by check id, why checks are known to fail; nothing is measured for them.
     Errors of the data, such as a division by zero in a condition, appear only when the
     rows are computed: `sources.results.run_and_append` keeps them to their check.
     """
+    unreadable = _unreadable([c for c in checks if c.active], tables)
+    tables = {name: df for name, df in tables.items() if name not in unreadable}
     refused = {**problems(checks, tables, readings), **(broken or {})}
+    for c in checks:
+        if c.check_id in refused and c.table in unreadable:
+            refused[c.check_id] = f"table {c.table} cannot be read: {unreadable[c.table]}"
     runnable = [c for c in checks if c.check_id not in refused and c.active]
     stated = [c for c in runnable if _stated(c)]
     runnable = [c for c in runnable if not _stated(c)]
     absent = [c for c in runnable if c.table not in tables]
     runnable = [c for c in runnable if c.table in tables]
+    if runnable:
+        planned: list[DataFrame] = []
+
+        def plan(some: list[Check]) -> DataFrame:
+            planned.append(take_readings(some, tables, by=by, exact=exact, readings=readings))
+            return planned[-1]
+
+        unplanned = _cannot_be_planned(runnable, plan)
+        refused |= unplanned
+        whole_plan = planned[0] if planned and not unplanned else None
+        runnable = [c for c in runnable if c.check_id not in unplanned]
     now = F.lit(executed_at).cast("timestamp") if executed_at else F.current_timestamp()
     frames = []
     if runnable:
-        frames.append(take_readings(runnable, tables, by=by, exact=exact, readings=readings))
+        frames.append(whole_plan or take_readings(runnable, tables, by=by, exact=exact, readings=readings))
     if absent:
         frames.append(
             spark.createDataFrame(
@@ -314,7 +367,7 @@ def run_checks(
                 F.col("actual_value").cast("double").alias("actual_value"),
             )
         )
-    known = [c for c in checks if c.check_type in CHECKS]
+    known = [c for c in checks if c.check_type in CHECKS and c.check_id not in refused]
     definitions = checks_table(spark, known)
     graded_parts = []
     if frames:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.sample import repeatable_sample
-from plumbline.plans.run import RESULT_COLUMNS, Check, run_checks
+from plumbline.plans.run import RESULT_COLUMNS, Check, reason_of, run_checks
 
 RESULTS_SCHEMA = ", ".join(f"{n} {t}" for n, t in RESULT_COLUMNS.items()) + ", run_date date"
 
@@ -34,26 +35,74 @@ def append_results(results: DataFrame, path: str) -> None:
     )
 
 
-def run_and_append(spark: SparkSession, checks: list[Check], tables: dict[str, DataFrame], path: str, **options) -> dict[str, str]:
-    """Run checks and append their results; an error while they run costs its own check only.
+def expressions(check: Check) -> list[str]:
+    """What a user wrote in SQL for a check: the only parts of a plan that can fail on the values of a table."""
+    return [text for text in (check.where, *check.params.values()) if isinstance(text, str)]
 
-    All run together first. Where that fails nothing has been written, and each half of
-    the checks is tried alone, down to the check that fails: it gets a failed row. The
-    reasons are returned by check id. `options` go to `run_checks`.
+
+def culprits(error: PySparkException, checks: list[Check], fails: Callable[[list[Check]], bool]) -> list[Check]:
+    """Which checks raised an error of the data.
+
+    The error names the piece of SQL that raised it. One check with this piece: that one.
+    Several (the piece may be harmless behind another filter), or none: those that fail
+    when tried, halves first; the others are not run again.
     """
-    try:
-        append_results(run_checks(spark, checks, tables, **options), path)
-        return {}
-    except (PySparkException, Py4JJavaError) as error:
-        if len(checks) == 1:
-            reason = str(error).split("\n")[0]
-            append_results(run_checks(spark, checks, tables, **{**options, "broken": {checks[0].check_id: reason}}), path)
-            return {checks[0].check_id: reason}
-    half = len(checks) // 2
-    found = {}
-    for some in (checks[:half], checks[half:]):
-        found |= run_and_append(spark, some, tables, path, **options)
-    return found
+    pieces = [context.fragment() for context in error.getQueryContext() or []]
+    suspects = [c for c in checks if any(piece and piece in text for text in expressions(c) for piece in pieces)] or checks
+
+    def failing(some: list[Check]) -> list[Check]:
+        if len(some) == 1:
+            return some
+        half = len(some) // 2
+        return [c for part in (some[:half], some[half:]) if fails(part) for c in failing(part)]
+
+    return failing(suspects)
+
+
+def run_and_append(
+    spark: SparkSession, checks: list[Check], tables: dict[str, DataFrame], path: str, *, retries: int = 1, **options
+) -> dict[str, str]:
+    """Run checks and append their results, written once; an error of the data costs its own check only.
+
+    All run together. An error that an expression raised on the data is traced to the checks
+    that hold it (see `culprits`); they get failed rows and the rest runs again. Every other
+    error, such as a lost executor or a full disk, blames no check: the run is tried
+    `retries` more times, and raised. A failed run writes nothing, and all rows have the
+    time of the first attempt. The reasons are returned by check id; `options` go to `run_checks`.
+    """
+    if not options.get("executed_at"):
+        options["executed_at"] = str(spark.sql("SELECT current_timestamp()").first()[0])
+    broken: dict[str, str] = dict(options.pop("broken", None) or {})
+
+    def fails(some: list[Check]) -> bool:
+        try:
+            run_checks(spark, some, tables, **options).write.format("noop").mode("overwrite").save()
+        except PySparkException as error:
+            if not of_the_data(error):
+                raise
+            return True
+        return False
+
+    while True:
+        try:
+            append_results(run_checks(spark, checks, tables, broken=broken, **options), path)
+            return broken
+        except (PySparkException, Py4JJavaError) as error:
+            if isinstance(error, PySparkException) and of_the_data(error):
+                found = culprits(error, [c for c in checks if c.check_id not in broken and c.active], fails)
+                if found:
+                    reason = reason_of(error)
+                    broken |= {c.check_id: reason for c in found}
+                    continue
+            if not retries:
+                raise
+            retries -= 1
+
+
+def of_the_data(error: PySparkException) -> bool:
+    """Whether an expression raised the error on the values it was given: Spark gives such errors a SQLSTATE of class 22 or P0001."""
+    state = error.getSqlState() or ""
+    return state.startswith("22") or state == "P0001"
 
 
 def read_results(spark: SparkSession, path: str, *, since: str | None = None) -> DataFrame:

@@ -276,7 +276,7 @@ def _matches_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {n: load(spark, sf_dir, n) for n in ("orders", "finished_orders")}
     checks = [
         Check(n, n, "orders", _MATCH_COLUMN.get(n, "o_totalprice"), {"reference_table": "finished_orders"}, {},
-              "o_orderkey % 3 = 0 OR o_orderpriority = '1-URGENT'")
+              "o_orderstatus = 'F' OR o_orderpriority = '1-URGENT'")
         for n in ("row_count_match", "sum_match", "distinct_count_match")
     ]
     return _shown_with_rows(run_checks(spark, checks, tables, executed_at=_NOW))
@@ -369,6 +369,8 @@ def _failing(spark: SparkSession, sf_dir: str) -> DataFrame:
         Check("negative", "negative_values", "customer", "c_acctbal"),
         Check("no number", "sql_aggregate_expression_on_table", "customer", None, {"sql_expression": "sum(CAST(c_name AS INT))"}),
         Check("nations", "distinct_count", "customer", "c_nationkey"),
+        Check("guarded", "sql_condition_failed_on_table", "customer", None, {"sql_condition": "1 / c_nationkey > 0"}, {}, "c_nationkey > 0"),
+        Check("open", "sql_condition_failed_on_table", "customer", None, {"sql_condition": "1 / c_nationkey > 0"}),
     ]
     run_and_append(spark, checks, {"customer": load(spark, sf_dir, "customer")}, folder, executed_at=_NOW)
     return read_results(spark, folder).select("check_id", "actual_value", "passed", F.col("error_message").isNotNull().alias("failed"))
@@ -378,7 +380,8 @@ _FAILING_SQL = """
 SELECT 'rows' AS check_id, count(*)::DOUBLE AS actual_value, true AS passed, false AS failed FROM customer
 UNION ALL SELECT 'negative', count(*) FILTER (WHERE c_acctbal < 0)::DOUBLE, count(*) FILTER (WHERE c_acctbal < 0) = 0, false FROM customer
 UNION ALL SELECT 'nations', count(DISTINCT c_nationkey)::DOUBLE, count(DISTINCT c_nationkey) >= 1, false FROM customer
-UNION ALL SELECT unnest(['zero', 'no number']), NULL, false, true"""
+UNION ALL SELECT 'guarded', 0.0, true, false
+UNION ALL SELECT unnest(['zero', 'no number', 'open']), NULL, false, true"""
 
 
 def _availability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,12 +469,24 @@ def _isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
         Check("no readings", "row_count_change_1_day", "customer"),
         Check("odd values", "number_found_in_set_percent", "customer", "c_nationkey", {"expected_values": ["abc"]}),
         Check("imported", "import_custom_result_on_table", "customer", None, {}, {"error": {"min_value": 10}}, active=False),
+        Check("unknown part", "duplicate_record_count", "customer", None, {"columns": ["c_fax"]}),
+        Check("rows with a map", "duplicate_record_count", "mapped"),
+        Check("no share", "percentile_in_range", "customer", "c_acctbal", {"percentile": "abc"}),
+        Check("no limit", "row_count", "customer", None, {}, {"error": {"min_count": "abc"}}),
+        Check("no number of values", "expected_texts_in_top_values_count", "customer", "c_mktsegment",
+              {"expected_values": ["BUILDING"], "top_n": "z"}),
+        Check("dotted name", "duplicate_record_count", "dotted"),
     ]
     customer = load(spark, sf_dir, "customer")
     outside = customer.agg(F.count_if(F.col("c_mktsegment") == "BUILDING").cast("double").alias("actual_value")).select(
         F.lit("imported").alias("check_id"), "actual_value"
     )
-    graded = run_checks(spark, checks, {"customer": customer}, outside=outside, executed_at=_NOW)
+    tables = {
+        "customer": customer,
+        "mapped": customer.select("c_custkey", F.create_map("c_custkey", "c_name").alias("names")),
+        "dotted": customer.select(F.col("c_nationkey").alias("c.nation"), F.col("c_mktsegment").alias("segment's `name`")),
+    }
+    graded = run_checks(spark, checks, tables, outside=outside, executed_at=_NOW)
     return graded.select(
         "check_id", "actual_value", "passed", "severity", F.col("error_message").isNotNull().alias("refused")
     )
@@ -488,8 +503,12 @@ SELECT 'imported', CAST(count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS DOU
 UNION ALL
 SELECT 'odd values', 0.0, false, 'error', false
 UNION ALL
+SELECT 'dotted name', CAST(count(*) - count(DISTINCT (c_nationkey, c_mktsegment)) AS DOUBLE), count(*) = count(DISTINCT (c_nationkey, c_mktsegment)),
+  CASE WHEN count(*) = count(DISTINCT (c_nationkey, c_mktsegment)) THEN 'passed' ELSE 'error' END, false FROM customer
+UNION ALL
 SELECT unnest(['no column', 'bad column', 'bad condition', 'no condition', 'bad type', 'no table', 'no reference',
-  'unknown key', 'unknown total', 'unknown match', 'unknown source', 'no readings']),
+  'unknown key', 'unknown total', 'unknown match', 'unknown source', 'no readings',
+  'unknown part', 'rows with a map', 'no share', 'no limit', 'no number of values']),
   NULL, false, 'error', true"""
 
 
@@ -630,7 +649,7 @@ def oracle_sql() -> dict[str, str]:
     )
     found["checks_for_anomalies"] = _anomaly_sql()
     found["checks_between_two_sources"] = _match_sql()
-    found["checks_between_two_sources_filtered"] = _match_rows_sql("o_orderkey % 3 = 0 OR o_orderpriority = '1-URGENT'", [])
+    found["checks_between_two_sources_filtered"] = _match_rows_sql("o_orderstatus = 'F' OR o_orderpriority = '1-URGENT'", [])
     found["checks_between_two_sources_per_partition"] = _match_rows_sql("true", ["o_orderpriority", "o_orderstatus"])
     found["checks_of_missing_tables"] = _AVAILABILITY_SQL
     found["check_previewed"] = _PREVIEWED_SQL
