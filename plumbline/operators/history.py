@@ -77,6 +77,42 @@ def with_earlier(current: DataFrame, history: DataFrame, keys: list[str], days:
     )
 
 
+def _band(as_of: str | Column | None, days: int | Column) -> tuple[Column, Column]:
+    """The hour that ends 23 hours (or n days less 1 hour) before a moment: [t - days, t - days + 1 h)."""
+    moment = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
+    days = days if isinstance(days, Column) else F.lit(days)
+    low = moment - F.make_dt_interval(days)
+    return low, low + F.expr("INTERVAL 1 HOUR")
+
+
+def earlier_readings(history: DataFrame, questions: DataFrame, bands: list[tuple[str | None, int]], by: list[str]) -> DataFrame:
+    """The newest reading in the band of each question: probe_id, partition, earlier_value; none where there is none.
+
+    `questions` are rows of (probe_id, metric_id, as_of, days), few; `bands` their distinct
+    (as_of, days). The bounds of all bands are known when the plan is made, so they are
+    filters of one scan of the history: on `executed_at`, which reaches the files'
+    statistics, and on `run_date`, where the history is stored by day, which leaves out
+    all other folders. Only the hours in question are read, for all gaps at once.
+    """
+    at = F.col("executed_at").cast("timestamp")
+    wanted = F.lit(False)
+    for as_of, days in bands:
+        low, high = _band(as_of, days)
+        inside = (at >= low) & (at < high)
+        if "run_date" in history.columns:  # a day more on both sides: the folder's day is that of the writer's time zone
+            inside &= F.col("run_date").between(F.date_sub(low.cast("date"), 1), F.date_add(high.cast("date"), 1))
+        wanted |= inside
+    low, high = _band(F.coalesce(F.col("as_of").cast("timestamp"), F.current_timestamp()), F.col("days"))
+    limits = questions.select("probe_id", "metric_id", low.alias("low"), high.alias("high"))
+    known = history.filter(wanted & F.col("actual_value").isNotNull()).select(
+        "metric_id", *by, at.alias("at"), F.col("actual_value").cast("double").alias("reading")
+    )
+    # Bounded by the caller's list of probes.
+    asked = known.join(F.broadcast(limits), "metric_id").filter((F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")))
+    newest = F.max(F.struct("at", "reading"))
+    return asked.groupBy("probe_id", *by).agg(newest["reading"].alias("earlier_value"))
+
+
 def percent_change(value: Column, earlier: Column, absolute: bool) -> Column:
     """Signed change in percent; NULL without an earlier reading or when it is 0."""
     base = F.abs(earlier) if absolute else earlier

@@ -289,29 +289,27 @@ def _earlier(df: DataFrame, probes: list[Probe], by: list[str], exact: bool, rea
     """
     if readings is None:
         raise ValueError("history sensors need the readings history")
-    frames = []
-    per_days = defaultdict(list)
+    # One measurement for all gaps: the same metric is asked for 1, 7 and 30 days.
+    bases, asked = {}, []
     for p in probes:
-        per_days[int(p.settings["days"])].append(p)
-    for days, group in per_days.items():
-        base = [Probe(p.probe_id, p.settings["base"], p.column, {}, None) for p in group]
-        now = measure(df, base, by=by, exact=exact)
-        metric, moment, absolute = F.lit(None).cast("string"), F.lit(None).cast("timestamp"), F.lit(False)
-        for p in group:
-            mine = F.col("probe_id") == p.probe_id
-            metric_id = p.settings.get("metric_id") or f"{p.settings['base']}:{p.column or ''}"
-            metric = F.when(mine, F.lit(metric_id)).otherwise(metric)
-            asked_at = F.lit(p.settings["as_of"]).cast("timestamp") if p.settings.get("as_of") else F.current_timestamp()
-            moment = F.when(mine, asked_at).otherwise(moment)
-            absolute = F.when(mine, F.lit(p.settings["absolute"])).otherwise(absolute)
-        current = now.withColumn("metric_id", metric).withColumn("executed_at", moment).withColumn("absolute", absolute)
-        compared = history.with_earlier(current, readings, ["metric_id", *by], days)
-        value, earlier = F.col("sensor_value"), F.col("earlier_value")
-        change = F.when(F.col("absolute"), history.percent_change(value, earlier, True)).otherwise(
-            history.percent_change(value, earlier, False)
-        )
-        frames.append(compared.select(*by, "probe_id", change.alias("sensor_value")))
-    return frames
+        base_id = f"{p.settings['base']}:{p.column or ''}"
+        bases[base_id] = Probe(base_id, p.settings["base"], p.column, {}, None)
+        metric_id, as_of = p.settings.get("metric_id") or base_id, p.settings.get("as_of")
+        asked.append((p.probe_id, base_id, metric_id, None if as_of is None else str(as_of), int(p.settings["days"]), bool(p.settings["absolute"])))
+    now = measure(df, list(bases.values()), by=by, exact=exact).withColumnRenamed("probe_id", "base_id")
+    questions = df.sparkSession.createDataFrame(
+        asked, "probe_id string, base_id string, metric_id string, as_of string, days int, absolute boolean"
+    )
+    bands = sorted({(as_of, days) for _, _, _, as_of, days, _ in asked}, key=str)
+    earlier = history.earlier_readings(readings, questions, bands, by)
+    same = reduce(lambda a, b: a & b, [F.col(f"n.{k}").eqNullSafe(F.col(f"e.{k}")) for k in by], F.col("n.probe_id") == F.col("e.probe_id"))
+    # The questions are as many as the caller's probes.
+    compared = now.join(F.broadcast(questions), "base_id").alias("n").join(earlier.alias("e"), same, "left")
+    value, before = F.col("n.sensor_value"), F.col("e.earlier_value")
+    change = F.when(F.col("n.absolute"), history.percent_change(value, before, True)).otherwise(
+        history.percent_change(value, before, False)
+    )
+    return [compared.select(*[F.col(f"n.{k}") for k in by], F.col("n.probe_id").alias("probe_id"), change.alias("sensor_value"))]
 
 
 def _known(df: DataFrame, probes: list[Probe], by: list[str], values: dict[str, Column]) -> list[DataFrame]:
