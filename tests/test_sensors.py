@@ -156,6 +156,26 @@ def test_percentiles_per_group_with_a_hot_group_and_a_null_group(spark, few_grou
             assert got[(g, f)] == pytest.approx(_linear([v for k, v in rows if k == g], f))
 
 
+@pytest.mark.parametrize("accuracy", [20, 100])
+def test_percentiles_inside_narrow_brackets(spark, accuracy):
+    rng = random.Random(accuracy)
+    values = {
+        "spread": [rng.gauss(0, 1000) for _ in range(5000)],
+        "hot": [7.0] * 2000 + [rng.uniform(0, 1e6) for _ in range(4000)],
+        "steps": [float(rng.randint(0, 9)) for _ in range(3000)],
+        "endless": [rng.choice([float("inf"), float("-inf"), 0.0, 1.0, -2.5]) for _ in range(2000)],
+    }
+    fractions = [0.0, 0.001, 0.1, 0.25, 0.333, 0.5, 0.75, 0.9, 0.9999, 1.0]
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "series string, v double")
+    found = exact_percentiles(df.repartition(7), [], {k: fractions for k in values}, accuracy=accuracy).collect()
+    got = {(r.series, r.fraction): r.value for r in found}
+    for k, vs in values.items():
+        for f in fractions:
+            want = _linear(vs, f)
+            if want == want:  # between two equal infinities the plain formula has no value
+                assert got[(k, f)] == pytest.approx(want, rel=1e-9, abs=1e-300)
+
+
 @pytest.mark.parametrize("pattern", [fixed.EMAIL, fixed.US_PHONE, fixed.US_ZIPCODE, fixed.IP4, fixed.IP6_FULL])
 def test_finders_find_what_the_patterns_find(spark, pattern):
     rng = random.Random(pattern)
