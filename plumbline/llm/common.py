@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,8 +50,38 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+#: Memos of this worker that outlive a task's function.
+_memos: list[dict] = []
+
+
+def give_back() -> None:
+    """Empty the memos of this worker and return free memory to the machine; for the end of a task, as workers are used again."""
+    for memo in _memos:
+        memo.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of a task's batches, which gives its worker's memory back at the end."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
 class WordHashes(dict):
-    """Word -> 64-bit hash, remembered up to a bound."""
+    """Word -> 64-bit hash, remembered up to a bound and within a task."""
+
+    def __init__(self) -> None:
+        _memos.append(self)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO_ENTRIES:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, table
+from plumbline.llm.common import cut, give_back, giving_back, table
 from plumbline.llm.licenses import license_words
 
 HALF = 32
@@ -182,7 +182,7 @@ def _hits(docs: DataFrame, space: Space) -> DataFrame:
                 ["n_words", "halves", "terms"],
             )
 
-    return docs.select("text").mapInArrow(run, "n_words long, halves array<int>, terms array<int>")
+    return docs.select("text").mapInArrow(giving_back(run), "n_words long, halves array<int>, terms array<int>")
 
 
 def _spread(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
@@ -208,7 +208,7 @@ def _frequencies(hits: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1].astype(np.int64)), pa.array(np.r_[counts[some], total])], ["term", "n"])
 
     # A number per term of the benchmark block reaches the driver.
-    rows = hits.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    rows = hits.mapInArrow(giving_back(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     counts, total = np.zeros(n_terms, np.int64), 0
     for term, n in zip(rows.column("term").to_pylist(), rows.column("n").to_pylist()):
         if term < 0:
@@ -256,7 +256,7 @@ def _sums(hits: DataFrame, space: Space, draw: np.ndarray) -> np.ndarray:
         np.add.at(total, owner, group.column("sums").combine_chunks().flatten().to_numpy().reshape(-1, width))
         return pa.table({"term": terms, "sums": pa.array(list(total), pa.list_(pa.float64()))})
 
-    partial = hits.mapInArrow(run, "term long, sums array<float>")
+    partial = hits.mapInArrow(giving_back(run), "term long, sums array<float>")
     # A row per term of the benchmark block reaches the driver.
     rows = partial.groupBy(F.expr("term div 64")).applyInArrow(add, "term long, sums array<double>").toArrow()
     out = np.zeros((len(space.weights), width))
@@ -387,6 +387,8 @@ def found_items(docs: DataFrame, space: Space, text: Column) -> Column:
                 for found in finder.find(part.slice(at, 250).to_pylist()):
                     out.append([dict(zip(names, f)) for f in sorted(found, key=lambda f: (f[0] is None, f[0] or 0))])
             yield pa.array(out, pa.list_(_FINDING))
+        del finder
+        give_back()
 
     return run(text)
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import MEMO_ENTRIES, cut, table
+from plumbline.llm.common import MEMO_ENTRIES, cut, give_back, table
 
 MAX_LABELLED = 16_000
 #: Least chance of the top grade of what is kept.
@@ -243,6 +243,8 @@ def scored(docs: DataFrame, model: Ordinal | None, n_grades: int, text: Column)
             yield pa.StructArray.from_arrays(
                 [pa.array(tails.sum(axis=1)), pa.array(list(tails), pa.list_(pa.float64()))], ["expected_grade", "tails"]
             )
+        del scorer
+        give_back()
 
     return run(text)
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import MEMO_ENTRIES, table
+from plumbline.llm.common import MEMO_ENTRIES, giving_back, table
 
 MARK = "▁"
 _INFINITE = float("inf")
@@ -45,7 +45,7 @@ class Transducer:
     """The compiled machines of one model."""
 
     def __init__(self, pieces: list[tuple[str, float, bool]], byte_pieces: dict[int, int], *, merges: bool, unknown: int = 0,
-                 prefix: bool = True, squeeze: bool = False, entries: int = 3 * MEMO_ENTRIES) -> None:
+                 prefix: bool = True, squeeze: bool = False, entries: int = 3 * MEMO_ENTRIES // 2) -> None:
         """pieces: text, score and whether it is an ordinary piece, by id; byte_pieces: byte -> id."""
         self.texts = [text for text, _, _ in pieces]
         self.scores = [score for _, score, _ in pieces]
@@ -69,7 +69,7 @@ class Transducer:
         self.decoded = self._decoded()
 
     @classmethod
-    def load(cls, path: str, entries: int = 3 * MEMO_ENTRIES) -> Transducer:
+    def load(cls, path: str, entries: int = 3 * MEMO_ENTRIES // 2) -> Transducer:
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -117,7 +117,7 @@ class Transducer:
             one, other = self.texts[left], self.texts[right]
             whole = one + other
             known = whole not in self.ids and self.merged(whole) == [one, other]
-            if len(self.joints) > 3 * MEMO_ENTRIES:
+            if len(self.joints) > 3 * MEMO_ENTRIES // 2:
                 self.joints.clear()
             self.joints[key] = known
         return known
@@ -282,7 +282,7 @@ def encoded_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id
     )
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(
-        run, "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, same_text boolean" + (", ids array<int>" if with_ids else "")
+        giving_back(run), "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, same_text boolean" + (", ids array<int>" if with_ids else "")
     )
 
 
