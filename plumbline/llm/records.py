@@ -102,7 +102,8 @@ class Encoder:
 
     Encoding is by pre-token, and a space between two other characters always begins
     one; so pieces cut there are encoded apart, once, and remembered up to a bound.
-    Strings of special tokens in a text are ordinary text.
+    As in a plain call of the library, the string of an added token in a text is that
+    token; a text with one is encoded as a whole.
     """
 
     def __init__(self, path: str, width: int, entries: int = 3 * MEMO_ENTRIES) -> None:
@@ -110,12 +111,15 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.width = np.dtype("<u2" if width == 2 else "<u4")
         self.entries = entries
         self.memo: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
+        if self.added.search(text):
+            return [text]
         parts = _FREE.split(text) if _TOUCHING.search(text) else text.split(" ")
         return [parts[0], *[" " + p for p in parts[1:]]] if len(parts) > 1 else parts
 
@@ -127,7 +131,7 @@ class Encoder:
             memo = self.memo = {p: memo[p] for p in pieces if p in memo}
         whole, single = [], set()
         for piece in missing:
-            parts = atoms(piece)
+            parts = [piece] if self.added.search(piece) else atoms(piece)
             if len(parts) > 1:
                 whole.append((piece, parts))
                 single.update(p for p in parts if p not in memo)

@@ -16,7 +16,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -82,3 +81,9 @@ def test_empty_table(spark, monkeypatch):
     docs = spark.createDataFrame([], "doc_id long, text string")
     monkeypatch.setattr(records, "table", lambda *_: docs)
     assert op2_token_records(spark, "").count() == 0
+
+
+def test_strings_of_added_tokens_are_those_tokens(library):
+    texts = ["<|endoftext|>", "a b<|endoftext|>c. d", "x <|endoftext|>, y", "<|endoftext", "no such token"]
+    found = [np.frombuffer(ids, "<u2").tolist() for ids in Encoder(PATH, 2).encode_all(texts)]
+    assert found == [library(t) for t in texts] and found[0] == [50256] and 50256 in found[1] and 50256 not in found[3]
