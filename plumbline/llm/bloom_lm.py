@@ -12,8 +12,8 @@ P(w | v) = a * c(v w) / c(v) + (1 - a) * P(w), with a growing with c(v).
 Size bound: the filter takes `BITS` bits per entry, however many there are, so that probes
 err as seldom on any corpus. At most `max_filter_bytes` of it (one segment at least) are on
 the driver and in a task at a time: a larger filter is probed group by group of segments,
-and the levels found so far travel with the texts. The `HEAD` most frequent words are broadcast with exact counts; counts of
-all others are joined by shuffle. Counts grow with the corpus, broadcasts do not.
+and the levels found so far travel with the texts. For the base score, the `HEAD` most frequent words are broadcast with exact
+counts; counts of all others are joined by shuffle. The model's score uses the filter alone, for all words alike. Counts grow with the corpus, broadcasts do not.
 
 Defined results: a null or empty text is its end token alone; a null doc_id counts as
 the empty text in the choice of held-out rows and is passed on; repeated rows count and
@@ -225,7 +225,11 @@ def score_documents(
     n_segments = max(16, -(-total // SEGMENT_BYTES))
     counted = _counted(rows.filter("NOT held_out").select("text"), n_segments, 1 << 40)
     by_word = counted.filter("gram IS NOT NULL").select("gram", "n")
-    n_train, n_words = by_word.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    # The level of a count is its number of binary digits; the sum of what levels stand for makes word probabilities sum to 1.
+    stands_for = F.pow(F.lit(2.0), F.length(F.bin("n"))) * 0.75 - 0.5
+    n_train, n_words, n_model = by_word.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(stands_for), F.lit(0.0))
+    ).first()
     # At most max_filter_bytes (or one segment) at a time, and HEAD words with their counts, reach the driver and the tasks.
     built = counted.filter("bits IS NOT NULL")
     lengths = {r.seg: r.n for r in built.select("seg", F.octet_length("bits").alias("n")).toLocalIterator()}
@@ -264,7 +268,7 @@ def score_documents(
     frequent = by_word.filter(F.col("n") >= least).toArrow()
     head = Head(frequent.column("gram").to_numpy().view(np.uint64), frequent.column("n").to_numpy())
     whole = n_words <= HEAD
-    spread = n_train + 0.5 * (n_words + 1)
+    spread, model_spread = n_train + 0.5 * (n_words + 1), n_model + 0.5 * (n_words + 1)
     sent = docs.sparkSession.sparkContext.broadcast((bloom, head))
     del bloom, head, frequent
 
@@ -273,7 +277,7 @@ def score_documents(
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                yield _scored(part, bloom, head, spread, whole)
+                yield _scored(part, bloom, head, spread, model_spread, whole)
 
     scored = cut(
         keyed.mapInArrow(
@@ -325,7 +329,7 @@ def _probed(part: pa.RecordBatch, bloom: Filter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*part.columns[:4], kept], part.schema.names)
 
 
-def _scored(part: pa.RecordBatch, bloom: Filter, head: Head, spread: float, whole: bool) -> pa.RecordBatch:
+def _scored(part: pa.RecordBatch, bloom: Filter, head: Head, spread: float, model_spread: float, whole: bool) -> pa.RecordBatch:
     """Scores of a few texts at once; `whole`: every known word is in the head."""
     found = [tokens(t.as_py()) for t in part.column(3)]
     lengths = np.array([len(t) for t in found])
@@ -333,16 +337,14 @@ def _scored(part: pa.RecordBatch, bloom: Filter, head: Head, spread: float, whol
     starts = ends - lengths
     flat = np.concatenate(found)
     exact = head.counts_of(flat)
-    # In the model, words outside the head have the counts that the filter gives.
-    counts = exact.astype(float)
-    outside = np.flatnonzero(exact == 0)
+    # The model has one kind of count for all words: what the filter gives. Exact counts are for the base score.
     of_words, of_pairs = _levels(part, found, bloom)
-    counts[outside] = count_of(of_words[outside])
+    counts = count_of(of_words)
     before = np.empty(len(flat))
     before[1:] = counts[:-1]
-    before[starts] = float(head.counts_of(np.array([END]))[0])  # texts begin after an end token
+    before[starts] = counts[ends - 1]  # texts begin after an end token, which is their last
     joint = count_of(of_pairs)
-    word = (counts + 0.5) / spread
+    word = (counts + 0.5) / model_spread
     weight = np.where(before > 0, WEIGHT * before / (before + DAMPING), 0.0)
     pair = np.minimum(1.0, joint / np.maximum(before, 1.0))
     model = np.log10(weight * pair + (1 - weight) * word)

@@ -4,9 +4,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import bloom_lm
-from plumbline.llm.bloom_lm import Filter, Head, count_of, fill, levels, op7_bloom_model_scores, segment_of
+from plumbline.llm.bloom_lm import Filter, Head, count_of, fill, levels, op7_bloom_model_scores, score_documents, segment_of
 
 
 def expected(docs):
@@ -90,3 +91,23 @@ def test_filter_and_head():
     assert sum(len(s) for s in segments) * 64 <= 11 * levels(counts).sum()
     assert len(fill(grams, counts, 10)) == 10  # the bound holds, and every gram is still found
     assert (Filter([fill(grams, counts, 10)]).levels(grams) > 0).all()
+
+
+@pytest.mark.parametrize("head", [1_000_000, 20, 0])
+def test_scores_do_not_depend_on_the_head(spark, sf_dir, monkeypatch, head):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    held_out = F.col("doc_id") % 5 == 1
+    want = {r.doc_id: (r.score, r.base_score) for r in score_documents(docs, held_out).collect()}
+    monkeypatch.setattr(bloom_lm, "HEAD", head)
+    got = {r.doc_id: (r.score, r.base_score) for r in score_documents(docs, held_out).collect()}
+    assert got.keys() == want.keys()
+    for doc_id, scores in want.items():
+        assert got[doc_id] == pytest.approx(scores, rel=1e-9)
+
+
+def test_word_probabilities_sum_to_one():
+    counts = np.array([1, 1, 2, 3, 4, 7, 8, 1000, 2**40])
+    quantised = bloom_lm.count_of(bloom_lm.levels(counts))
+    assert [int(bin(c).count("0") + bin(c).count("1") - 1) for c in counts.tolist()] == bloom_lm.levels(counts).tolist()
+    spread = sum(0.75 * 2.0 ** len(f"{c:b}") - 0.5 for c in counts.tolist()) + 0.5 * (len(counts) + 1)
+    assert ((quantised + 0.5) / spread).sum() + 0.5 / spread == pytest.approx(1)
