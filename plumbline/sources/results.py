@@ -7,10 +7,11 @@ import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.history import newest_per_bucket
 from plumbline.operators.sample import repeatable_sample
 from plumbline.plans.run import RESULT_COLUMNS, Check, reason_of, run_checks
 
@@ -105,6 +106,63 @@ def of_the_data(error: PySparkException) -> bool:
     return state.startswith("22") or state == "P0001"
 
 
+def merge_by_folder(rows: DataFrame, path: str, folder: str, keys: list[str], newest: tuple[str, ...] = ()) -> None:
+    """Store rows in a table with a folder per value of `folder`, one row per key within it.
+
+    Of rows with equal keys the one with the greatest `newest` columns is stored; where
+    these are equal too, the one given last. Stored rows of the folders in question are
+    read, merged, and only those folders are replaced, all in one commit at the end of the
+    job. So the same rows given again, by a repeated run or batch, change nothing. A failed
+    run leaves the stored rows as they were until the commit; writers of the same folder
+    have to take turns.
+    """
+    spark = rows.sparkSession
+    staged = shared_folder(spark, "staged")
+    rows.write.parquet(staged)  # computed once, though read twice
+    new = spark.read.schema(rows.schema).parquet(staged).withColumn("_given", F.lit(1))
+    try:
+        stored = spark.read.schema(rows.schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        both = new
+    else:
+        touched = stored.join(new.select(folder).distinct(), folder, "left_semi").select(*rows.columns)
+        both = touched.withColumn("_given", F.lit(0)).unionByName(new)
+    # The whole row comes last, so that ties end alike in every run.
+    order = F.struct(*newest, "_given", F.to_json(F.struct(*rows.columns)))
+    merged = both.groupBy(*dict.fromkeys([*keys, folder])).agg(F.max_by(F.struct(*rows.columns), order).alias("_row"))
+    (
+        merged.select("_row.*")
+        .repartition(folder)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(folder)
+        .parquet(path)
+    )
+
+
+def store_per_bucket(results: DataFrame, path: str, scale: str, keys: tuple[str, ...] = ("check_id", "partition")) -> None:
+    """Keep one stored result per key and bucket (`day`, `month`, ...): the newest, in a folder per bucket.
+
+    A later run replaces its bucket's rows, a straggler replaces none, a repeated run stores nothing twice.
+    """
+    kept = newest_per_bucket(results, list(keys), scale)
+    merge_by_folder(kept, path, "bucket", list(keys), ("executed_at",))
+
+
+def store_days(sketches: DataFrame, path: str) -> None:
+    """Store the sketches of days (`day_sketches`), a folder a month; a day that is stored again replaces its rows."""
+    by_month = sketches.withColumn("month", F.date_trunc("month", "day").cast("date"))
+    merge_by_folder(by_month, path, "month", ["table_name", "column_name", "day"])
+
+
+def read_buckets(spark: SparkSession, path: str, *, since: str | None = None) -> DataFrame:
+    """What `store_per_bucket` stored, its folders pruned by `since`."""
+    results = spark.read.parquet(path)
+    return results.filter(F.col("bucket") >= F.lit(since).cast("date")) if since else results
+
+
 def read_results(spark: SparkSession, path: str, *, since: str | None = None) -> DataFrame:
     """The results table, its date folders pruned by `since`."""
     results = spark.read.schema(RESULTS_SCHEMA).parquet(path)

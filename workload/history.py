@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import history, incidents, scoring
+from plumbline.operators import day_sketches, history, incidents, scoring
+from plumbline.operators.measure import Probe, measure
 from plumbline.plans.run import Check, run_checks
+from plumbline.sources import results as stored
+from workload.folders import shared_folder
 from workload.tables import load
 
 AS_OF = "2024-01-31 00:30:00"
@@ -187,6 +191,74 @@ def newest_result_per_month(spark, sf_dir):
     )
 
 
+@_query(f"""WITH {RESULTS_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY check_id, date_trunc('month', executed_at) ORDER BY executed_at DESC) AS nth FROM results)
+SELECT check_id, strftime(date_trunc('month', executed_at), '%Y-%m-%d') AS bucket, {_ts('executed_at')}, actual_value FROM b WHERE nth = 1""")
+def results_stored_once_per_month(spark, sf_dir):
+    """Runs up to the 20th of January, then all, then all of them repeated: one stored row per check and month."""
+    folder = shared_folder(spark, "results")
+    past = results(spark, sf_dir)
+    early = past.filter(F.col("executed_at") < F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    for run in (early, past, past):
+        stored.store_per_bucket(run, folder, "month", ("check_id",))
+    return _timestamps(stored.read_buckets(spark, folder), "executed_at").select(
+        "check_id", F.col("bucket").cast("string").alias("bucket"), "executed_at", "actual_value"
+    )
+
+
+_SKETCHED = {"events": ("ts", ["event_id", "user_id", "event_type", "value", "props"]),
+             "orders": ("o_orderdate", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])}
+
+
+def _stored_days(spark, sf_dir) -> DataFrame:
+    folder = shared_folder(spark, "sketches")
+    parts = [
+        day_sketches.day_sketches(load(spark, sf_dir, name), name, F.col(day), columns)
+        for name, (day, columns) in _SKETCHED.items()
+    ]
+    stored.store_days(reduce(DataFrame.unionByName, parts), folder)
+    return spark.read.parquet(folder)
+
+
+def _exact_sql(scale: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, strftime(date_trunc('{scale}', {day}), '%Y-%m-%d') AS stretch, "
+        f"count(*) AS n_rows, (count(*) - count({c}))::BIGINT AS nulls, count(DISTINCT {c}) AS distinct_exact, true AS within_bound "
+        f"FROM {t} GROUP BY date_trunc('{scale}', {day})"
+        for t, (day, columns) in _SKETCHED.items() for c in columns
+    )
+
+
+def _distinct_over(scale: str):
+    def run(spark, sf_dir):
+        """Estimates from the stored days next to exact counts: within six standard errors and one."""
+        stretch = F.date_format(F.date_trunc(scale, F.col("day")), "yyyy-MM-dd")
+        estimated = day_sketches.distinct_over(_stored_days(spark, sf_dir), stretch).alias("e")
+        exact = []
+        for name, (day, columns) in _SKETCHED.items():
+            df = load(spark, sf_dir, name).withColumn("_stretch", F.date_format(F.date_trunc(scale, F.col(day)), "yyyy-MM-dd"))
+            probes = [Probe(c, "distinct_count", c) for c in columns]
+            exact.append(measure(df, probes, by=["_stretch"]).withColumn("table_name", F.lit(name)))
+        x = reduce(DataFrame.unionByName, exact).alias("x")
+        same = (
+            (F.col("e.table_name") == F.col("x.table_name"))
+            & (F.col("e.column_name") == F.col("x.probe_id"))
+            & F.col("e.stretch").eqNullSafe(F.col("x._stretch"))
+        )
+        off = F.abs(F.col("distinct_estimate") - F.col("sensor_value"))
+        return estimated.join(x, same).select(
+            "e.table_name", "column_name", "stretch", F.col("rows").alias("n_rows"), "nulls",
+            F.col("sensor_value").cast("long").alias("distinct_exact"),
+            (off <= 1 + 6 * F.col("standard_error")).alias("within_bound"),
+        )
+
+    return run
+
+
+for _scale in ("day", "month"):
+    QUERIES[f"distinct_values_per_{_scale}_from_stored_days"] = _distinct_over(_scale)
+    SQL[f"distinct_values_per_{_scale}_from_stored_days"] = _exact_sql(_scale)
+
+
 @_query(f"""WITH {RESULTS_SQL}
 SELECT DISTINCT event_type AS table_name, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day FROM events
 WHERE (event_type, CAST(ts AS DATE)) NOT IN (SELECT table_name, CAST(executed_at - INTERVAL 1470 MINUTE AS DATE) FROM results

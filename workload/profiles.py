@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from plumbline.operators import catalog as catalogs
 from plumbline.operators import compare, keys, promises, suggest
 from plumbline.operators.duplicates import duplicate_rows, key_groups
 from plumbline.operators.inference import infer
+from plumbline.operators.key_sets import identifying_sets
 from plumbline.operators.profile import candidate_keys, profile
 from plumbline.operators.rules import RULE_THRESHOLDS
 from plumbline.operators.sample import repeatable_sample
@@ -113,6 +115,31 @@ _query("candidate_keys", _candidate_keys, " UNION ALL ".join(
     for t, columns in COLUMNS.items() for c in columns
 ))
 
+
+
+def _identifying_sets(spark, sf_dir):
+    found = reduce(DataFrame.unionByName, [identifying_sets(load(spark, sf_dir, t), t, width=2) for t in COLUMNS])
+    return found.select("table_name", F.concat_ws(",", "columns").alias("key_columns"), "width")
+
+
+def _identifying_sets_sql() -> str:
+    parts = []
+    for t, columns in COLUMNS.items():
+        for c in columns:
+            parts.append(f"SELECT '{t}' AS t, ['{c}'] AS k FROM {t} HAVING count(*) > 0 AND count(DISTINCT {c}) = count(*)")
+        for a, b in combinations(columns, 2):
+            parts.append(
+                f"SELECT '{t}', ['{a}', '{b}'] FROM {t} HAVING count(*) > 0 AND count({a}) = count(*) AND count({b}) = count(*) "
+                f"AND count(DISTINCT ({a}, {b})) = count(*)"
+            )
+    return (
+        f"WITH f AS ({' UNION ALL '.join(parts)}) SELECT t AS table_name, array_to_string(k, ',') AS key_columns, len(k)::INT AS width FROM f "
+        "WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.t = f.t AND len(g.k) < len(f.k) AND list_has_all(f.k, g.k))"
+    )
+
+
+_query("identifying_column_sets", _identifying_sets, _identifying_sets_sql())
+
 # --- inference ----------------------------------------------------------------------------------
 
 _INFERRED = tuple(COLUMNS)
