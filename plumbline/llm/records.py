@@ -21,13 +21,16 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +105,8 @@ class Encoder:
 
     Encoding is by pre-token, and a space between two other characters always begins
     one; so pieces cut there are encoded apart, once, and remembered up to a bound.
+    Arrow cuts the texts, finds their distinct pieces and puts the ids together; Python
+    handles each distinct piece of a batch once.
     As in a plain call of the library, the string of an added token in a text is that
     token; a text with one is encoded as a whole.
     """
@@ -112,35 +117,46 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.added = [a for a in added if a]
         self.width = np.dtype("<u2" if width == 2 else "<u4")
         self.entries = entries
         self.memo: dict[str, bytes] = {}
 
+    def has_added(self, text: str) -> bool:
+        return any(a in text for a in self.added)
+
     def pieces(self, text: str) -> list[str]:
-        if self.added.search(text):
+        if self.has_added(text):
             return [text]
         parts = _FREE.split(text) if _TOUCHING.search(text) else text.split(" ")
         return [parts[0], *[" " + p for p in parts[1:]]] if len(parts) > 1 else parts
 
-    def know(self, pieces: set[str]) -> dict[str, bytes]:
-        """The memo, with all these pieces in it."""
+    def is_plain(self, text: str) -> bool:
+        """Whether every space of the text begins a piece, and Arrow may mark it with a NUL."""
+        return not (_TOUCHING.search(text) or "\0" in text or self.has_added(text))
+
+    def know(self, pieces: set[str], whole_texts: set[str] = frozenset()) -> dict[str, bytes]:
+        """The memo, with all these pieces in it; `whole_texts` are not cut further."""
         memo = self.memo
         missing = pieces.difference(memo)
         if len(memo) + 2 * len(missing) > self.entries:  # keep what is in use just now
             memo = self.memo = {p: memo[p] for p in pieces if p in memo}
-        whole, single = [], set()
+        joined, single = [], set()
         for piece in missing:
-            parts = [piece] if self.added.search(piece) else atoms(piece)
+            parts = [piece] if piece[1:].isalnum() or piece in whole_texts else atoms(piece)  # most pieces are words
             if len(parts) > 1:
-                whole.append((piece, parts))
-                single.update(p for p in parts if p not in memo)
+                joined.append((piece, parts))
+                single.update(parts)
             else:
                 single.add(piece)
-        order = list(single)
+        order = list(single.difference(memo))
+        kind = "H" if self.width.itemsize == 2 else "I"
         for piece, found in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False)):
-            memo[piece] = np.asarray(found.ids, self.width).tobytes()
-        for piece, parts in whole:
+            ids = array(kind, found.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            memo[piece] = ids.tobytes()
+        for piece, parts in joined:
             memo[piece] = b"".join([memo[p] for p in parts])
         return memo
 
@@ -148,9 +164,32 @@ class Encoder:
         if sum(map(len, filter(None, texts))) > 1 << 22 and len(texts) > 1:  # few long texts at a time
             half = len(texts) // 2
             return self.encode_all(texts[:half]) + self.encode_all(texts[half:])
-        cut_up = [self.pieces(t) if t else [] for t in texts]
-        memo = self.know(set().union(*cut_up))
-        return [b"".join(map(memo.__getitem__, pieces)) for pieces in cut_up]
+        out = [b""] * len(texts)
+        plain, other = [], []
+        for row, text in enumerate(texts):
+            if text:
+                (plain if self.is_plain(text) else other).append(row)
+        if plain:
+            for row, ids in zip(plain, self._encode_plain([texts[row] for row in plain])):
+                out[row] = ids
+        if other:
+            whole_texts = {texts[row] for row in other if self.has_added(texts[row])}
+            cut_up = [self.pieces(texts[row]) for row in other]
+            memo = self.know(set().union(*cut_up), whole_texts)
+            for row, pieces in zip(other, cut_up):
+                out[row] = b"".join(map(memo.__getitem__, pieces))
+        return out
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), " ", "\0 "), "\0")
+        found = lists.flatten().dictionary_encode()
+        pieces = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        memo = self.know(set(pieces))
+        ids = pa.array([memo[p] for p in pieces], pa.binary()).take(found.indices)
+        # The ids of all texts lie in one buffer, in order.
+        ends, data = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1], ids.buffers()[2]
+        bounds = ends[lists.offsets.to_numpy()].tolist()
+        return [data[start:end].to_pybytes() for start, end in zip(bounds, bounds[1:])]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -185,8 +224,8 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all = encoder(tokenizer_path, width).encode_all
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 2_000):
+                part = batch.slice(at, 2_000)
                 found = [ids + end for ids in encode_all(part.column(1).to_pylist())]
                 known = part.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
                 file_no = np.searchsorted(ends, known, "left").astype(np.int32)  # the number of bounds below
