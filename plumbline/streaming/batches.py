@@ -19,33 +19,33 @@ from plumbline.plans.run import Check, run_checks
 BatchWriter = Callable[[DataFrame, int], None]
 
 
-def _put(rows: DataFrame, folder: str, batch_id: int) -> None:
+def put(rows: DataFrame, folder: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(os.path.join(folder, f"batch_id={batch_id}"))
 
 
-def _slot(folder: str, batch_id: int) -> str:
+def slot(folder: str, batch_id: int) -> str:
     """Where batch n leaves its state: two slots in turn, so n never overwrites what n - 1 left."""
     return os.path.join(folder, f"slot={batch_id % 2}")
 
 
-def _state(spark: SparkSession, folder: str, schema: str, batch_id: int) -> DataFrame:
+def state_before(spark: SparkSession, folder: str, schema: str, batch_id: int) -> DataFrame:
     """The state that the newest batch before this one has left; no rows before the first."""
     try:
-        left = spark.read.schema(f"{schema}, of_batch long").parquet(_slot(folder, batch_id - 1))
+        left = spark.read.schema(f"{schema}, of_batch long").parquet(slot(folder, batch_id - 1))
     except AnalysisException:
         return spark.createDataFrame([], schema)
     return left.filter(F.col("of_batch") < batch_id).drop("of_batch")
 
 
-def _leave(state: DataFrame, folder: str, batch_id: int) -> None:
-    state.withColumn("of_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(_slot(folder, batch_id))
+def leave(state: DataFrame, folder: str, batch_id: int) -> None:
+    state.withColumn("of_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(slot(folder, batch_id))
 
 
 def graded_batches(checks: list[Check], table: str, folder: str, **options) -> BatchWriter:
     """Run checks on every micro-batch and keep the results."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _put(run_checks(batch.sparkSession, checks, {table: batch}, **options), folder, batch_id)
+        put(run_checks(batch.sparkSession, checks, {table: batch}, **options), folder, batch_id)
 
     return write
 
@@ -65,7 +65,7 @@ def window_changes(folder: str) -> BatchWriter:
         keys = [c for c in batch.columns if c not in _VALUES]
         fresh = batch.select("window_start", "window_end", "sensor_value", *keys)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema.fields)
-        known = _state(spark, state, schema, batch_id).unionByName(fresh)
+        known = state_before(spark, state, schema, batch_id).unionByName(fresh)
         newest_first = Window.partitionBy(*keys).orderBy(F.desc("window_end"))
         before = known.select(F.col("window_end").alias("window_start"), F.col("sensor_value").alias("previous_value"), *keys)
         same = reduce(lambda a, b: a & b, [F.col(f"f.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in ["window_start", *keys]])
@@ -76,9 +76,9 @@ def window_changes(folder: str) -> BatchWriter:
             .select("f.*", "b.previous_value")
             .withColumn("change_percent", F.when(F.col("previous_value").isNull() | (F.col("previous_value") == 0), None).otherwise(gap))
         )
-        _put(compared, changes, batch_id)
+        put(compared, changes, batch_id)
         last = known.withColumn("_nth", F.row_number().over(newest_first)).filter("_nth = 1").drop("_nth")
-        _leave(last, state, batch_id)
+        leave(last, state, batch_id)
 
     return write
 
@@ -95,7 +95,7 @@ def freshness_of_batches(time: str, delay: str, folder: str, as_of: str | None =
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # One value: the newest event so far.
-        newest = _state(spark, state, "newest timestamp", batch_id).agg(F.max("newest")).first()[0]
+        newest = state_before(spark, state, "newest timestamp", batch_id).agg(F.max("newest")).first()[0]
         moment = F.col(time).cast("timestamp")
         limit = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
         now = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
@@ -104,9 +104,9 @@ def freshness_of_batches(time: str, delay: str, folder: str, as_of: str | None =
             F.count(F.lit(1)).alias("rows"),
             F.count_if(moment < limit).alias("late_rows"),
         ).withColumn("lag_seconds", F.unix_seconds(now) - F.unix_seconds("newest"))
-        _put(row, out, batch_id)
+        put(row, out, batch_id)
         own = spark.read.parquet(os.path.join(out, f"batch_id={batch_id}"))
-        _leave(own.select(F.greatest("newest", F.lit(newest).cast("timestamp")).alias("newest")), state, batch_id)
+        leave(own.select(F.greatest("newest", F.lit(newest).cast("timestamp")).alias("newest")), state, batch_id)
 
     return write
 

@@ -118,3 +118,33 @@ def test_a_repeated_batch_leaves_no_second_copy(spark, people, folder):
     writer(people, 0)
     writer(people, 1)
     assert spark.read.parquet(folder).count() == 2
+
+
+def test_incidents_of_batches_that_come_twice_or_leave_nothing_open(spark, tmp_path):
+    from plumbline.streaming import incidents
+
+    columns = ", ".join(incidents.INCIDENT_SCHEMA.split(", "))
+    folder = str(tmp_path)
+
+    def folded(batch, held):
+        # Stands in for the fold: a batch's rows are added to the open ones, those named in it as resolved are closed.
+        closed = batch.filter("status = 'resolved'").select("incident_id")
+        still = held.join(closed, "incident_id", "left_anti").select(*held.columns)
+        return still.unionByName(batch)
+
+    def batch(*rows):
+        made = [("c", i, status, *[None] * 7) for i, status in rows]
+        return spark.createDataFrame(made, columns)
+
+    real, incidents.fold = incidents.fold, folded
+    try:
+        write = incidents.incident_batches(folder)
+        seen = []
+        for batch_id, rows in [(0, [("a", "open")]), (1, [("b", "open")]), (1, [("b", "open")]), (2, [("a", "resolved"), ("b", "resolved")]), (3, [])]:
+            write(batch(*rows), batch_id)
+            seen.append(sorted((r.incident_id, r.status) for r in incidents.current_incidents(spark, folder).collect()))
+    finally:
+        incidents.fold = real
+    both_open, both_closed = [("a", "open"), ("b", "open")], [("a", "resolved"), ("b", "resolved")]
+    assert seen == [[("a", "open")], both_open, both_open, both_closed, both_closed]
+    assert sorted(p.name for p in (tmp_path / "open").iterdir() if p.is_dir()) == ["slot=0", "slot=1"]
