@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, mix, table
+from plumbline.llm.common import cut, giving_back, mix, table
 
 WORDS = 4
 #: Log2 of the longest bitmap: 32 MB.
@@ -82,6 +82,26 @@ class Part:
         with np.errstate(over="ignore"):
             return places[inside], mix(keys[inside] * _ODD + self.word_keys[follow[inside]])
 
+    def windows(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Longest windows: a row per place in them, an order that puts equal ones together, where each begins there, how often it is."""
+        lead = np.full((WORDS, len(self.at)), len(self.words), np.int32)  # the number behind the words is ''
+        places, keys = self.at, self.first_keys()
+        for size in range(1, WORDS + 1):
+            if size > 1:
+                places, keys = self.longer(places, keys, size)
+            some = set_bits(bits, keys)
+            places, keys = places[some], keys[some]
+            lead[size - 1, np.searchsorted(self.at, places)] = self.ids[places + size - 1]
+        del places, keys
+        order = np.lexsort(lead[::-1])
+        begins = np.zeros(len(order), bool)
+        begins[0] = True
+        for row in lead:  # a row at a time, to hold one sorted copy
+            row = row[order]
+            begins[1:] |= row[1:] != row[:-1]
+        first = np.flatnonzero(begins)
+        return lead, order, first, np.diff(np.append(first, len(order)))
+
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
     """Texts of a task by language, some megabytes at a time."""
@@ -100,8 +120,8 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
                 fullest = max(sizes, key=sizes.__getitem__)
                 yield Part(fullest, held.pop(fullest))
                 del sizes[fullest]
-    for lang, texts in held.items():
-        yield Part(lang, texts)
+    while held:
+        yield Part(*held.popitem())
 
 
 def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -144,7 +164,7 @@ def frequent_keys(texts: DataFrame, least: int, bits: np.ndarray | None = None)
                     some = slice(at, at + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(kinds[some].view(np.int64)), pa.array(often[some])], ["key", "n"])
 
-    found = texts.mapInArrow(run, "key long, n long")
+    found = texts.mapInArrow(giving_back(run), "key long, n long")
     return found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
 
 
@@ -176,19 +196,7 @@ def windows(texts: DataFrame, bits: np.ndarray) -> DataFrame:
         for part in parts(batches):
             if not len(part.at):
                 continue
-            lead = np.full((WORDS, len(part.at)), len(part.words), np.int64)  # the number behind the words is ''
-            places, keys = part.at, part.first_keys()
-            for size in range(1, WORDS + 1):
-                if size > 1:
-                    places, keys = part.longer(places, keys, size)
-                some = set_bits(known.value, keys)
-                places, keys = places[some], keys[some]
-                lead[size - 1, np.searchsorted(part.at, places)] = part.ids[places + size - 1]
-            high, low = lead[0] << 32 | lead[1], lead[2] << 32 | lead[3]
-            order = np.lexsort((low, high))
-            high, low = high[order], low[order]
-            first = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
-            often = np.diff(np.append(first, len(high)))
+            lead, order, first, often = part.windows(known.value)
             words = pa.array([*part.words, b""], pa.binary()).cast(pa.string())
             for at in range(0, len(first), 1 << 15):
                 some = order[first[at : at + (1 << 15)]]
@@ -201,7 +209,7 @@ def windows(texts: DataFrame, bits: np.ndarray) -> DataFrame:
                     ["lang", *names, "n"],
                 )
 
-    return texts.mapInArrow(run, "lang string, " + ", ".join(f"{name} string" for name in names) + ", n long")
+    return texts.mapInArrow(giving_back(run), "lang string, " + ", ".join(f"{name} string" for name in names) + ", n long")
 
 
 def marginals(counted: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:

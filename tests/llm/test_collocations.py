@@ -1,6 +1,8 @@
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from plumbline.llm import collocations as module
@@ -83,3 +85,16 @@ def test_products_beyond_64_bits(spark):
     assert [tuple(r) for r in module.scored_phrases(some).select("a", "l", "r", "score").collect()] == [
         (big - 7, big, big, 2_000_000 * (big - 7) // (2 * big))
     ]
+
+
+def test_windows_hold_little_memory():
+    numbers = np.random.default_rng(5)
+    part = module.Part("en", [" ".join(f"w{n}" for n in numbers.integers(0, 500, 200_000))])
+    bits = np.full(1 << 13, 255, np.uint8)
+    tracemalloc.start()
+    lead, order, first, often = part.windows(bits)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert often.sum() == len(part.at) and peak < 90 * len(part.at)
+    sorted_windows = [tuple(lead[:, i]) for i in order[first][:1000]]
+    assert sorted_windows == sorted(set(sorted_windows))
