@@ -30,7 +30,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from operator import itemgetter
+from operator import attrgetter, itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -52,6 +52,9 @@ TOGETHER = 64
 
 _LETTER_LAST = re.compile(r"\S\Z")
 _FREE = re.compile(r"(?<=\S) (?=[\s\S])")
+_AFTER_SPACE = re.compile(r"\s ")
+_SPAN = attrgetter("id", "end")
+_MARKS = (",", ";", "|")
 _NOTHING = (np.array([0, 0, 0], np.int64).tobytes(), "", b"")
 
 
@@ -99,6 +102,9 @@ class Aligner:
         ]
         self.a_lengths = np.array([*map(len, self.a_bytes)], np.int64)
         self.b_lengths = np.array([*map(len, self.b_bytes)], np.int64)
+        # Every id with every mark before it, by number of the mark, then id.
+        self.stride = max(len(self.a_bytes), len(self.b_bytes))
+        self.shown = np.array([mark + str(i) for mark in _MARKS for i in range(self.stride)], object)
         self.parted = not any("▁" in name.lstrip("▁") for name in names)
         self.room = memo_bytes
         self.used = 0
@@ -111,13 +117,13 @@ class Aligner:
         of_b = self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
         for text, found, proto in zip(texts, of_a, of_b):
             data = text.encode()
-            ends = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 1]
+            ends = np.array([end for _, end in found.offsets], np.int64)
             if len(data) != len(text):  # characters to bytes
                 lead = np.frombuffer(data, np.uint8) & 0xC0 != 0x80
                 ends = np.append(np.flatnonzero(lead), len(data))[ends]
             a += found.ids
             a_coarse.append(ends + at)
-            spans = [(p.id, p.end) for p in proto.pieces]
+            spans = [*map(_SPAN, proto.pieces)]
             b += [i for i, _ in spans]
             b_coarse.append(np.array([end for _, end in spans], np.int64) + (at + 1))  # the added space is not in the spans
             want.append(data)
@@ -157,8 +163,8 @@ class Aligner:
         order = np.argsort(group * 2 + side, kind="stable")
         key = (group * 2 + side)[order]
         first = np.concatenate([[True], key[1:] != key[:-1]])
-        ids, marks = np.concatenate([a, b])[order], np.where(first, np.where(side[order] == 0, ";", "|"), ",")
-        shown = [m + str(i) for m, i in zip(marks.tolist(), ids.tolist())]
+        marks = np.where(first, side[order] + 1, 0)
+        shown = self.shown[marks * self.stride + np.concatenate([a, b])[order]].tolist()
         n_a, n_b, n_groups = (np.searchsorted(e, ends, "right") for e in (a_ends, b_ends, shared))
         n_links = np.searchsorted(a_ends[of_a], ends, "right")
         counts = np.diff(np.stack([n_a, n_b, n_groups], 1), axis=0, prepend=0).tobytes()
@@ -170,6 +176,8 @@ class Aligner:
 
     def stretches(self, text: str) -> list[str]:
         """Space and text, cut where both encodings part."""
+        if self.parted and text and text[-1] != " " and not _AFTER_SPACE.search(" " + text):  # they part at every space
+            return [" " + part for part in text.split(" ")]
         first, *others = _FREE.split(" " + text) if self.parted else [" " + text]
         return [first, *[" " + part for part in others]]
 
@@ -180,9 +188,9 @@ class Aligner:
             self.used = sum(map(self.weight, self.memo.items()))
         for at in range(0, len(missing), 2000):
             part = missing[at : at + 2000]
-            for item in zip(part, self.aligned(part)):
-                self.memo[item[0]] = item[1]
-                self.used += self.weight(item)
+            items = [*zip(part, self.aligned(part))]
+            self.memo.update(items)
+            self.used += sum(map(self.weight, items))
 
     @staticmethod
     def weight(item: tuple[str, tuple[bytes, str, bytes] | None]) -> int:

@@ -7,6 +7,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer, decoders
 
+from plumbline.llm import alignment
 from plumbline.llm.alignment import Aligner, align_tokenizers, byte_table, op11_aligned_tokens, refined
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -129,3 +130,12 @@ def test_odd_rows_and_any_head(spark, whole, head):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert align_tokenizers(empty, A, B).collect() == []
+
+
+def test_plain_texts_are_cut_without_the_pattern(monkeypatch):
+    aligner = Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["a b", "one", "x\ty z", " a", "a ", "a  b", "a \tb", "a\u3000 b", "\n a", "a\n b", "é ü, c"]
+    want = [[first, *[" " + part for part in others]] for first, *others in (alignment._FREE.split(" " + t) for t in texts)]
+    assert [aligner.stretches(t) for t in texts] == want
+    monkeypatch.setattr(alignment, "_FREE", None)
+    assert aligner.stretches("some words, and more") == [" some", " words,", " and", " more"]
