@@ -26,6 +26,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import public_tokenizers
@@ -141,14 +142,24 @@ class Encoder:
         missing = pieces.difference(memo)
         if len(memo) + 2 * len(missing) > self.entries:  # keep what is in use just now
             memo = self.memo = {p: memo[p] for p in pieces if p in memo}
-        joined, single = [], set()
+        cut_up, heads, tails, joined, single = [], [], [], [], set()
         for piece in missing:
-            parts = [piece] if piece[1:].isalnum() or piece in whole_texts else atoms(piece)  # most pieces are words
+            if piece[1:].isalnum() or piece in whole_texts:  # most pieces are words
+                single.add(piece)
+                continue
+            head = piece.rstrip(_MARKS)
+            if len(head) < len(piece) and head[1:].isalnum() and (head[0] == " " or not head[0].isspace()):  # a word and its marks
+                cut_up.append(piece)
+                heads.append(head)
+                tails.append(piece[len(head) :])
+                continue
+            parts = atoms(piece)
             if len(parts) > 1:
                 joined.append((piece, parts))
                 single.update(parts)
             else:
                 single.add(piece)
+        single.update(heads, tails)
         order = list(single.difference(memo))
         kind = "H" if self.width.itemsize == 2 else "I"
         for piece, found in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False)):
@@ -156,6 +167,8 @@ class Encoder:
             if sys.byteorder == "big":
                 ids.byteswap()
             memo[piece] = ids.tobytes()
+        known = memo.__getitem__
+        memo.update(zip(cut_up, map(add, map(known, heads), map(known, tails))))
         for piece, parts in joined:
             memo[piece] = b"".join([memo[p] for p in parts])
         return memo
@@ -184,8 +197,12 @@ class Encoder:
         lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), " ", "\0 "), "\0")
         found = lists.flatten().dictionary_encode()
         pieces = found.dictionary.to_numpy(zero_copy_only=False).tolist()
-        memo = self.know(set(pieces))
-        ids = pa.array([memo[p] for p in pieces], pa.binary()).take(found.indices)
+        known = [*map(self.memo.get, pieces)]
+        missing = {piece for piece, of in zip(pieces, known) if of is None}
+        if missing:
+            memo = self.know(missing)
+            known = [memo[piece] if of is None else of for piece, of in zip(pieces, known)]
+        ids = pa.array(known, pa.binary()).take(found.indices)
         # The ids of all texts lie in one buffer, in order.
         ends, data = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1], ids.buffers()[2]
         bounds = ends[lists.offsets.to_numpy()].tolist()

@@ -87,3 +87,15 @@ def test_strings_of_added_tokens_are_those_tokens(library):
     texts = ["<|endoftext|>", "a b<|endoftext|>c. d", "x <|endoftext|>, y", "<|endoftext", "no such token"]
     found = [np.frombuffer(ids, "<u2").tolist() for ids in Encoder(PATH, 2).encode_all(texts)]
     assert found == [library(t) for t in texts] and found[0] == [50256] and 50256 in found[1] and 50256 not in found[3]
+
+
+def test_words_with_marks_take_the_short_way(library, monkeypatch):
+    text = "One, two; (three) four. x" + "".join(f" word{n}{mark}" for n in range(30) for mark in (",", ".", "!)", "%;"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    asked = []
+    whole = records.atoms
+    monkeypatch.setattr(records, "atoms", lambda piece: asked.append(piece) or whole(piece))
+    odd = ["\tab,", "\nab,", "(ab,)", " ab,,", "a ,b", ",,", " ,", "é, ü;", text]
+    found = Encoder(path, 2).encode_all(odd)
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in found] == [library(t) for t in odd]
+    assert not [piece for piece in asked if piece.startswith(" word")]
