@@ -8,7 +8,10 @@ holds a key is not looked at again. A set stays in question if
 * a sketch of its distinct values, taken for many sets in one scan, reaches the rows
   but for seven standard errors.
 
-What stays is counted exactly, map-side first, each set from its own columns only.
+What stays is looked through for a repeated tuple in a slice of all tuples, by hash: one
+that is found is proof that the set is no key, and most sets that are none move that slice
+of the rows only. The others are counted exactly over all rows, map-side first. Each set
+moves its own columns only.
 The driver holds column names and one number per set, nothing that grows with rows.
 A set is ruled out wrongly only if a sketch errs by more than seven standard errors.
 """
@@ -30,6 +33,8 @@ SKETCH_ERROR = 0.02
 _LEAST = 1 - 7 * SKETCH_ERROR
 _PER_SCAN = 32
 _EXACT_TOGETHER = 8
+#: One tuple in so many is in the slice that is looked through first.
+_SLICES = 32
 
 
 def identifying_sets(
@@ -74,6 +79,7 @@ def _search(df: DataFrame, names: list[str], width: int) -> list[tuple[str, ...]
         if size == 1:
             most = {s[0]: e / _LEAST + 1 for s, e in estimates.items()}
         open_ = [s for s in asked if estimates[s] >= _LEAST * rows]
+        open_ = [s for s, unique in zip(open_, _unique(df, open_, _SLICES)) if unique]
         keys += [s for s, unique in zip(open_, _unique(df, open_)) if unique]
     return keys
 
@@ -87,12 +93,15 @@ def _estimates(df: DataFrame, sets: list[tuple[str, ...]]) -> dict[tuple[str, ..
     return found
 
 
-def _unique(df: DataFrame, sets: list[tuple[str, ...]]) -> list[bool]:
+def _unique(df: DataFrame, sets: list[tuple[str, ...]], slices: int = 1) -> list[bool]:
+    """Whether no tuple of a set is repeated, among all or those of one of `slices` slices; equal tuples are in one slice."""
     answers: dict[int, bool] = {}
     for start in range(0, len(sets), _EXACT_TOGETHER):
         frames = []
         for k, s in enumerate(sets[start : start + _EXACT_TOGETHER], start):
-            copies = df.groupBy(*map(named, s)).agg(F.count(F.lit(1)).alias("_copies"))
-            frames.append(copies.agg((F.max("_copies") == 1).alias("is_key")).select(F.lit(k).alias("k"), "is_key"))
+            rows = df if slices == 1 else df.filter(F.pmod(F.xxhash64(F.lit(7), *map(named, s)), F.lit(slices)) == 0)
+            copies = rows.groupBy(*map(named, s)).agg(F.count(F.lit(1)).alias("_copies"))
+            # A slice without rows has no repeated tuple.
+            frames.append(copies.agg(F.coalesce(F.max("_copies") == 1, F.lit(True)).alias("is_key")).select(F.lit(k).alias("k"), "is_key"))
         answers |= {r.k: r.is_key for r in reduce(DataFrame.unionByName, frames).collect()}
     return [answers[k] for k in range(len(sets))]

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.day_sketches import change_over, day_sketches, distinct_over, standard_error
+from plumbline.operators import key_sets
 from plumbline.operators.key_sets import identifying_sets
 from plumbline.sources.results import merge_by_folder, read_buckets, store_days, store_per_bucket
 
@@ -118,3 +119,15 @@ def test_stored_days_answer_any_stretch(spark, folder):
     for r in changes:
         assert (r.change_percent is None) == (r.column_name == "none") and r.earlier_estimate is not None
     assert all(r.change_percent is None for r in change_over(counted, F.add_months("stretch", -2)).collect())
+
+
+def test_sets_with_repeated_tuples_do_not_move_all_rows(spark, monkeypatch):
+    """A pair of columns that is nearly a key is ruled out in a slice; a single repeated tuple is found in all rows."""
+    rows = spark.range(20_000).selectExpr("id AS k", "pmod(xxhash64(id), 1000) AS a", "pmod(xxhash64(id, 2), 1000) AS b", "if(id = 19999, 0, id) AS once")
+    asked = []
+    whole = key_sets._unique
+    monkeypatch.setattr(key_sets, "_unique", lambda df, sets, slices=1: asked.append((slices, sets)) or whole(df, sets, slices))
+    found = [tuple(r["columns"]) for r in identifying_sets(rows, "t", width=2).collect()]
+    assert ("k",) in found and ("once",) not in found and ("a", "b") not in found
+    assert [s for slices, sets in asked if slices > 1 for s in sets if s == ("a", "b")] == [("a", "b")]
+    assert [s for slices, sets in asked if slices == 1 for s in sets if s == ("a", "b")] == []
