@@ -120,12 +120,16 @@ def _fixed_length_patterns(df: DataFrame, columns: list[Row]) -> list[DataFrame]
     texts = F.array(
         *[F.struct(F.lit(c.column_name).alias("column_name"), named(c.column_name).alias("t")) for c in columns]
     )
-    # Characters collapse into one row per column and position before the shuffle.
+    # Characters collapse into one row per column, position and character before the shuffle. Counts are hash aggregates:
+    # a task holds its few distinct characters; extremes of texts alone would sort all characters that it reads.
     characters = (
         df.select(F.inline(texts))
         .filter(F.col("t").isNotNull())
         .select("column_name", F.posexplode(F.split("t", "", -1)).alias("pos", "ch"))
         .filter(F.col("ch") != "")
+        .groupBy("column_name", "pos", "ch")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n > 0")  # always so; without a use of the count Spark would join both aggregates into one
     )
     positions = characters.groupBy("column_name", "pos").agg(
         F.bit_or(_kind(F.col("ch"))).alias("bits"), F.min("ch").alias("low"), F.max("ch").alias("high")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import history
+from plumbline.operators import history, inference
 from plumbline.operators.measure import Probe, measure
 from plumbline.operators.percentiles import exact_percentiles
 from workload import registry
@@ -85,3 +85,13 @@ def test_a_fence_counts_readings_and_gathers_none(spark, sf_dir):
     past = load(spark, sf_dir, "events").selectExpr("event_type AS check_id", "ts AS executed_at", "value AS actual_value")
     assert "collect_list" not in plan_of(history.anomaly_fence(past, ["check_id"], "2024-01-31"))
     assert "WindowGroupLimit" in plan_of(history.anomaly_fence(past, ["check_id"], "2024-01-31", newest=1000))
+
+
+def test_patterns_do_not_sort_all_characters_of_a_task(spark):
+    codes = spark.createDataFrame([(f"AB-{i:05d}",) for i in range(1000)], "code string")
+    known = inference.infer(codes, "t").first()
+    assert known.regex == r"^AB\-0{2}\d{3}$"
+    (patterns,) = inference._fixed_length_patterns(codes, [known])
+    # Below the lowest shuffle there are hash aggregates only, whose memory does not grow with the rows.
+    lowest = plan_of(patterns).split("Exchange")[-1]
+    assert "HashAggregate" in lowest and "Sort" not in lowest
