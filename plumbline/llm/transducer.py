@@ -67,6 +67,15 @@ class Transducer:
         width = 2 if self.size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{width}")
         self.decoded = self._decoded()
+        self.singles = {text for text in self.ids if len(text) == 1}
+        self.coded = [at.to_bytes(width, "little") for at in range(self.size)]
+        #: The trie as nested tables of characters, with the piece that ends at a node under the empty text.
+        self.trie: dict = {}
+        for text, at in self.ids.items() if merges else ():
+            node = self.trie
+            for character in text:
+                node = node.setdefault(character, {})
+            node[""] = at
 
     @classmethod
     def load(cls, path: str, entries: int = 3 * MEMO_ENTRIES // 2) -> Transducer:
@@ -159,6 +168,48 @@ class Transducer:
             path.append(piece)
         return path[::-1]
 
+    def walked(self, text: str) -> list[int] | None:
+        """The path of finite cost of a text whose characters are all pieces of a model of merges; None if there is none.
+
+        The longest piece that may follow is taken, and taken back where nothing may follow it; a place is tried once,
+        as one piece at most may end there.
+        """
+        whole = self.ids.get(text)
+        if whole is not None:
+            return [whole]
+        n, at, last, trie, joints, size, longest = len(text), 0, -1, self.trie, self.joints, self.size, self.longest
+        path: list[int] = []
+        before: list[tuple[int, int, list[tuple[int, int]]]] = []
+        dead: set[int] = set()
+        arcs: list[tuple[int, int]] | None = None
+        while at < n:
+            if arcs is None:
+                arcs, node, end = [], trie, at
+                for character in text[at : at + longest]:
+                    node = node.get(character)
+                    if node is None:
+                        break
+                    end += 1
+                    if "" in node:
+                        arcs.append((end, node[""]))
+            while arcs:
+                end, piece = arcs.pop()
+                if end in dead:
+                    continue
+                may = True if last < 0 else joints.get(last * size + piece)
+                if may or may is None and self.joint(last, piece):
+                    before.append((at, last, arcs))
+                    path.append(piece)
+                    at, last, arcs = end, piece, None
+                    break
+            else:
+                dead.add(at)
+                if not before:
+                    return None
+                at, last, arcs = before.pop()
+                path.pop()
+        return path
+
     @property
     def penalty(self) -> float:
         """Cost of a character without a piece: ten more than that of the worst piece."""
@@ -166,6 +217,10 @@ class Transducer:
 
     def written(self, text: str) -> bytes:
         """Ids of a normalised stretch as bytes."""
+        if self.merges and self.singles.issuperset(text):
+            path = self.walked(text)
+            if path is not None:
+                return b"".join(map(self.coded.__getitem__, path))
         out: list[int] = []
         unknown = False
         for piece in self.shortest(text):

@@ -32,6 +32,27 @@ def test_like_the_library(library):
             assert transducer.decode(transducer.encode(text)) == text
 
 
+def test_longest_pieces_first_is_the_shortest_path_with_fewer_places():
+    random.seed(8)
+    parts = ["a", "e", "th", "ing", "er", "un", "con", "q", "zz", "12", ".", "=", "é", "tion", "ab", "漢"]
+    texts = [MARK + "".join(random.choices(parts, k=random.randint(1, 8))) for _ in range(2000)]
+    one, other = Transducer.load(PATH), Transducer.load(PATH)
+    for text in texts:
+        by_place = [i for p in one.shortest(text) for i in ([p] if p >= 0 else [one.byte_ids[b] for b in text[-1 - p].encode()])]
+        assert np.frombuffer(other.written(text), other.kind).tolist() == by_place
+    # Every neighbourhood looked up costs a merging of characters; the path place by place looks up all that texts hold.
+    assert len(other.joints) < 0.9 * len(one.joints)
+    assert other.walked("a" * 3000) == other.shortest("a" * 3000)
+
+
+def test_no_path_where_a_character_is_no_piece():
+    pieces = [("<unk>", 0.0, False), ("a", -1.0, True), ("b", -2.0, True), ("ab", -3.0, True), (MARK, -4.0, True)]
+    transducer = Transducer(pieces, {}, merges=True)
+    assert transducer.walked("abba") == [3, 2, 1] and transducer.walked("") == []
+    assert transducer.walked("abx") is None
+    assert ids(transducer, "abxxa") == [4, 3, 0, 1]
+
+
 def test_scored_pieces_take_the_cheapest_path():
     random.seed(6)
     pieces = [("<unk>", 0.0, False)] + [("".join(p), -random.random() * 5, True) for n in (1, 2, 3) for p in itertools.product("ab", repeat=n)]
