@@ -43,34 +43,54 @@ BROADCAST_NODES = 200_000
 _NULL_ID = (1 << 63) - 1
 
 
-def _vectors(column: pa.Array) -> list[np.ndarray]:
-    """Unit vectors in double precision. The first byte says how components are kept: as given, 4 or 8 bytes each."""
-    out = []
-    for value in column:
-        data = value.as_buffer()
-        out.append(_unit(np.frombuffer(data, np.float32 if bytes(data[:1]) == b"4" else np.float64, offset=8).astype(np.float64)))
-    return out
-
-
-def _projected(rows: DataFrame) -> DataFrame:
-    """The rows with their projection on their node's direction."""
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors, in double precision, of the vectors of each length. The first byte says how components are kept: as given, 4 or 8 bytes each."""
+    if not len(column):
+        return
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data, sizes = np.frombuffer(column.buffers()[2], np.uint8), np.diff(ends)
+    for size in np.unique(sizes).tolist():
+        places = np.flatnonzero(sizes == size)
+        if len(places) == len(column):
+            raw = data[ends[0] : ends[-1]].reshape(len(column), size)
+        else:
+            raw = data[ends[places][:, None] + np.arange(size)]
+        kind = np.float32 if raw[0, :1].tobytes() == b"4" else np.float64
+        vectors = np.ascontiguousarray(raw[:, 8:]).view(kind).astype(np.float64)
+        vectors /= np.abs(vectors).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+        yield places, vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def _units(column: pa.Array) -> np.ndarray:
+    """Unit vectors of a column whose vectors have one length, as those of a node have."""
+    return next(_by_length(column))[1]
+
+
+def _projected(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """The rows (path, node, copies, vector, n, size), of which the columns `kept`, with their projection on their node's direction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directions: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             paths = batch.column(0).to_numpy()
             values, sizes = np.zeros(len(paths)), np.zeros(len(paths), np.int64)
-            for row, (path, vector) in enumerate(zip(paths.tolist(), _vectors(batch.column(3)))):
-                key = (path, len(vector))
-                if key not in directions:
-                    if len(directions) > 20_000:
-                        directions.clear()
-                    drawn = np.random.default_rng(path & 0xFFFFFFFFFFFFFFFF).standard_normal(len(vector))
-                    directions[key] = drawn / np.linalg.norm(drawn)
-                values[row], sizes[row] = vector @ directions[key], len(vector)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values), pa.array(sizes)], [*batch.schema.names, "at", "dimensions"])
-
-    return rows.mapInArrow(run, "path long, node long, copies long, vector binary, n long, size long, at double, dimensions long")
+            for places, vectors in _by_length(batch.column(3)):
+                length = vectors.shape[1]
+                order = np.argsort(paths[places], kind="stable")
+                cuts = np.flatnonzero(np.diff(paths[places][order])) + 1
+                for some in np.split(order, cuts):
+                    key = (int(paths[places[some[0]]]), length)
+                    if key not in directions:
+                        if len(directions) > 20_000:
+                            directions.clear()
+                        drawn = np.random.default_rng(key[0] & 0xFFFFFFFFFFFFFFFF).standard_normal(length)
+                        directions[key] = drawn / np.linalg.norm(drawn)
+                    values[places[some]] = vectors[some] @ directions[key]
+                sizes[places] = length
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(values), pa.array(sizes)], [*kept, "at", "dimensions"])
+
+    kinds = ", ".join(f"{c} {'binary' if c == 'vector' else 'long'}" for c in kept)
+    return rows.select("path", "node", "copies", "vector", "n", "size").mapInArrow(run, f"{kinds}, at double, dimensions long")
 
 
 def _children(placed: DataFrame) -> DataFrame:
@@ -83,11 +103,6 @@ def _children(placed: DataFrame) -> DataFrame:
     )
 
 
-def _unit(vector: np.ndarray) -> np.ndarray:
-    vector = vector / np.abs(vector).max()  # so that squares neither overflow nor vanish
-    return vector / np.linalg.norm(vector)
-
-
 def _link_batch(nodes: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
     swap = nodes[left] > nodes[right]
     left, right = np.where(swap, right, left), np.where(swap, left, right)
@@ -102,10 +117,9 @@ _LINK = "a long, b long, of_a long, of_b long"
 def _linked_in_leaves(leaves: DataFrame, cosine: float) -> DataFrame:
     """All links within each leaf."""
 
-    def links(nodes: np.ndarray, copies: np.ndarray, vectors: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def links(nodes: np.ndarray, copies: np.ndarray, unit: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(nodes) < 2:
             return
-        unit = np.array(vectors)
         left, right = np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
         for at in range(0, len(left), 50_000):
             yield _link_batch(nodes, copies, left[at : at + 50_000], right[at : at + 50_000])
@@ -116,18 +130,18 @@ def _linked_in_leaves(leaves: DataFrame, cosine: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             paths = batch.column(0).to_numpy()
-            nodes, copies, vectors = batch.column(1).to_numpy(), batch.column(2).to_numpy(), _vectors(batch.column(3))
+            nodes, copies = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             cuts = np.r_[0, np.flatnonzero(paths[1:] != paths[:-1]) + 1, len(paths)]
             for start, end in zip(cuts[:-1], cuts[1:]):
                 if paths[start] != path:
                     if held[0]:
-                        yield from links(np.concatenate(held[0]), np.concatenate(held[1]), held[2])
+                        yield from links(*map(np.concatenate, held))
                     path, held = paths[start], ([], [], [])
                 held[0].append(nodes[start:end])
                 held[1].append(copies[start:end])
-                held[2].extend(vectors[start:end])
+                held[2].append(_units(batch.column(3).slice(start, end - start)))
         if held[0]:
-            yield from links(np.concatenate(held[0]), np.concatenate(held[1]), held[2])
+            yield from links(*map(np.concatenate, held))
 
     return leaves.select("path", "node", "copies", "vector").repartition("path").sortWithinPartitions("path").mapInArrow(run, _LINK)
 
@@ -143,7 +157,7 @@ def _linked_in_blocks(stalled: DataFrame, cosine: float) -> DataFrame:
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         nodes, copies, block = (group.column(c).to_numpy() for c in ("node", "copies", "block"))
-        unit = np.array(_vectors(group.column("vector").chunk(0)))
+        unit = _units(group.column("vector").chunk(0))
         same = group.column("one")[0] == group.column("two")[0]
         alike = np.triu(unit @ unit.T >= cosine, 1)
         if not same:
@@ -156,12 +170,12 @@ def _linked_in_blocks(stalled: DataFrame, cosine: float) -> DataFrame:
 def links(vectors: DataFrame, cosine: float, trees: int, seed: int) -> DataFrame:
     """Links a < b of vectors (node, root, copies, vector), with the copies of both.
 
-    A root has `trees` trees, and one more for every two halvings that lead to a leaf.
+    A root that is no leaf has `trees` trees, and one more for every two halvings that lead to a leaf. A leaf needs one.
     """
     large = cut(vectors.groupBy("root").agg(F.count("*").alias("of_root")).filter(F.col("of_root") > LEAF))
     own = vectors.join(F.broadcast(large) if large.count() <= BROADCAST_NODES else large, "root", "left")
-    more = F.coalesce(F.ceil(F.log2(F.col("of_root") / LEAF) / 2), F.lit(0)).cast("int")
-    roots = F.explode(F.sequence(F.lit(1), F.lit(trees) + more))
+    more = F.ceil(F.log2(F.col("of_root") / LEAF) / 2).cast("int")
+    roots = F.explode(F.sequence(F.lit(1), F.coalesce(F.lit(trees) + more, F.lit(1))))
     rows = own.withColumn("tree", roots).select(
         F.xxhash64(F.lit(seed), "tree", "root").alias("path"), "node", "copies", "vector", F.lit(None).cast("long").alias("size")
     )
@@ -171,22 +185,29 @@ def links(vectors: DataFrame, cosine: float, trees: int, seed: int) -> DataFrame
         large = cut(rows.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF))
         n_large = large.count()
         # Few large nodes are sent to all tasks; many are joined by shuffle.
-        marked = rows.join(F.broadcast(large) if n_large <= BROADCAST_NODES else large, "path", "left")
+        sent = F.broadcast if n_large <= BROADCAST_NODES else lambda nodes: nodes
+        marked = rows.join(sent(large), "path", "left")
         found.append(_linked_in_leaves(marked.filter("n IS NULL"), cosine))
         if not n_large:
             break
         # Two unit vectors of this cosine are sqrt(2 - 2 cosine) apart.
         margin = F.lit(SPILL * (2 - 2 * cosine) ** 0.5) / F.sqrt(F.col("dimensions"))
-        projected = _projected(marked.filter("n IS NOT NULL").select("path", "node", "copies", "vector", "n", "size"))
-        splits = cut(projected.groupBy("path").agg(F.percentile_approx("at", [0.5 - OVERLAP, 0.5, 0.5 + OVERLAP], 1000).alias("q")))
-        splits = F.broadcast(splits) if n_large <= BROADCAST_NODES else splits
-        placed = projected.join(splits, "path").withColumn("margin", margin)
         reach = F.least(F.col("q")[2] - F.col("q")[1], F.col("q")[1] - F.col("q")[0])
         is_stalled = (reach < F.col("margin")) | F.coalesce(F.col("n") > STALLED * F.col("size"), F.lit(False))
         if level == LEVELS - 1:
             is_stalled = F.lit(True)
-        found.append(_linked_in_blocks(placed.filter(is_stalled), cosine))
-        rows = _children(placed.filter(~is_stalled))
+        split = marked.filter("n IS NOT NULL")
+        quantiles = F.percentile_approx("at", [0.5 - OVERLAP, 0.5, 0.5 + OVERLAP], 1000).alias("q")
+        nodes = _projected(split, ["path", "n", "size"]).groupBy("path").agg(quantiles, *[F.first(c).alias(c) for c in ("n", "size", "dimensions")])
+        nodes = cut(nodes.withColumn("margin", margin).select("path", "q", "margin", is_stalled.alias("is_stalled")))
+        stalled = nodes.filter("is_stalled").select("path")
+        n_stalled = stalled.count()
+        if n_stalled:
+            found.append(_linked_in_blocks(split.join(sent(stalled), "path", "left_semi"), cosine))
+        if n_stalled == n_large:
+            break
+        split = split.join(sent(nodes.filter("NOT is_stalled").select("path")), "path", "left_semi") if n_stalled else split
+        rows = _children(_projected(split, ["path", "node", "copies", "vector", "n"]).join(sent(nodes), "path"))
     pairs = found[0]
     for part in found[1:]:
         pairs = pairs.unionByName(part)
@@ -223,7 +244,9 @@ def near_vectors(
 
     def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            data = [head + np.asarray(v, kind).tobytes() for v in batch.column(3).to_pylist()]
+            flat = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(kind)
+            ends = np.r_[0, np.cumsum(batch.column(3).value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+            data = [head + flat[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], ["node", "root", "copies", "vector"])
 
     alike = whole.filter("node IS NOT NULL").groupBy("node").agg(

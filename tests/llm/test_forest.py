@@ -96,6 +96,15 @@ def test_hot_tight_labels_after_many_splits(spark, monkeypatch):
     assert all(f >= 0.98 * w > 0 for f, w in links.values())
 
 
+def test_a_label_of_one_leaf_is_compared_once(spark, monkeypatch):
+    compared, plain = [], forest._linked_in_leaves
+    monkeypatch.setattr(forest, "_linked_in_leaves", lambda leaves, cosine: compared.append(leaves.count()) or plain(leaves, cosine))
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(3 if i % 3 else 5).tolist(), i % 2) for i in range(120)]  # two lengths in a batch
+    assert results(near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))) == brute(rows)
+    assert compared == [120]
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
