@@ -14,7 +14,8 @@ Benchmark items are found again in documents, also when reworded:
    `cosine` are candidates.
 4. Candidates are confirmed on words: the longest common subsequence of the item and
    the document around the passage must hold `sure` of the item's words, or `likely`
-   of them together with most of the item's answer (its last sentence).
+   of them together with most of the item's answer (its last sentence). Where fewer of the
+   item's words than that stand around the passage at all, no subsequence is looked for.
 
 Items are searched in blocks of at most `BLOCK_PASSAGES` passages, so what is sent to
 the tasks is bounded; the corpus is read twice per block.
@@ -43,6 +44,8 @@ from plumbline.llm.licenses import license_words
 
 HALF = 32
 BLOCK_PASSAGES = 512
+#: Vectors that are gathered at a time: few enough to stay in a processor's cache.
+HITS = 12_000
 #: Words in more than this share of a block's items, or of all passages, have no weight.
 STOP_ITEMS, STOP_PASSAGES = 0.03, 0.005
 #: Terms an item keeps, however frequent they are.
@@ -201,8 +204,8 @@ def _frequencies(hits: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
         counts, total = np.zeros(n_terms, np.int64), 0
         for batch in batches:
             passage, term, n = _spread(batch)
-            found = np.unique(passage * n_terms + term)
-            counts += np.bincount(found % n_terms, minlength=n_terms)
+            found = np.sort(passage * n_terms + term)  # faster than np.unique, which hashes numbers
+            counts += np.bincount(found[np.diff(found, prepend=-1) > 0] % n_terms, minlength=n_terms)
             total += n
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1].astype(np.int64)), pa.array(np.r_[counts[some], total])], ["term", "n"])
@@ -218,6 +221,18 @@ def _frequencies(hits: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     return counts, total
 
 
+def _added(rows: np.ndarray, which: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sums of the rows `which`, from each of `begins` to the next; whole groups of about `HITS` are gathered at a time."""
+    out = np.empty((len(begins), rows.shape[1]), rows.dtype)
+    ends, at = np.append(begins[1:], len(which)), 0
+    while at < len(begins):
+        start = begins[at]
+        last = int(np.searchsorted(begins, start + HITS))
+        out[at:last] = np.add.reduceat(rows[which[start : ends[last - 1]]], begins[at:last] - start, axis=0)
+        at = last
+    return out
+
+
 def _sums(hits: DataFrame, space: Space, draw: np.ndarray) -> np.ndarray:
     """A'(A W) of all passages: partial sums per task, added up per group of terms."""
     sent = hits.sparkSession.sparkContext.broadcast((space.weights, draw))
@@ -239,11 +254,11 @@ def _sums(hits: DataFrame, space: Space, draw: np.ndarray) -> np.ndarray:
                     continue
                 p, t = passage[start:end], term[start:end]
                 begins = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-                rows = np.add.reduceat(weighted[t], begins, axis=0)
+                rows = _added(weighted, t, begins)
                 row = np.cumsum(np.r_[False, p[1:] != p[:-1]])
                 order = np.argsort(t, kind="stable")
                 begins = np.flatnonzero(np.r_[True, t[order][1:] != t[order][:-1]])
-                sums[t[order][begins]] += np.add.reduceat(rows[row[order]], begins, axis=0)
+                sums[t[order][begins]] += _added(rows, row[order], begins)
         sums *= weights[:, None]
         some = np.flatnonzero(np.abs(sums).sum(axis=1))
         yield pa.RecordBatch.from_arrays(
@@ -274,17 +289,26 @@ class Finder:
         self.answers = [masks(i.answer) for i in space.items]
         self.short = [at for at, i in enumerate(space.items) if 0 < len(i.words) < SHORT]
         self.owner = np.array([at for at, _ in space.passages], int)
-
-    def candidates(self, texts: list[list[bytes]]) -> dict[tuple[int, int], list[tuple[int, float]]]:
-        """(text, item) -> (first half of a passage, cosine) of the passages alike."""
+        #: All words of the items by number (others are -1, the last place), the term with weight that each is, and those of each item.
+        self.numbers = {word: at for at, word in enumerate(sorted({w for i in space.items for w in i.words}))}
+        terms = [space.terms.get(word, -1) for word in self.numbers]
+        self.term = np.array([t if t >= 0 and space.weights[t] > 0 else -1 for t in terms] + [-1], np.int32)
+        self.words = [np.array([self.numbers[w] for w in i.words], np.int32) for i in space.items]
+        self.stands = np.zeros(len(self.numbers) + 1, bool)
+
+    def numbered(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.get, found, repeat(-1)), np.int32, len(found))
+
+    def candidates(self, texts: list[np.ndarray]) -> dict[tuple[int, int], list[tuple[int, float]]]:
+        """(text, item) -> (first half of a passage, cosine) of the passages alike; texts are numbered words."""
         space, out = self.space, {}
-        owners, halves, terms, first = [], [], [], [0]
-        for row, found in enumerate(texts):
-            at, own = space.hits(found)
-            some = space.weights[own] > 0
-            halves.append(first[-1] + at[some] // HALF)
-            terms.append(own[some])
-            first.append(first[-1] + -(-len(found) // HALF) + 1)  # an empty half keeps texts apart
+        halves, terms, first = [], [], [0]
+        for numbers in texts:
+            own = self.term[numbers]
+            at = np.flatnonzero(own >= 0)
+            halves.append(first[-1] + at // HALF)
+            terms.append(own[at])
+            first.append(first[-1] + -(-len(numbers) // HALF) + 1)  # an empty half keeps texts apart
         halves, terms, first = np.concatenate(halves), np.concatenate(terms), np.array(first)
         for at in range(0, len(terms), 50_000):
             start = np.searchsorted(halves, halves[at], "left") if at else 0
@@ -293,7 +317,7 @@ class Finder:
             end = np.searchsorted(halves, last, "right") if at + 50_000 >= len(terms) else np.searchsorted(halves, last + 1, "right")
             h, t = halves[start:end], terms[start:end]
             begins = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            sums = np.add.reduceat(space.basis[t], begins, axis=0)
+            sums = _added(space.basis, t, begins)
             h = h[begins]
             # Passages of two halves, and single halves, which short items need.
             follows = np.flatnonzero(h[1:] == h[:-1] + 1)
@@ -306,12 +330,24 @@ class Finder:
                 out.setdefault((i, int(self.owner[c])), []).append((k, value))
         return out
 
-    def confirm(self, found: list[bytes], item: int, near: list[tuple[int, float]]) -> tuple[float, float]:
-        """The largest share of the item, and of its answer, in the document around the passages alike."""
+    def most(self, region: np.ndarray, item: int) -> int:
+        """How many of the item's words stand anywhere in the region: no common subsequence is longer."""
+        self.stands[region] = True
+        self.stands[-1] = False
+        both = np.count_nonzero(self.stands[self.words[item]])
+        self.stands[region] = False
+        return both
+
+    def confirm(self, found: list[bytes], numbers: np.ndarray, item: int, near: list[tuple[int, float]]) -> tuple[float, float]:
+        """The largest share of the item, and of its answer, in the document around the passages alike; shares below `LIKELY` may be 0."""
         n = len(self.space.items[item].words)
         share = answer = 0.0
         for half in sorted({k for k, _ in near}):
-            region = found[max(0, half * HALF - n) : (half + 2) * HALF + n]
+            around = slice(max(0, half * HALF - n), (half + 2) * HALF + n)
+            most = self.most(numbers[around], item) / n
+            if most < LIKELY or most <= share:
+                continue
+            region = found[around]
             own = common(self.places[item], n, region) / n
             if own > share:
                 answers = self.space.items[item].answer
@@ -323,12 +359,13 @@ class Finder:
     def find(self, texts: list[str | None]) -> list[list[tuple[int | None, float, float, float]]]:
         """Per text: item id, cosine, share of its words and of its answer, of the items it holds."""
         found = [plain_words(t) for t in texts]
+        numbers = [self.numbered(words) for words in found]
         out: list[list[tuple]] = [[] for _ in texts]
-        for (row, item), near in self.candidates(found).items():
+        for (row, item), near in self.candidates(numbers).items():
             own = self.space.items[item]
             if len(own.words) < SHORT:
                 continue
-            share, answer = self.confirm(found[row], item, near)
+            share, answer = self.confirm(found[row], numbers[row], item, near)
             if share >= SURE or share >= LIKELY and answer >= ANSWER:
                 out[row].append((own.item_id, max(c for _, c in near), share, answer))
         for item in self.short:

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+from plumbline.llm import latent
 from plumbline.llm.latent import common, contaminated, decontamination_stage, masks, plain_words
 
 WORDS = [a + b for a, b in itertools.product("ba ce di fo gu ha je ki lo mu na pe qui ro sa te vi wo xa ye".split(), "ral ston mick len dar pov".split())]
@@ -68,3 +69,37 @@ def test_documents_against_phrase_search(spark, tmp_path):
     kept = decontamination_stage(spark, docs, folder)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in joined} - {d for d, _ in found}
+
+
+def test_subsequences_are_looked_for_only_where_enough_words_stand(monkeypatch):
+    rng = random.Random(8)
+    items = [latent.item_of(k, " ".join(f"w{k}x{i}" for i in range(40))) for k in range(12)]
+    space = latent.Space(items)
+    draw = space.draw()
+    space.weigh(space.weights * 0, 1000)
+    space.decompose(draw * 0, draw)
+    finder = latent.Finder(space)
+    calls = []
+    monkeypatch.setattr(latent, "common", lambda *a: calls.append(a) or common(*a))
+
+    def text(item, n):
+        """n of an item's words, in order and among others."""
+        own = [items[item].words[i].decode() for i in sorted(rng.sample(range(40), n))]
+        return " ".join(w for word in own for w in ("other", word))
+
+    few = [text(k % 12, 12) for k in range(60)]
+    assert len(finder.candidates([finder.numbered(plain_words(t)) for t in few])) >= 60
+    assert finder.find(few) == [[] for _ in few]
+    assert not calls
+    # Where enough of them stand, the result is that of a search in all regions alike.
+    mixed = [text(k % 12, n) for k in range(12) for n in range(18, 41)] + [" ".join(reversed(text(k, 40).split())) for k in range(12)]
+    found = finder.find(mixed + [None, ""])
+    assert calls and sum(map(len, found)) > 100 and not any(found[-14:])
+    for one, own in zip(mixed, found):
+        words = plain_words(one)
+        for item_id, _, share, answer in own:
+            assert share == common(masks(items[item_id].words), 40, words) / 40
+            assert answer == common(masks(items[item_id].answer), len(items[item_id].answer), words) / len(items[item_id].answer)
+        best = max(range(12), key=lambda k: common(masks(items[k].words), 40, words))
+        if common(masks(items[best].words), 40, words) >= 30:
+            assert [item_id for item_id, *_ in own] == [best]
